@@ -9,6 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from evidence_spark.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidence_spark.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidence_spark.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidence_spark.llm.pii import fit_pii, pii_report
 
@@ -23,6 +36,18 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_report(docs, plan_mix(docs))
 
 
+def op5_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidence_spark.llm.jpeg import media_features
+
+    return media_features(table(spark, sf_dir, "documents"))
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidence_spark.llm.htmltext import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidence_spark.llm.langid import fit_langid, identify_language
 
@@ -42,12 +67,23 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidence_spark.llm.substring import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_neardup": op2_neardup,
     "op3_pii": op3_pii,
     "op4_mixing": op4_mixing,
+    "op5_jpeg": op5_jpeg,
+    "op6_html": op6_html,
     "op7_langid": op7_langid,
     "op8_jaccard": op8_jaccard,
     "op9_packing": op9_packing,
+    "op10_substring": op10_substring,
 }
 
 ORACLES: dict[str, str] = {}
