@@ -1,15 +1,9 @@
-"""Registered queries over the given tables and their SQL counterparts."""
+"""All registered queries of the library's own operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from evidence_spark.plans import rule_queries, search_queries
+from evidence_spark.plans.registry import ORACLES, QUERIES
+from evidence_spark.plans.rule_queries import flagship
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"))
+__all__ = ["ORACLES", "QUERIES", "flagship", "rule_queries", "search_queries"]
