@@ -91,7 +91,7 @@ def compile_query(text: str, terms: Sequence[str] = ()) -> Column:
             if pos < len(tokens) and tokens[pos][3] == "NOT":
                 pos += 1
                 return ~level("NOT")
-            if pos >= len(tokens) or tokens[pos][2]:
+            if pos >= len(tokens) or tokens[pos][2] or tokens[pos][3]:
                 raise ValueError("a value is missing")
             m = tokens[pos]
             pos += 1
