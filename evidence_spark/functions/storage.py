@@ -8,12 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_UNSET: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a temporary folder only where none is set, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or _UNSET.get("path")
     if not path:
-        path = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _UNSET["path"] = tempfile.mkdtemp(prefix="spark-shared-")
     return path.rstrip("/")
 
 
