@@ -38,7 +38,11 @@ def to_records(df: DataFrame, case_id: str, machine: Column, data_source: str, d
 
 def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as records of one case with 20 machines."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return records_of_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def records_of_events(e: DataFrame) -> DataFrame:
+    """Event rows, of a table or a stream, as records."""
     data = F.to_json(F.struct(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("@timestamp"), F.struct(F.get_json_object("props", "$.k").cast("long").alias("k")).alias("props"),
         "value", "user_id", "event_type",

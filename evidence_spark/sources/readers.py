@@ -92,7 +92,12 @@ def _named(names: Column, values: Column) -> Column:
 
 def read_w3c_log(spark: SparkSession, path: str) -> DataFrame:
     """W3C log rows: path, pos, ``@timestamp`` and the map ``fields``."""
-    rows = _with_header(read_lines(spark, path))
+    return parse_w3c(read_lines(spark, path))
+
+
+def parse_w3c(lines: DataFrame) -> DataFrame:
+    """W3C log rows of lines with path and pos."""
+    rows = _with_header(lines)
     clean = F.transform(F.split("_names", " +"), lambda x: F.lower(F.regexp_replace(F.regexp_replace(x, r"[-(]", "_"), r"\)", "")))
     out = rows.withColumn("fields", _named(clean, F.split(F.trim("line"), " ")))
     ts = F.concat_ws("T", F.try_element_at("fields", F.lit("date")), F.try_element_at("fields", F.lit("time")))
@@ -107,7 +112,12 @@ def split_csv(line: Column) -> Column:
 
 def read_exchange_log(spark: SparkSession, path: str) -> DataFrame:
     """Mail server log rows (S6): timestamp of DateTime, or TimeStamp where that is given."""
-    rows = _with_header(read_lines(spark, path))
+    return parse_exchange(read_lines(spark, path))
+
+
+def parse_exchange(lines: DataFrame) -> DataFrame:
+    """Mail server log rows of lines with path and pos."""
+    rows = _with_header(lines)
     names = F.transform(F.split("_names", ","), lambda x: F.trim(x))
     out = rows.withColumn("fields", _named(names, split_csv(F.col("line"))))
     none = lambda k: F.nullif(F.try_element_at("fields", F.lit(k)), F.lit(""))
