@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidence_spark.functions.storage import cut
+
 #: Rows that one Arrow batch may hold, so that a batch of long texts stays small.
 BATCH_ROWS = 1000
 
@@ -23,23 +22,6 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/evidence/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_cut(df: DataFrame) -> None:
     """Delete a table written by :func:`cut` that no later plan reads."""
     spark = df.sparkSession
@@ -82,16 +64,6 @@ def components(edges: DataFrame) -> DataFrame:
             return lab
 
 
-class WordHash(dict):
-    """64-bit hashes of byte words, remembered; emptied when it grows too large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 _ODD = np.random.Generator(np.random.PCG64(20)).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -104,6 +76,91 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: Bytes that are hashed at once.
+PART = 1 << 20
+_P = np.uint64(0xD6E8FEB86659FD93)
+_P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
+_BYTE = np.random.Generator(np.random.PCG64(21)).integers(0, 1 << 64, 256, dtype=np.uint64, endpoint=False)
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(inverse: bool, n: int) -> np.ndarray:
+    """The first ``n`` powers of an odd number modulo 2**64, or of its inverse."""
+    have = _POWERS.get(inverse)
+    if have is None or len(have) < n:
+        have = np.full(max(n, PART + 1), _P_INV if inverse else _P, np.uint64)
+        have[0] = 1
+        np.multiply.accumulate(have, out=have)
+        if len(have) <= 4 * PART:
+            _POWERS[inverse] = have
+    return have[:n]
+
+
+def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each span of a sequence of 64-bit values, from one running sum."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(False, len(values)), out=total[1:])
+    return mix((total[end] - total[start]) * powers(True, len(values) + 1)[start] + (end - start).astype(np.uint64))
+
+
+def _hash_bytes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first bytes of the words of a buffer."""
+    buf = np.frombuffer(raw, np.uint8)
+    edge = np.diff(np.concatenate(([0], (~_SPACE[buf]).view(np.int8), [0])))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return span_hashes(_BYTE[buf], start, end), start
+
+
+def _parts(raw: bytes):
+    """A long text in parts that end between words."""
+    at = 0
+    while len(raw) - at > PART:
+        end = max(raw.rfind(c, at, at + PART) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+        if end <= at:
+            ends = [e for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c") if (e := raw.find(c, at + PART)) >= 0]
+            end = min(ends, default=len(raw))
+        yield raw[at:end]
+        at = end
+    yield raw[at:]
+
+
+def hash_words(texts: list[str | None], lower: bool = False):
+    """Word hashes of whole texts, a bounded part of the list at a time.
+
+    Yields (first text, hashes, offsets): text ``first + i`` has the hashes from
+    ``offsets[i]`` to ``offsets[i + 1]``. Words are runs of anything but the six ASCII
+    white-space characters; ``lower`` lower-cases A-Z.
+    """
+    raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    at = 0
+    while at < len(raw):
+        end, size = at, 0
+        while end < len(raw) and (end == at or size + len(raw[end]) <= PART):
+            size += len(raw[end]) + 1
+            end += 1
+        joined = b" ".join(raw[at:end])
+        joined = joined.lower() if lower else joined
+        if end - at == 1:
+            h = np.concatenate([_hash_bytes(x)[0] for x in _parts(joined)])
+            yield at, h, np.array([0, len(h)])
+        else:
+            h, start = _hash_bytes(joined)
+            begin = np.cumsum([0] + [len(x) + 1 for x in raw[at:end]])
+            yield at, h, np.searchsorted(start, begin)
+        at = end
+
+
+class WordHash(dict):
+    """64-bit hashes of byte words, remembered; emptied when it grows too large."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 def word_hashes(words: list[bytes], memo: WordHash) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
 

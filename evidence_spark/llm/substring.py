@@ -25,51 +25,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from evidence_spark.llm.common import WordHash, cut, drop_cut, gram_hashes, mix, small_batches, word_hashes
+from evidence_spark.llm.common import cut, drop_cut, gram_hashes, hash_words, mix, small_batches, span_hashes
 
 WINDOW = 20
 MINIMISER = 7
 
-_P = np.uint64(0xD6E8FEB86659FD93)
-_P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
-
+def words_of(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").split() if text else []
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
 
+#: Bits of a minimiser's key that hold its place among the words hashed at once.
+PLACE = 28
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").split() if text else []
 
+def pieces(w: np.ndarray, offsets: np.ndarray, k: int = WINDOW, m: int = MINIMISER) -> tuple[np.ndarray, ...]:
+    """Text, minimiser, content hash, first window and number of windows of each piece.
 
-def pieces(w: np.ndarray, k: int = WINDOW, m: int = MINIMISER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Minimiser, content hash, first window and number of windows of each piece."""
+    ``w`` has the word hashes of several texts, one after the other from ``offsets`` on.
+    """
     n = len(w) - k + 1
+    none = np.empty(0, np.int64)
     if n <= 0:
-        none = np.empty(0, np.int64)
-        return none, none, none, none
+        return none, none, none, none, none
+    if len(w) >= 1 << PLACE:
+        raise ValueError("a text has too many words")
     grams = gram_hashes(w, m)
-    at = np.arange(n) + np.lib.stride_tricks.sliding_window_view(grams, k - m + 1).argmin(1)
-    start = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    size = np.diff(start, append=n)
-    total = np.concatenate(([np.uint64(0)], np.cumsum(mix(w) * _powers(_P, len(w)), dtype=np.uint64)))
-    content = (total[start + size + k - 1] - total[start]) * _powers(_P_INV, len(w))[start]
-    return (grams[at[start]] >> np.uint64(20)).view(np.int64), mix(content + size.astype(np.uint64)).view(np.int64), start, size
+    key = ((grams >> np.uint64(PLACE)) << np.uint64(PLACE)) | np.arange(len(grams), dtype=np.uint64)
+    wide, width = key, 1  # the least key of each run of k - m + 1, by doubling
+    while 2 * width <= k - m + 1:
+        wide = np.minimum(wide[:-width], wide[width:])
+        width *= 2
+    rest = k - m + 1 - width
+    least = np.minimum(wide[: len(wide) - rest], wide[rest:]) if rest else wide
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    at = np.flatnonzero(np.arange(n) + k <= offsets[1:][text[:n]])
+    if not len(at):
+        return none, none, none, none, none
+    least = least[at]
+    new = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1))))
+    size = np.diff(new, append=len(at))
+    start = at[new]
+    content = span_hashes(mix(w), start, start + size + (k - 1))
+    mini = (least[new] >> np.uint64(PLACE)).view(np.int64)
+    return text[start], mini, content.view(np.int64), start - offsets[:-1][text[start]], size
 
 
 def _pieces_of(texts: DataFrame, k: int, m: int) -> DataFrame:
     def run(batches):
-        memo = WordHash()
         for b in batches:
-            docs, got = [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                got.append(pieces(word_hashes(words_of(text), memo), k, m))
-                docs.append(np.full(len(got[-1][0]), doc, np.int64))
-            if docs:
-                cols = [np.concatenate([g[i] for g in got]) for i in range(4)]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(np.concatenate(docs)), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32))], ["mini", "content", "doc_id", "start", "size"])
+            ids = b.column(0).to_numpy()
+            for first, w, offsets in hash_words(b.column(1).to_pylist()):
+                text, mini, content, start, size = pieces(w, offsets, k, m)
+                yield pa.RecordBatch.from_arrays([pa.array(mini), pa.array(content), pa.array(ids[first + text]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], ["mini", "content", "doc_id", "start", "size"])
 
     return texts.mapInArrow(run, "mini long, content long, doc_id long, start int, size int")
 
@@ -78,14 +85,23 @@ def _windows_of(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """Hash and place of each window in the wanted pieces (doc_id, parts of (start, size))."""
 
     def run(batches):
-        memo = WordHash()
         for b in batches:
-            for doc, text, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                w = word_hashes(words_of(text), memo)
+            ids = b.column(0).to_numpy()
+            lists = b.column(2)
+            bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            flat = lists.flatten()
+            start, size = (flat.field(i).to_numpy().astype(np.int64) for i in range(2))
+            for first, w, offsets in hash_words(b.column(1).to_pylist()):
                 g = gram_hashes(w, k)
-                at = np.concatenate([np.arange(p["start"], p["start"] + p["size"]) for p in parts])
-                at = at[at < len(g)]
-                yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(np.full(len(at), doc, np.int64)), pa.array(at.astype(np.int32))], ["win", "doc_id", "start"])
+                n = len(offsets) - 1
+                lo, hi = bounds[first], bounds[first + n]
+                text = np.repeat(np.arange(n), np.diff(bounds[first : first + n + 1]))
+                size_here = size[lo:hi]
+                doc = np.repeat(text, size_here)
+                place = np.repeat(start[lo:hi] - np.concatenate(([0], np.cumsum(size_here)[:-1])), size_here) + np.arange(size_here.sum())
+                ok = place + k <= np.diff(offsets)[doc]
+                doc, place = doc[ok], place[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(g[offsets[doc] + place].view(np.int64)), pa.array(ids[first + doc]), pa.array(place.astype(np.int32))], ["win", "doc_id", "start"])
 
     return texts.join(wanted, "doc_id").select("doc_id", "text", "parts").mapInArrow(run, "win long, doc_id long, start int")
 
