@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,20 +150,6 @@ def hash_words(texts: list[str | None], lower: bool = False):
         at = end
 
 
-class WordHash(dict):
-    """64-bit hashes of byte words, remembered; emptied when it grows too large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def word_hashes(words: list[bytes], memo: WordHash) -> np.ndarray:
-    return np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def gram_hashes(w: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of ``k`` word hashes (empty where there are fewer)."""
     n = len(w) - k + 1

@@ -14,8 +14,9 @@ How that runs on Spark:
   documents) come last in the order, so common passages rarely make long short lists.
 * Round 1 pairs each member of a list only with the list's smallest document, so a list of
   g documents gives g - 1 pairs. Verified links make components.
-* Round 2 pairs members of a list whose components differ; any other pair cannot change
-  the result. Together the rounds decide every pair that matters, so the join is exact.
+* Round 2 compares members of a list whose components differ; any other pair cannot change
+  the result. Pairs there are compared in blocks inside tasks and become rows only where
+  no filter rules them out. Together the rounds decide every pair that matters, so the join is exact.
 * Pairs are counted over lists and dropped when the shingles seen missing already exceed
   what the threshold lets two documents differ by. A parity sketch (each hash flips one of
   1024 bits) then bounds the difference of the whole sets from below: two sketches never
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidence_spark.llm.common import WordHash, components, cut, drop_cut, gram_hashes, mix, small_batches, word_hashes
+from evidence_spark.llm.common import components, cut, drop_cut, gram_hashes, hash_words, mix, small_batches
 
 WORDS = 5
 #: Similarity 0.8 as a whole number of hundredths.
@@ -40,17 +41,23 @@ FREQUENT = 24
 MAX_FREQUENT = 1_000_000
 #: Frequencies are counted for the hashes below this share of the hash range.
 LOW_SHARE = 0.3
+#: Members of a list that are compared in one task with as many others.
+CHUNK = 1024
 #: 64-bit words of a parity sketch.
 SKETCH = 16
 
 
-def shingle_set(text: str | None, memo: WordHash, k: int = WORDS) -> np.ndarray:
-    """Sorted distinct shingle hashes of a whole text (A-Z lower-cased)."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    w = word_hashes(words, memo)
-    if 0 < len(w) < k:
-        return mix(gram_hashes(w, len(w)) + np.uint64(len(w)))
-    return np.unique(gram_hashes(w, k))
+def shingle_sets(texts: list[str | None], k: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each whole text (A-Z lower-cased)."""
+    out = []
+    for _, h, offsets in hash_words(texts, lower=True):
+        grams = gram_hashes(h, k)
+        for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            if e - s >= k:
+                out.append(np.unique(grams[s : e - k + 1]))
+            else:
+                out.append(mix(gram_hashes(h[s:e], e - s) + np.uint64(e - s)) if e > s else np.empty(0, np.uint64))
+    return out
 
 
 def _need(n: int, percent: int) -> int:
@@ -62,9 +69,8 @@ def _frequent(texts: DataFrame, k: int) -> np.ndarray:
     top = np.uint64(int(LOW_SHARE * 2**64))
 
     def run(batches):
-        memo = WordHash()
         for b in batches:
-            sets = [h[: np.searchsorted(h, top)] for h in (shingle_set(t, memo, k) for t in b.column(1).to_pylist())]
+            sets = [h[: np.searchsorted(h, top)] for h in shingle_sets(b.column(1).to_pylist(), k)]
             h, c = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
 
@@ -77,11 +83,10 @@ def _signatures(texts: DataFrame, frequent, k: int, percent: int) -> DataFrame:
     """doc_id, class (hash of the whole set; null if empty), size, and the short lists' hashes."""
 
     def run(batches):
-        memo, hot = WordHash(), frequent.value
+        hot = frequent.value
         for b in batches:
             cls, size, prefix, sketch = [], [], [], []
-            for t in b.column(1).to_pylist():
-                h = shingle_set(t, memo, k)
+            for h in shingle_sets(b.column(1).to_pylist(), k):
                 n = len(h)
                 size.append(n)
                 if not n:
@@ -124,6 +129,63 @@ def _sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(bits <= F.col("most") + 1e-6).select("a", "b")
 
 
+def _across(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of list members of different components that no filter rules out.
+
+    ``lists`` has h, len, d, n, p (place of h in d's order), comp and sketch. A list longer
+    than CHUNK is dealt to chunks, and each pair of chunks is compared in one task, block
+    by block in numpy; only pairs that pass are rows. With the overlap o that n and m need,
+    a common hash must be among the first n - o + 1 of one and m - o + 1 of the other, the
+    hashes before the first common one are in the difference, and so are at least as many
+    hashes as the parity sketches differ in bits.
+    """
+    k = F.ceil(F.col("len") / CHUNK).cast("int")
+    dealt = lists.withColumn("c", F.pmod(F.xxhash64("d"), k).cast("long")).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), k.cast("long") - 1)))
+    dealt = dealt.select("h", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "c", "d", "n", F.col("p").cast("long").alias("p"), "comp", "sketch")
+    dealt = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+
+    def compare(v: np.ndarray, s: np.ndarray):
+        left = v[:, 3] == v[0, 1]
+        right = v[:, 3] == v[0, 2]
+        a, b, sa, sb = v[left], v[right], s[left], s[right]
+        for at in range(0, len(a), 256):
+            x, sx = a[at : at + 256], sa[at : at + 256]
+            n, m = x[:, 5][:, None], b[:, 5][None, :]
+            o = -(-percent * (n + m) // (100 + percent))
+            px, pb = x[:, 6][:, None], b[:, 6][None, :]
+            may = (x[:, 7][:, None] != b[:, 7][None, :]) & (px <= n - o) & (pb <= m - o) & (px + pb <= n + m - 2 * o)
+            if v[0, 1] == v[0, 2]:
+                may &= x[:, 4][:, None] < b[:, 4][None, :]
+            u, w = np.nonzero(may)
+            if len(u):
+                differ = np.bitwise_count(sx[u] ^ sb[w]).sum(1)
+                ok = differ <= (n + m - 2 * o)[u, w]
+                yield x[u[ok], 4], b[w[ok], 4]
+
+    def run(batches):
+        v, s = np.empty((0, 8), np.int64), np.empty((0, SKETCH), np.uint64)
+
+        def done(v, s):
+            edge = [0, *(np.flatnonzero((v[1:, :3] != v[:-1, :3]).any(1)) + 1), len(v)]
+            found = [p for f, t in zip(edge, edge[1:], strict=False) if t - f > 1 for p in compare(v[f:t], s[f:t])]
+            a, b = (np.concatenate([p[i] for p in found]) if found else np.empty(0, np.int64) for i in (0, 1))
+            lo, hi = np.minimum(a, b), np.maximum(a, b)
+            both = np.unique(np.stack([lo, hi], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            v = np.concatenate([v, np.stack([batch.column(i).to_numpy() for i in range(8)], 1)])
+            s = np.concatenate([s, batch.column(8).flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)])
+            if not len(v):
+                continue
+            last = np.flatnonzero((v[:, :3] == v[-1, :3]).all(1))[0]
+            yield done(v[:last], s[:last])
+            v, s = v[last:], s[last:]
+        yield done(v, s)
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs whose whole sets reach the threshold: binary probes of the long lists."""
     need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
@@ -133,22 +195,25 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     small_batches(texts.sparkSession, 500)
 
     def run(batches):
-        memo = WordHash()
-        last, have = None, None
         for batch in batches:
+            a, ta = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            new = [i for i in range(len(a)) if not i or a[i] != a[i - 1] or ta[i] != ta[i - 1]]
+            left = np.repeat(np.arange(len(new)), np.diff([*new, len(a)])).tolist()
+            sets = shingle_sets([ta[i] for i in new], k)
             keep = []
-            for i, (a, ta, tb) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                if a != last or have is None:
-                    last, have = a, shingle_set(ta, memo, k)
-                other = shingle_set(tb, memo, k)
-                few, many = sorted((have, other), key=len)
+            for i, other in enumerate(shingle_sets(batch.column(3).to_pylist(), k)):
+                few, many = sorted((sets[left[i]], other), key=len)
+                if not len(few):
+                    continue
                 at = np.minimum(np.searchsorted(many, few), len(many) - 1)
-                o = int((many[at] == few).sum()) if len(many) else 0
+                o = int((many[at] == few).sum())
                 if o and 100 * o >= percent * (len(few) + len(many) - o):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return both.mapInArrow(run, "a long, b long")
+    out = cut(both.mapInArrow(run, "a long, b long"))
+    drop_cut(known)
+    return out
 
 
 def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -168,23 +233,20 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
     classes = cut(known.groupBy("cls").agg(F.min(F.struct("doc_id", "n", "prefix", "sketch")).alias("r")).select("cls", F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"), F.col("r.prefix").alias("prefix"), F.col("r.sketch").alias("sketch")))
 
     rows = classes.select(F.col("rep").alias("d"), "n", F.posexplode("prefix").alias("p", "h"))
-    lists = cut(rows.join(rows.groupBy("h").agg(F.min("d").alias("lead"), F.count("*").alias("len")).where("len > 1").select("h", "lead"), "h"))
+    lists = cut(rows.join(rows.groupBy("h").agg(F.min("d").alias("lead"), F.count("*").alias("len")).where("len > 1"), "h"))
     lead = lists.where("d = lead").select("h", F.col("d").alias("a"), "n", F.col("p").alias("pa"))
     first = lists.where("d <> lead").select("h", F.col("d").alias("b"), F.col("n").alias("m"), F.col("p").alias("pb")).join(lead, "h")
-    links = cut(_verify(cut(_sketched(_prune(first, percent), classes)), texts, k, percent))
+    links = _verify(cut(_sketched(_prune(first, percent), classes)), texts, k, percent)
     comp = components(links)
 
     # round 2: lists that still touch several components
-    mine = lists.join(comp.withColumnRenamed("id", "d"), "d", "left").withColumn("comp", F.coalesce("component", "d")).select("h", "d", "n", "p", "comp")
+    now = classes.select(F.col("rep").alias("d"), "sketch").join(comp.withColumnRenamed("id", "d"), "d", "left")
+    mine = lists.join(now, "d").withColumn("comp", F.coalesce("component", "d")).select("h", "len", "d", "n", "p", "comp", "sketch")
     open_lists = mine.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("h")
-    still = cut(mine.join(open_lists, "h"))
+    small_batches(spark, 10_000)
+    again = cut(_across(mine.join(open_lists, "h"), percent))
     drop_cut(lists)
-    one = still.select("h", F.col("d").alias("a"), "n", F.col("p").alias("pa"), F.col("comp").alias("ca"))
-    two = still.select("h", F.col("d").alias("b"), F.col("n").alias("m"), F.col("p").alias("pb"), F.col("comp").alias("cb"))
-    near = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
-    again = cut(_sketched(_prune(one.join(two, "h").where(near), percent), classes))
-    drop_cut(still)
-    more = cut(_verify(again, texts, k, percent))
+    more = _verify(again, texts, k, percent)
     if more.limit(1).count():
         comp = components(links.union(more))
     small_batches(spark)
