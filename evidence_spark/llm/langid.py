@@ -21,7 +21,7 @@ from evidence_spark.llm.common import crc_mod, small_batches
 
 DIMS = 4096
 #: Labelled rows that the centroids are fitted on, at most for each language.
-SAMPLE_PER_LANG = 1500
+SAMPLE_PER_LANG = 1000
 CENTROIDS = 4
 #: A text is rejected below this share of the lowest training cosine of its language.
 REJECT_SHARE = 0.5
@@ -67,8 +67,10 @@ class LangModel:
     floor: np.ndarray
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        v = np.log1p(counts) * self.idf
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        v = np.log1p(counts, dtype=np.float32)
+        v *= self.idf.astype(np.float32)
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        return v
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         """Language, score between 0 and 1, and whether the distance rejects the text."""
@@ -80,7 +82,7 @@ class LangModel:
                 at.append(i)
         if not rows or not len(self.owner):
             return pred, score, rejected
-        sim = self.vectors(np.array(rows, np.float64)) @ self.centroids.T
+        sim = self.vectors(np.array(rows, np.float32)) @ self.centroids.T
         best = sim.argmax(1)
         for i, b, s in zip(at, best, sim[np.arange(len(best)), best], strict=True):
             k = self.owner[b]
@@ -126,9 +128,11 @@ def fit_langid(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, dims: int = DIM
 
     got = picked.mapInArrow(counts, "lang string, v binary").collect()
     names = sorted({r["lang"] for r in got})
-    raw = [np.frombuffer(r["v"], "<u2" if len(r["v"]) == 2 * dims else "<u4") for r in got]
-    x = np.array(raw, np.float64).reshape(len(raw), dims)
+    x = np.zeros((len(got), dims), np.float32)
+    for i, r in enumerate(got):
+        x[i] = np.frombuffer(r["v"], "<u2" if len(r["v"]) == 2 * dims else "<u4")
     y = np.array([names.index(r["lang"]) for r in got])
+    del got
     model = LangModel(names, np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1.0, np.zeros((0, dims)), np.zeros(0, int), np.zeros(len(names)))
     v, cents, owner = model.vectors(x), [], []
     for j in range(len(names)):
