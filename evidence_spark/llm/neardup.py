@@ -163,8 +163,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
         out = classes.select("rep", "embedding", "n").mapInArrow(dealt(part), f"rep long, embedding {emb}, n long, block long, key long").repartition(max(1, blocks * len(part)), "block")
         out = cut(out.mapInArrow(compare, "rep long, root long, near array<long>, times array<long>"))
         found = out if found is None else found.union(out)
-    pairs = found.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("near", "times")))).alias("near"))
-    links = pairs.select("rep", F.aggregate("near", F.lit(0).cast("long"), lambda a, x: a + x["times"]).alias("links"))
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("near", "times")]
+
+    def union(batches):
+        for b in batches:
+            links = []
+            for i in range(len(b)):
+                near, times = (b.column(c)[i].values.to_numpy() for c in (1, 2))
+                links.append(int(times[np.unique(near, return_index=True)[1]].sum()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(links, pa.int64())], ["rep", "links"])
+
+    links = found.groupBy("rep").agg(*lists).mapInArrow(union, "rep long, links long")
     comp = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
     per = classes.select("h1", "h2", "rep", "n").join(links, "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     per = per.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
