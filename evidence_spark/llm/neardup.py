@@ -6,10 +6,15 @@ prefixes and so stand close together: each is compared, by exact cosine, with th
 neighbours in a bounded window. Passes with other hyperplanes find what one pass misses,
 and the verified pairs of all passes are united.
 
-The order is cut into blocks at quantiles of a bounded sample of keys, so a block has a
-bounded number of rows whatever the data; windows end at block borders, which other passes
-place elsewhere. Exactly equal vectors are one representative with a count before any
-pass, so thousands of copies neither fill a window nor a block.
+The order is cut into blocks at quantiles of a bounded sample of keys, and a key that fills
+several blocks is dealt over them, so a block has a bounded number of rows whatever the
+data; windows end at block borders, which other passes place elsewhere. Exactly equal
+vectors are one representative with a count before any pass, so thousands of copies neither
+fill a window nor a block.
+
+A window shows only a part of a large group of near copies. Vectors for which the passes
+find many links are therefore compared with every vector of their component, block against
+block, which counts their links in it exactly.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidence_spark.llm.common import components, cut, small_batches
+from evidence_spark.llm.common import components, cut, mix, small_batches
 
 THRESHOLD = 0.9
 PASSES = 12
@@ -30,6 +35,20 @@ BLOCK_ROWS = 4096
 #: Keys that the driver sees to place block borders, at most about so many.
 SAMPLE_KEYS = 20_000
 CHUNK = 256
+#: Rows of a component that one comparison of blocks holds on each side.
+GROUP_ROWS = 4096
+
+
+def tie_order(x: np.ndarray, p: int) -> np.ndarray:
+    """Projections that order rows of equal sign words in a pass."""
+    return x @ np.random.Generator(np.random.PCG64([p, x.shape[1], 1])).standard_normal(x.shape[1])
+
+
+def deal_runs(keys: np.ndarray, rep: np.ndarray, cuts: np.ndarray, p: int) -> np.ndarray:
+    """Blocks of keys; one that is a border several times is dealt over the blocks between."""
+    lo, hi = np.searchsorted(cuts, keys, side="left"), np.searchsorted(cuts, keys, side="right")
+    spread = mix(rep.astype(np.uint64) + np.uint64((p + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) % (hi - lo + 1).astype(np.uint64)
+    return np.where(hi - lo > 1, lo + spread.astype(np.int64), hi)
 
 
 def sign_keys(x: np.ndarray, passes: range) -> np.ndarray:
@@ -125,7 +144,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
                 for at, x in unit_groups(b.column(1)):
                     rows = b.take(pa.array(at))
                     for p, k in zip(part, sign_keys(x, part), strict=True):
-                        block = p * blocks + np.searchsorted(cuts[p], k, side="right")
+                        block = p * blocks + deal_runs(k, rows.column(0).to_numpy(), cuts[p], p)
                         yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(block), pa.array(k)], ["rep", "embedding", "n", "block", "key"])
 
         return run
@@ -140,7 +159,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
             part = t.take(pa.array(np.flatnonzero(block == one)))
             rep, n, key = (part.column(c).to_numpy() for c in ("rep", "n", "key"))
             for at, x in unit_groups(part.column("embedding")):
-                order = np.lexsort((rep[at], key[at]))
+                order = np.lexsort((tie_order(x, int(one) // blocks), key[at]))
                 at, x = at[order], x[order]
                 i, j = window_links(x, window, threshold)
                 if not len(i):
@@ -167,16 +186,59 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
 
     def union(batches):
         for b in batches:
-            links = []
+            links, near_classes = [], []
             for i in range(len(b)):
                 near, times = (b.column(c)[i].values.to_numpy() for c in (1, 2))
-                links.append(int(times[np.unique(near, return_index=True)[1]].sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(links, pa.int64())], ["rep", "links"])
+                first = np.unique(near, return_index=True)[1]
+                links.append(int(times[first].sum()))
+                near_classes.append(len(first))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(links, pa.int64()), pa.array(near_classes, pa.int64())], ["rep", "links", "near"])
 
-    links = found.groupBy("rep").agg(*lists).mapInArrow(union, "rep long, links long")
+    links = cut(found.groupBy("rep").agg(*lists).mapInArrow(union, "rep long, links long, near long"))
     comp = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
+    exact = _whole_groups(classes, links, comp, threshold, window)
+    links = links.drop("near")
+    if exact is not None:
+        links = links.join(exact, "rep", "left").select("rep", F.coalesce("exact", "links").alias("links"))
     per = classes.select("h1", "h2", "rep", "n").join(links, "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     per = per.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     out = ided.drop("embedding").join(per, ["h1", "h2"], "left")
     out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def _whole_groups(classes: DataFrame, links: DataFrame, comp: DataFrame, threshold: float, window: int) -> DataFrame | None:
+    """``rep, exact``: links within their component of the vectors whose windows are crowded.
+
+    Each of them is compared with every vector of the component, a block of one against a
+    block of the other in a group of rows, so no task holds more than two blocks at once.
+    """
+    crowded = links.where(F.col("near") >= max(1, window // 4)).select("rep", F.lit(True).alias("crowded"))
+    row = cut(comp.withColumnRenamed("id", "rep").join(crowded, "rep", "left"))
+    size = row.groupBy("component").agg(F.count("*").alias("m"), F.count("crowded").alias("q")).where("q > 0")
+    size = cut(size.select("component", F.ceil(F.col("m") / GROUP_ROWS).cast("int").alias("ms"), F.ceil(F.col("q") / GROUP_ROWS).cast("int").alias("qs")))
+    tasks = size.agg(F.sum(F.col("ms").cast("long") * F.col("qs"))).first()[0]
+    if not tasks:
+        return None
+    row = row.join(size, "component").join(classes.select("rep", "embedding", "n"), "rep").withColumn("h", F.xxhash64("rep"))
+    ms, qs = F.sequence(F.lit(0), F.col("ms") - 1), F.sequence(F.lit(0), F.col("qs") - 1)
+    one = row.where("crowded").withColumns({"side": F.lit(0), "u": F.pmod("h", "qs").cast("int")}).withColumn("v", F.explode(ms))
+    other = row.withColumns({"side": F.lit(1), "v": F.pmod("h", "ms").cast("int")}).withColumn("u", F.explode(qs))
+    both = one.unionByName(other).select("component", "u", "v", "side", "rep", "embedding", "n").repartition(min(int(tasks), 20_000), "component", "u", "v")
+
+    def across(t: pa.Table) -> pa.Table:
+        side, rep, n = (t.column(c).to_numpy() for c in ("side", "rep", "n"))
+        ids, count = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for at, x in unit_groups(t.column("embedding")):
+            a, b = side[at] == 0, side[at] == 1
+            own, near, times = rep[at][a], rep[at][b], n[at][b]
+            y, xa = x[b].T, x[a]
+            for s in range(0, len(xa), CHUNK):
+                hit = xa[s : s + CHUNK] @ y >= threshold
+                hit &= own[s : s + CHUNK, None] != near[None, :]
+                ids.append(own[s : s + CHUNK])
+                count.append(hit @ times)
+        return pa.table({"rep": np.concatenate(ids), "exact": np.concatenate(count)})
+
+    got = both.groupBy("component", "u", "v").applyInArrow(across, "rep long, exact long")
+    return cut(got.groupBy("rep").agg(F.sum("exact").alias("exact")))

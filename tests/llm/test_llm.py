@@ -133,6 +133,23 @@ def test_odd_vectors(spark):
     assert neardup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_crowded_groups(spark):
+    """Thousands of near copies, some of which differ by rounding only, keep all links."""
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal((2, 32))
+    near = [c + s * rng.standard_normal((3000, 32)) for c, s in zip(centre, (1e-9, 0.1), strict=True)]
+    x = np.concatenate([*near, rng.standard_normal((500, 32))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in neardup.near_duplicates(df, block_rows=512).collect()}
+    e = x / np.linalg.norm(x, axis=1, keepdims=True)
+    degree = (e @ e.T >= 0.9).sum(1) - 1
+    assert [got[i]["n_links"] for i in range(6000)] == degree[:6000].tolist()
+    assert all(got[i]["component_id"] == i // 3000 * 3000 for i in range(6000))
+    cuts = np.array([1, 5, 5, 5, 9])
+    block = neardup.deal_runs(np.full(4000, 5), np.arange(4000), cuts, 0)
+    assert sorted(set(block.tolist())) == [1, 2, 3, 4] and np.bincount(block).max() < 1200
+
+
 # -- personal data -----------------------------------------------------------------------
 
 PATTERNS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
