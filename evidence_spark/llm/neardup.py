@@ -19,6 +19,8 @@ block, which counts their links in it exactly.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +29,10 @@ from pyspark.sql import functions as F
 from evidence_spark.llm.common import components, cut, mix, small_batches
 
 THRESHOLD = 0.9
+#: Passes at least; more follow from the number of vectors (:func:`passes_for`).
 PASSES = 12
+#: Share of the pairs just at the threshold that the passes should meet.
+RECALL = 0.997
 PASSES_AT_ONCE = 4
 BITS = 62
 WINDOW = 256
@@ -35,10 +40,24 @@ BLOCK_ROWS = 4096
 #: Keys that the driver sees to place block borders, at most about so many.
 SAMPLE_KEYS = 20_000
 CHUNK = 256
+#: Values of the neighbour lists that one batch may hold.
+LIST_VALUES = 2_000_000
 #: Rows of a component that one comparison of blocks holds on each side.
 GROUP_ROWS = 4096
 
 
+def passes_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW) -> int:
+    """Passes that meet :data:`RECALL` of the pairs at the threshold among ``n`` vectors.
+
+    A pass shows a pair if the sign words agree to the depth at which about a window of
+    vectors shares a prefix; each sign agrees with probability 1 - angle / pi.
+    """
+    depth = math.log2(max(1.0, n / window))
+    agree = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    meet = max(1e-6, agree**depth)
+    return PASSES if meet >= 1 else max(PASSES, math.ceil(math.log(1 - RECALL) / math.log(1 - meet)))
+
+
 def tie_order(x: np.ndarray, p: int) -> np.ndarray:
     """Projections that order rows of equal sign words in a pass."""
     return x @ np.random.Generator(np.random.PCG64([p, x.shape[1], 1])).standard_normal(x.shape[1])
@@ -105,7 +124,7 @@ def local_roots(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.nda
         root = new
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: int | None = None, window: int = WINDOW, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors``.
 
     ``vectors`` has vec_id and embedding (array of float or double); other columns, labels
@@ -125,6 +144,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
         .agg(F.min_by("embedding", "vec_id").alias("embedding"), F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     )
     total = classes.count()
+    passes = passes or passes_for(total, threshold, window)
     blocks = max(1, -(-total // block_rows))
     share = min(1.0, SAMPLE_KEYS / max(total, 1))
 
@@ -194,7 +214,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
                 near_classes.append(len(first))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(links, pa.int64()), pa.array(near_classes, pa.int64())], ["rep", "links", "near"])
 
+    small_batches(spark, max(1, LIST_VALUES // (2 * window * passes)))
     links = cut(found.groupBy("rep").agg(*lists).mapInArrow(union, "rep long, links long, near long"))
+    small_batches(spark, 4000)
     comp = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
     exact = _whole_groups(classes, links, comp, threshold, window)
     links = links.drop("near")

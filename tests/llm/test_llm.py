@@ -133,6 +133,24 @@ def test_odd_vectors(spark):
     assert neardup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_passes_follow_the_table():
+    """Planted pairs just above the threshold are met in larger tables too."""
+    rng = np.random.default_rng(4)
+    n, pairs, cosine = 60_000, 1000, 0.905
+    x = rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((pairs, 64))
+    y -= (y * x[:pairs]).sum(1, keepdims=True) * x[:pairs]
+    x[pairs : 2 * pairs] = cosine * x[:pairs] + (1 - cosine**2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
+    met = np.zeros(pairs, bool)
+    for p in range(neardup.passes_for(n)):
+        place = np.empty(n, int)
+        place[np.argsort(neardup.sign_keys(x, range(p, p + 1))[0])] = np.arange(n)
+        met |= abs(place[:pairs] - place[pairs : 2 * pairs]) <= neardup.WINDOW
+    assert met.mean() >= 0.995
+    assert neardup.passes_for(100) == neardup.PASSES < neardup.passes_for(100_000) < neardup.passes_for(10_000_000)
+
+
 def test_crowded_groups(spark):
     """Thousands of near copies, some of which differ by rounding only, keep all links."""
     rng = np.random.default_rng(3)
