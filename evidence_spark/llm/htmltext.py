@@ -40,7 +40,8 @@ IMPLIED = {
 #: An end tag does not close elements beyond these.
 WALL = frozenset(("td", "th", "table", "caption"))
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^\"'>]++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+'|[\"'])*+)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)", re.S)
+_STOP = re.compile(r"[\"'>]")
 _ATTR = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 _GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -100,6 +101,47 @@ class _Flow:
         self.lines.append(text.rstrip())
 
 
+class _Tags:
+    """Ends of the tags of a page, found in one linear scan.
+
+    A quote opens a value of any length after '=' only; elsewhere, or where nothing closes
+    it, it is a character. The last place of each kind of quote, the stop found last and
+    the places from which no end was found are remembered, so that a page of open quotes or
+    tags is not read again and again.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.last = {q: page.rfind(q) for q in "\"'>"}
+        self.dead: set[int] = set()
+        self.since, self.stop = 0, -1
+
+    def _next(self, at: int) -> int:
+        if not self.since <= at <= self.stop:
+            m = _STOP.search(self.page, at)
+            self.since, self.stop = at, m.start() if m else len(self.page)
+        return self.stop
+
+    def end(self, at: int) -> int:
+        """Place of the '>' of the tag whose name ends at ``at``; -1 if there is none."""
+        page, seen, begin = self.page, [], at
+        while at <= self.last[">"]:
+            stop = self._next(at)
+            if stop in self.dead:
+                break
+            seen.append(stop)
+            c, at = page[stop], stop + 1
+            if c == ">":
+                return stop
+            before = stop - 1
+            while before >= begin and page[before] in " \t\n\r\f":
+                before -= 1
+            if before >= begin and page[before] == "=" and at <= self.last[c]:
+                at = page.find(c, at) + 1
+        self.dead.update(seen)
+        return -1
+
+
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)}
 
@@ -257,9 +299,18 @@ def render(page: str) -> tuple[str, str]:
     """Title and laid-out visible text of a page."""
     r = _Renderer()
     at, title = 0, ""
-    while m := _TOKEN.search(page, at):
+    tags = _Tags(page)
+    begin = 0
+    while m := _TOKEN.search(page, begin):
+        stop = m.end()
+        if m[3]:
+            stop = tags.end(stop) + 1
+            if not stop:  # no tag: text
+                begin = m.start() + 1
+                continue
         r.text(page[at : m.start()])
-        at = m.end()
+        raw = page[m.end() : stop - 1]
+        at = begin = stop
         if m[1] is not None:
             r.text(html.escape(m[1]))
         if not m[3]:
@@ -268,7 +319,7 @@ def render(page: str) -> tuple[str, str]:
         if m[2]:
             r.end(tag)
             continue
-        r.start(tag, m[4])
+        r.start(tag, raw)
         if tag in RAW:
             close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(page, at)
             body, after = (page[at : close.start()], close.end()) if close else (page[at:], len(page))
@@ -278,7 +329,7 @@ def render(page: str) -> tuple[str, str]:
                 if tag not in HIDDEN:
                     r.text(body)
                 r._pop_to(len(r.stack) - 1)
-            at = after
+            at = begin = after
     r.text(page[at:])
     r._pop_to(0)
     r.flows[0].end()

@@ -308,6 +308,18 @@ def test_layout():
         htmltext.render(odd)
 
 
+def test_long_attributes():
+    for n in (100, 5000, 300_000):
+        value = "x" * n + "<b>leak</b>" + "y" * n
+        for q in "\"'":
+            assert htmltext.render(f"<p>a<div data-x={q}{value}{q} style='display:none'>hidden</div><p title = {q}{value}{q}>b")[1] == "a\n\nb"
+    assert htmltext.render("<p it's>a</p><p>it's b")[1] == "a\n\nit's b"
+    assert htmltext.render("<p title='open>a<p>b")[1] == "a\n\nb"
+    for odd in ("<a x=\"", "<a x='\"", "<a ", "<a x=\"<a y='"):
+        for end in ("", ">", ">\"", ">'\"", "=\">\""):
+            htmltext.render(odd * 100_000 + end)
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     got = {r["page_id"]: r for r in htmltext.extract_text(pages).collect()}
