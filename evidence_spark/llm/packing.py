@@ -25,8 +25,6 @@ SEQ_LEN = 2048
 END_ID = 0
 #: Pieces that one shard should hold; a shard wastes about one sequence.
 SHARD_PIECES = 20_000
-#: Rounds of local search over the bins of a shard.
-ROUNDS = 3
 
 _ENC: dict[str, object] = {}
 
@@ -62,7 +60,7 @@ def cut_pieces(n: int, size: int = SEQ_LEN) -> list[tuple[int, int]]:
     return [(0, first), *((s, size) for s in range(first, n, size))]
 
 
-def pack_lengths(lengths: list[int], size: int = SEQ_LEN, rounds: int = ROUNDS) -> list[list[int]]:
+def pack_lengths(lengths: list[int], size: int = SEQ_LEN) -> list[list[int]]:
     """Bins of item numbers, each of at most ``size`` in all."""
     bins: list[list[int]] = []
     fill: list[int] = []
@@ -87,52 +85,114 @@ def pack_lengths(lengths: list[int], size: int = SEQ_LEN, rounds: int = ROUNDS)
             if not open_bins[room]:
                 insort(rooms, room)
             open_bins[room].append(b)
-    for _ in range(rounds):
-        if not _improve(bins, fill, lengths, size):
-            break
+    _improve(bins, fill, lengths, size, -(-sum(lengths) // size))
     return [b for b in bins if b]
 
 
-def _improve(bins: list[list[int]], fill: list[int], lengths: list[int], size: int) -> bool:
-    """One pass over the underfull bins, emptiest first; True where something moved.
+def _sums(items: list[int], lengths: list[int]) -> np.ndarray:
+    """Lengths that no, one or two items of a bin have together."""
+    u, n = np.unique([lengths[i] for i in items], return_counts=True)
+    i, j = np.triu_indices(len(u))
+    ok = (i != j) | (n[i] > 1)
+    return np.unique(np.concatenate(([0], u, (u[i] + u[j])[ok])))
 
-    Each step takes the items of one bin and looks for a bin of at least its fill that
-    gets fuller by a move, a one-for-one or a two-for-one exchange. As the fuller bin
-    gains what the emptier one loses, the sum of squared fills grows with each step.
+
+def _items(items: list[int], lengths: list[int], total: int) -> list[int]:
+    """The fewest items, two at most, that have a length together."""
+    if not total:
+        return []
+    at: dict[int, int] = {}
+    for i in items:
+        if lengths[i] == total:
+            return [i]
+    for i in items:
+        if total - lengths[i] in at:
+            return [i, at[total - lengths[i]]]
+        at[lengths[i]] = i
+    raise ValueError(total)
+
+
+class _Options:
+    """What each underfull bin can give back, as rows of (sum, sum + room, fill, bin).
+
+    Rows of a changed bin are blanked and written anew at the end. A length for which no
+    row was found is therefore looked up in later rows only, unless from an emptier bin.
     """
-    under = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < size), key=lambda b: fill[b])
-    moved = False
-    for pos, a in enumerate(under):
-        targets = under[pos + 1 :][-64:]
-        for i in sorted(bins[a], key=lambda i: -lengths[i]):
-            n = lengths[i]
-            for b in reversed(targets):
-                room = size - fill[b]
-                if not room or not bins[b] or fill[b] < fill[a]:
-                    continue
-                gives: tuple[int, ...] | None = None
-                if n <= room:
-                    gives = ()
-                else:
-                    need = n - room  # at least so much has to come back, and less than n
-                    ones = [j for j in bins[b] if need <= lengths[j] < n]
-                    if ones:
-                        gives = (min(ones, key=lambda j: lengths[j]),)
-                    else:
-                        small = sorted((j for j in bins[b] if lengths[j] < need), key=lambda j: lengths[j])
-                        lo, hi = 0, len(small) - 1
-                        while lo < hi:
-                            both = lengths[small[lo]] + lengths[small[hi]]
-                            if both < need:
-                                lo += 1
-                            elif both >= n:
-                                hi -= 1
-                            else:
-                                gives = (small[lo], small[hi])
-                                break
-                if gives is None:
+
+    def __init__(self, bins: list[list[int]], fill: list[int], lengths: list[int], size: int) -> None:
+        self.bins, self.fill, self.lengths, self.size = bins, fill, lengths, size
+        self.rows = np.empty((4, 1024), np.int64)
+        self.build()
+
+    def build(self) -> None:
+        self.end = self.live = 0
+        self.place: dict[int, tuple[int, int]] = {}
+        self.none: dict[int, tuple[int, int]] = {}  # length -> least fill, rows looked up
+        for b in range(len(self.bins)):
+            self.write(b)
+
+    def write(self, b: int) -> None:
+        if b in self.place:
+            s, e = self.place.pop(b)
+            self.rows[1, s:e] = -1
+            self.live -= e - s
+        room = self.size - self.fill[b]
+        if not self.bins[b] or room <= 0:
+            return
+        sums = _sums(self.bins[b], self.lengths)
+        s, e = self.end, self.end + len(sums)
+        while e > self.rows.shape[1]:
+            self.rows = np.concatenate((self.rows, np.empty_like(self.rows)), axis=1)
+        self.rows[0, s:e], self.rows[1, s:e], self.rows[2, s:e], self.rows[3, s:e] = sums, sums + room, self.fill[b], b
+        self.place[b], self.end = (s, e), e
+        self.live += e - s
+
+    def best(self, a: int, n: int) -> tuple[int, int] | None:
+        """Bin of at least the fill of ``a``, and what it gives back for a length ``n``."""
+        least, start = self.none.get(n, (0, 0))
+        f = self.fill[a]
+        if n not in self.none or f < least:
+            least, start = f, 0
+        back, reach, fill, of = self.rows[:, start : self.end]
+        at = np.flatnonzero((back < n) & (reach >= n) & (fill >= f))
+        other = at[of[at] != a]
+        if not len(other):
+            if not len(at) and f <= least:
+                self.none[n] = (f, self.end)
+            return None
+        gain = n - back[other]
+        pick = other[np.argmax(gain * (fill[other] - f + gain))]
+        return int(of[pick]), int(back[pick])
+
+    def changed(self, *bins: int) -> None:
+        for b in bins:
+            self.write(b)
+        if self.end > 2 * self.live + 20_000:
+            self.build()
+
+
+def _improve(bins: list[list[int]], fill: list[int], lengths: list[int], size: int, least: int = 0) -> bool:
+    """Moves and exchanges until none helps or ``least`` bins are left; True where something moved.
+
+    Each step takes an item of one bin, emptiest first, and looks among all bins of at
+    least its fill for the one that gains most by a move, a one-for-one or a two-for-one
+    exchange. As the fuller bin gains what the emptier one loses, the sum of squared fills
+    grows with each step, which ends the search.
+    """
+    used = sum(map(bool, bins))
+    if used <= least:
+        return False
+    options, any_moved, moved = _Options(bins, fill, lengths, size), False, True
+    while moved:
+        moved = False
+        for a in sorted((b for b in range(len(bins)) if bins[b] and fill[b] < size), key=lambda b: fill[b]):
+            for i in sorted(bins[a], key=lambda i: -lengths[i]):
+                n = lengths[i]
+                found = options.best(a, n) if fill[a] < size else None
+                if found is None:
                     continue
-                back = sum(lengths[j] for j in gives)
+                b, back = found
+                gives = _items(bins[b], lengths, back)
                 bins[a].remove(i)
                 bins[b].append(i)
                 for j in gives:
@@ -140,9 +200,13 @@ def _improve(bins: list[list[int]], fill: list[int], lengths: list[int], size: i
                     bins[a].append(j)
                 fill[a] += back - n
                 fill[b] += n - back
-                moved = True
-                break
-    return moved
+                options.changed(a, b)
+                moved = any_moved = True
+                if not bins[a]:
+                    used -= 1
+                    if used <= least:
+                        return True
+    return any_moved
 
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"

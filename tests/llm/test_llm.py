@@ -437,6 +437,24 @@ def test_local_search():
     assert sum(f * f for f in fill) >= 50 * 50 + 90 * 90
 
 
+def test_local_search_reaches_all_bins():
+    """Lengths on which best fit is far from the bound: no exchange is left untried."""
+    rng = np.random.default_rng(7)
+    for low, high in ((400, 900), (500, 1100)):
+        sizes = rng.integers(low, high, 600).tolist()
+        bins = packing.pack_lengths(sizes, 2048)
+        assert sorted(i for b in bins for i in b) == list(range(600))
+        fill = [sum(sizes[i] for i in b) for b in bins]
+        assert max(fill) <= 2048
+        for a, mine in enumerate(bins):
+            for n in {sizes[i] for i in mine}:
+                for b, other in enumerate(bins):
+                    if a != b and fill[b] >= fill[a]:
+                        room, gives = 2048 - fill[b], [sizes[j] for j in other]
+                        back = [0, *gives, *(x + y for k, x in enumerate(gives) for y in gives[:k])]
+                        assert not any(0 < n - x <= room for x in back)
+
+
 def test_packing(spark, docs, texts, odd):
     tokenizers = pytest.importorskip("tokenizers")
     import public_tokenizers
