@@ -42,9 +42,17 @@ LOOKALIKE = {
 }
 SEPARATORS = frozenset("._-*~·•'’`^/\\,:")
 EDGE = ".,;:!?\"'()[]{}<>|&%#*$@+=~`^/\\-_…“”‘’«»¿¡·•"
-COST_SYMBOL, COST_SKIP, COST_REPEAT = 1.0, 0.2, 0.3
-
-_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+#: What a token may lose at its ends before it is decoded: no look-alikes.
+DECORATION = "".join(c for c in EDGE if c not in LOOKALIKE)
+#: Look-alikes that are usual punctuation at the start or the end of a word.
+USUAL_START, USUAL_END = frozenset("(<¡|+"), frozenset("!|+")
+COST_SYMBOL, COST_SKIP, COST_REPEAT, COST_DROP = 1.0, 0.2, 0.3, 6.0
+#: A gap between single letters that ends a word, and one between longer pieces that does not.
+COST_SPACE, COST_JOIN = 1.0, 2.0
+#: Pieces of words have at most so many characters, and a letter or end less likely than this.
+PIECE_CHARS, ODD_PIECE = 4, -5.0
+
+_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S){2,}(?!\S)")
 _RUN = re.compile(r"(.)\1+")
 _LONG_RUN = re.compile(r"(.)\1\1")
 _LETTERS = re.compile(r"[^\W\d_]")
@@ -73,11 +81,13 @@ class CharModel:
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """For each character, the letters it may be, or '' for none, with their costs."""
     out = []
+    first, last = len(token) - len(token.lstrip(EDGE)), len(token.rstrip(EDGE))
     for i, c in enumerate(token):
         if c in LOOKALIKE:
             options = [(x, COST_SYMBOL) for x in LOOKALIKE[c]]
             if not c.isdigit():
-                options.append(("", COST_SYMBOL))
+                unusual = (i < first and c not in USUAL_START) or (i >= last and c not in USUAL_END)
+                options.append(("", COST_DROP if unusual else COST_SYMBOL))
         elif c.isalpha():
             options = [(c, 0.0)]
         else:
@@ -88,20 +98,37 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(token: str, model: CharModel) -> str:
-    """The most likely word behind a token."""
+_JOINED = "\x1f"
+
+
+def decode(token: str | list[str], model: CharModel) -> str:
+    """The most likely word behind a token, or the words behind pieces set apart by spaces.
+
+    A gap between pieces either ends a word or not; a word of several pieces has a mark
+    at each gap inside it.
+    """
+    pieces = [token] if isinstance(token, str) else token
     best: dict[str, tuple[float, tuple]] = {"^^": (0.0, ())}
-    for options in lattice(token):
-        new: dict[str, tuple[float, tuple]] = {}
-        for ctx, (score, path) in best.items():
-            for letter, cost in options:
-                if letter:
-                    s, key, p = score - cost + model.tri.get(ctx + letter, model.unseen), ctx[1] + letter, (path, letter)
-                else:
-                    s, key, p = score - cost, ctx, path
-                if key not in new or s > new[key][0]:
-                    new[key] = (s, p)
-        best = new
+    for k, piece in enumerate(pieces):
+        if k:
+            single = len(piece) == len(pieces[k - 1]) == 1
+            new = {ctx: (score - (0.0 if single else COST_JOIN), (path, _JOINED)) for ctx, (score, path) in best.items()}
+            ended = max(((score + (model.tri.get(ctx + "$", model.unseen) if ctx != "^^" else 0.0), path) for ctx, (score, path) in best.items()), key=lambda x: x[0])
+            ended = (ended[0] - (COST_SPACE if single else 0.0), (ended[1], " "))
+            if "^^" not in new or ended[0] > new["^^"][0]:
+                new["^^"] = ended
+            best = new
+        for options in lattice(piece):
+            new = {}
+            for ctx, (score, path) in best.items():
+                for letter, cost in options:
+                    if letter:
+                        s, key, p = score - cost + model.tri.get(ctx + letter, model.unseen), ctx[1] + letter, (path, letter)
+                    else:
+                        s, key, p = score - cost, ctx, path
+                    if key not in new or s > new[key][0]:
+                        new[key] = (s, p)
+            best = new
     path = max(((s + model.tri.get(ctx + "$", model.unseen), p) for ctx, (s, p) in best.items()), key=lambda x: x[0])[1]
     letters: list[str] = []
     while path:
@@ -116,6 +143,32 @@ class Restorer(dict):
     def __init__(self, model: CharModel):
         super().__init__()
         self.model = model
+        self.odd: dict[str, bool] = {}
+        self.runs: dict[tuple[str, ...], list[str]] = {}
+
+    def is_odd(self, token: str) -> bool:
+        """Whether a short token is unlikely to be a word of its own."""
+        if token not in self.odd:
+            if len(self.odd) > 300_000:
+                self.odd.clear()
+            w = token.strip(DECORATION)
+            odd = 1 < len(w) <= PIECE_CHARS and w[:1].isalpha() and w.isascii()
+            if odd:
+                got = f"^^{self.restore(token)}$"
+                seen = [self.model.tri.get(got[i : i + 3], self.model.unseen) for i in range(len(got) - 2)]
+                odd = len(got) > 3 and min(seen) < ODD_PIECE
+            self.odd[token] = odd
+        return self.odd[token]
+
+    def joined(self, pieces: list[str]) -> list[str]:
+        """Squeezed words that are made of several of the pieces."""
+        key = tuple(c for p in pieces if (c := p.strip(DECORATION) or p))
+        if key not in self.runs:
+            if len(self.runs) > 50_000:
+                self.runs.clear()
+            words = decode(list(key), self.model).split(" ") if sum(map(str.isalpha, "".join(key))) > 1 else []
+            self.runs[key] = [squeeze(w.replace(_JOINED, "")) for w in words if _JOINED in w.strip(_JOINED)]
+        return self.runs[key]
 
     def __missing__(self, token: str) -> str:
         if len(self) > 300_000:
@@ -126,19 +179,11 @@ class Restorer(dict):
     def restore(self, token: str) -> str:
         if not token.isascii():
             token = unicodedata.normalize("NFKC", token).lower()
-        core = token.strip(EDGE)
+        core, inner = token.strip(DECORATION), token.strip(EDGE)
         if core.isalpha() and not _LONG_RUN.search(core):
-            tail = token[len(token.rstrip(EDGE)) :]
-            head = token[: len(token) - len(token.lstrip(EDGE))]
-            # one look-alike at an end may be a letter; more are decoration
-            if tail[:1] in ("$", "@") and len(tail) == 1:
-                core += tail
-            elif head[-1:] in ("$", "@") and len(head) == 1:
-                core = head + core
-            else:
-                return core
-        letters = len(_LETTERS.findall(core))
-        if not letters or 3 * letters < len(core) - sum(c in SEPARATORS for c in core):
+            return core
+        letters = len(_LETTERS.findall(inner))
+        if not letters or 3 * letters < len(inner) - sum(c in SEPARATORS for c in inner):
             return ""
         return decode(core, self.model)
 
@@ -148,9 +193,16 @@ def words_of(text: str | None, restorer: Restorer) -> set[str]:
     if not text:
         return set()
     low = text.lower()
-    out = set(map(restorer.__getitem__, low.split()))
+    tokens = low.split()
+    different = set(tokens)
+    out = set(map(restorer.__getitem__, different))
     for m in _SPACED.finditer(low):
-        out.add(restorer["".join(m[0].split())])
+        out.update(restorer.joined(m[0].split()))
+    odd = {w for w in different if len(w) <= PIECE_CHARS + 2 and restorer.is_odd(w)}
+    if odd:
+        for k, w in enumerate(tokens):
+            if w in odd:
+                out.update(restorer.joined([t for t in tokens[max(0, k - 1) : k + 2] if len(t) <= PIECE_CHARS + 2]))
     out.discard("")
     return out
 

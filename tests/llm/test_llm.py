@@ -86,6 +86,20 @@ def test_decoding():
     assert "idiot" in toxicity.words_of("you i d i o t here", r)
 
 
+def test_decoding_of_ends_and_gaps():
+    text = "you are a loser and the idiot has a stupid ass or moron in as many other words " * 50
+    counts = Counter()
+    for w in text.split():
+        w = f"^^{w}$"
+        counts.update(w[i : i + 3] for i in range(len(w) - 2))
+    r = toxicity.Restorer(toxicity.CharModel.of(counts))
+    for token, word in {"$tup1d": "stupid", "a$$": "ass", "!diot": "idiot", "idiot!!!!!!!!!!!!!!!!": "idiot", "(loser)": "loser", "m0r0n!": "moron"}.items():
+        assert r[token] == toxicity.squeeze(word), token
+    for run in ("y o u i d i o t", "a i d i o t", "i  d  i  o  t", "you id iot now", "a $ t u p i d i d i o t"):
+        assert "idiot" in toxicity.words_of(run, r), run
+    assert {"you", "idiot"} <= toxicity.words_of("y o u i d i o t", r)
+
+
 def test_toxicity(spark, docs, odd):
     from pyspark.sql import functions as F
 
