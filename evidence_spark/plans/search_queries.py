@@ -65,6 +65,20 @@ def _(s, d):
     return top.select("record_id", F.rank().over(W.orderBy(S.field("Data.@timestamp"), "record_id")).alias("place"))
 
 
+@query("q7_sort_all", "SELECT record_id, rank() OVER (ORDER BY t, record_id) AS place FROM {REC}")
+def _(s, d):
+    from pyspark.sql import Window as W
+
+    from evidence_spark.functions.storage import cut
+
+    # places are counted within the range partitions of the sort, then shifted by the rows before
+    n = F.monotonically_increasing_id()
+    part = cut(S.sort_records(rec(s, d)).select("record_id", F.shiftright(n, 33).alias("part"), n.bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
+    size = part.groupBy("part").agg(F.count("*").alias("rows"))
+    before = size.select("part", (F.sum("rows").over(W.orderBy("part")) - F.col("rows")).alias("before"))
+    return part.join(F.broadcast(before), "part").select("record_id", (F.col("before") + F.col("at") + 1).alias("place"))
+
+
 @query("q8_page", "SELECT record_id, t FROM {REC} ORDER BY t, record_id LIMIT 50 OFFSET 150")
 def _(s, d):
     return S.page(rec(s, d), 3, 50).select("record_id", R.get_path("v", "@timestamp").alias("t"))
