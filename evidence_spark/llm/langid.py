@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidence_spark.llm.common import crc_mod, small_batches
+from evidence_spark.llm.common import crc_mod, cut, drop_cut, small_batches
 
 DIMS = 4096
 #: Labelled rows that the centroids are fitted on, at most for each language.
@@ -102,46 +102,68 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return cent
 
 
+def _fit_language(counts: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, float]:
+    """Centroids of the count vectors of one language, and the least cosine that it keeps to."""
+    v = LangModel([], idf, np.zeros((0, len(idf))), np.zeros(0, int), np.zeros(0)).vectors(counts)
+    cents = _cluster(v, k)
+    return cents, REJECT_SHARE * float((v @ cents.T).max(1).min())
+
+
 def fit_langid(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, dims: int = DIMS, k: int = CENTROIDS) -> LangModel:
-    """Fit on at most ``per_lang`` training rows of each language.
+    """Fit on at most about ``per_lang`` training rows of each language.
 
     Training rows have text, a lang, and a crc32 of doc_id that is not 2 modulo 4. The
     sample is the rows of each language with the smallest hashes of doc_id: a counting
-    pass that does not read texts sets the share to take.
+    pass that does not read texts sets the share to take. Every language is clustered in a
+    task of its own, which holds its bounded sample; the driver only gets document
+    frequencies and the centroids (at most ``k`` rows for each language). A language of
+    which no sampled text has a letter is not learned.
     """
-    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (crc_mod("doc_id", 4) != 2))
-    per = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(500).collect()}
-    if not per:
-        return LangModel([], np.ones(dims), np.zeros((0, dims)), np.zeros(0, int), np.zeros(0))
-    share = F.create_map(*[x for lang, n in per.items() for x in (F.lit(lang), F.lit(int(min(1.0, per_lang / n) * 1_000_000)))])
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < share[F.col("lang")]).where("text is not null")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & (crc_mod("doc_id", 4) != 2))
+    per = rows.groupBy("lang").agg(F.least(F.lit(per_lang) / F.count("*"), F.lit(1.0)).alias("share"))
+    picked = rows.join(per, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < F.col("share") * 1_000_000).where("text is not null")
     small_batches(docs.sparkSession)
 
     def counts(batches):
         for b in batches:
             c = [gram_counts(t, dims) for t in b.column(1).to_pylist()]
             keep = [i for i, x in enumerate(c) if x is not None]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(2).take(pa.array(keep, pa.int64())), pa.array([c[i].astype("<u2" if c[i].max() < 65536 else "<u4").tobytes() for i in keep], pa.binary())],
-                ["lang", "v"],
-            )
+            at = [np.flatnonzero(c[i]).astype(np.int32) for i in keep]
+            n = [c[i][x].astype(np.int32) for i, x in zip(keep, at, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], ["lang", "at", "n"])
 
-    got = picked.mapInArrow(counts, "lang string, v binary").collect()
+    sample = cut(picked.select("lang", "text").mapInArrow(counts, "lang string, at array<int>, n array<int>"))
+
+    def seen_in(batches):
+        total = np.zeros(dims + 1, np.int64)
+        for b in batches:
+            total[0] += len(b)
+            total[1:] += np.bincount(b.column(0).flatten().to_numpy(), minlength=dims)
+        hit = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], ["place", "n"])
+
+    df = np.zeros(dims + 1, np.int64)
+    for r in sample.select("at").mapInArrow(seen_in, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():  # at most dims + 1 rows
+        df[r["place"]] = r["n"]
+    idf = np.log((1 + df[0]) / (1 + df[1:])) + 1.0
+
+    def fit(t: pa.Table) -> pa.Table:
+        x = np.zeros((len(t), dims), np.float32)
+        for i, (at, n) in enumerate(zip(t.column("at").to_pylist(), t.column("n").to_pylist(), strict=True)):
+            x[i, at] = n
+        # one order whatever the order of arrival
+        cents, floor = _fit_language(x[sorted(range(len(x)), key=lambda i: x[i].tobytes())], idf, k)
+        return pa.table({"lang": [t.column("lang")[0].as_py()] * len(cents), "centroid": [c.astype("<f4").tobytes() for c in cents], "floor": [floor] * len(cents)})
+
+    got = sorted(sample.groupBy("lang").applyInArrow(fit, "lang string, centroid binary, floor double").collect())
+    drop_cut(sample)
     names = sorted({r["lang"] for r in got})
-    x = np.zeros((len(got), dims), np.float32)
-    for i, r in enumerate(got):
-        x[i] = np.frombuffer(r["v"], "<u2" if len(r["v"]) == 2 * dims else "<u4")
-    y = np.array([names.index(r["lang"]) for r in got])
-    del got
-    model = LangModel(names, np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1.0, np.zeros((0, dims)), np.zeros(0, int), np.zeros(len(names)))
-    v, cents, owner = model.vectors(x), [], []
-    for j in range(len(names)):
-        c = _cluster(v[y == j], k)
-        cents.append(c)
-        owner += [j] * len(c)
-        model.floor[j] = REJECT_SHARE * float((v[y == j] @ c.T).max(1).min())
-    model.centroids, model.owner = np.vstack(cents) if cents else model.centroids, np.array(owner, int)
-    return model
+    at = {name: j for j, name in enumerate(names)}
+    cents = np.array([np.frombuffer(r["centroid"], "<f4") for r in got], np.float32).reshape(-1, dims)
+    floor = np.zeros(len(names))
+    for r in got:
+        floor[at[r["lang"]]] = r["floor"]
+    return LangModel(names, idf, cents, np.array([at[r["lang"]] for r in got], int), floor)
 
 
 def identify_language(docs: DataFrame, model: LangModel) -> DataFrame:
