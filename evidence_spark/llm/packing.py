@@ -9,47 +9,101 @@ fuller bin, or one or two documents change places with one, until bins become em
 
 from __future__ import annotations
 
-import base64
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidence_spark.llm.common import small_batches
+from evidence_spark.llm.common import cut, small_batches
 
 SEQ_LEN = 2048
 END_ID = 0
+END = END_ID.to_bytes(4, "little")
 #: Pieces that one shard should hold; a shard wastes about one sequence.
 SHARD_PIECES = 20_000
 
-_ENC: dict[str, object] = {}
+#: Distinct words of which a task remembers the ids.
+KNOWN_WORDS = 1_000_000
+#: Characters of the texts of which the words are looked up together.
+LOOKUP_CHARS = 2_000_000
+#: Characters of which the words are found here as the tokenizer finds them (tests compare
+#: each one): other texts, and those with a special token, go to the tokenizer whole.
+_PLAIN = regex.compile(r"[\x00-\u0530\u2000-\u206f\u20a0-\u20bf\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\U0001f300-\U0001f64f]*+")
+#: A space that does not start a word.
+_LOOSE = regex.compile(r"^ | $| \s")
 
+_ENCODERS: dict[str, Encoder] = {}
 
-def encoder(ranks_path: str | None = None):
-    """Encoder for the byte-level BPE vocabulary given as a file of ranks.
 
-    The ranks file and the ``tokenizers`` file of the same vocabulary give the same ids
-    (tests compare them); this form needs about a quarter of the time.
-    """
-    import public_tokenizers
-    import tiktoken
-
-    path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    if path not in _ENC:
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENC[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENC[path]
+class Encoder:
+    """Ids of whole texts by ``tokenizers``, which sees every distinct word once.
 
+    The byte-level vocabulary merges bytes within the pieces of its public pattern only,
+    and a piece always begins at a space that a word follows. So the ids of a text are
+    those of its words, each with the space before it, one after the other. Ids of words
+    not met before come from one call on all of them in a row.
+    """
 
-def encode(enc, text: str | None) -> np.ndarray:
-    """Ids of a whole text as little-endian unsigned 32-bit, then the end id."""
-    ids = enc.encode_ordinary(text) if text else []
-    return np.array([*ids, END_ID], dtype="<u4")
+    def __init__(self, path: str) -> None:
+        import public_tokenizers
+        import tokenizers
+
+        self.tok = tokenizers.Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.pieces = regex.compile(public_tokenizers.PATTERN).findall
+        self.known: dict[str, bytes] = {}
+
+    @classmethod
+    def of(cls, path: str | None = None) -> Encoder:
+        """The encoder of this process for a tokenizer file."""
+        import public_tokenizers
+
+        path = path or public_tokenizers.path("byte_bpe_50k.json")
+        if path not in _ENCODERS:
+            _ENCODERS[path] = cls(path)
+        return _ENCODERS[path]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words that follow a space."""
+        row = [f" {w}" for w in words]
+        got = self.tok.encode("".join(row), add_special_tokens=False)
+        ends = np.cumsum([len(self.pieces(w)) for w in row])
+        edge = (4 * np.searchsorted(np.array(got.word_ids, np.int64), np.concatenate(([0], ends)))).tolist()
+        ids = np.array(got.ids, "<u4").tobytes()
+        self.known.update((w, ids[s:e]) for w, s, e in zip(words, edge, edge[1:], strict=False))
+
+    def ids(self, texts: list[str | None]):
+        """Ids of each text and the end id, as bytes of little-endian unsigned 32-bit."""
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size < LOOKUP_CHARS):
+                size += len(texts[end] or "")
+                end += 1
+            split = []
+            for text in texts[at:end]:
+                plain = text and _PLAIN.fullmatch(text) and not _LOOSE.search(text) and not any(x in text for x in self.special)
+                split.append(text.split(" ") if plain else None)
+            if len(self.known) > KNOWN_WORDS:
+                self.known.clear()
+            new = set(chain.from_iterable(w[1:] for w in split if w)).difference(self.known)
+            if new:
+                self._learn(list(new))
+            for text, words in zip(texts[at:end], split, strict=True):
+                if words is None:
+                    yield (self._whole(text) if text else b"") + END
+                else:
+                    yield self._whole(words[0]) + b"".join(map(self.known.__getitem__, words[1:])) + END
+            at = end
 
 
 def cut_pieces(n: int, size: int = SEQ_LEN) -> list[tuple[int, int]]:
@@ -210,36 +264,45 @@ def _improve(bins: list[list[int]], fill: list[int], lengths: list[int], size: i
 
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+_NAMES = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-def token_pieces(docs: DataFrame, size: int = SEQ_LEN, ranks_path: str | None = None) -> DataFrame:
+def _batch(rows: list[tuple], width: int) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * width
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=False)], _NAMES[:width])
+
+
+def token_pieces(docs: DataFrame, size: int = SEQ_LEN, tokenizer_path: str | None = None) -> DataFrame:
     """One row per piece of every whole text, with the crc32 of its ids."""
     small_batches(docs.sparkSession)
 
     def run(batches):
-        enc = encoder(ranks_path)
+        encoder = Encoder.of(tokenizer_path)
         for b in batches:
             out = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encode(enc, text)
-                out += [(doc, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut_pieces(len(ids), size))]
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for doc, ids in zip(b.column(0).to_pylist(), encoder.ids(b.column(1).to_pylist()), strict=True):
+                out += [(doc, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut_pieces(len(ids) // 4, size))]
+            yield _batch(out, 5)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECE_SCHEMA)
 
 
-def pack_documents(docs: DataFrame, size: int = SEQ_LEN, ranks_path: str | None = None, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+def pack_documents(docs: DataFrame, size: int = SEQ_LEN, tokenizer_path: str | None = None, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Pieces of all documents with their sequence and place in it.
 
     Null and empty texts are the end id alone. Repeated rows are packed as often as they
-    occur. Columns: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    occur, and dealt one by one like any others. A null doc_id stays null. An empty table
+    gives no rows; columns other than doc_id and text are not read. Full pieces are
+    sequences of their own and are not shuffled. Columns: doc_id, piece, start, length,
+    ids_crc32, sequence_id, offset.
     """
-    pieces = token_pieces(docs, size, ranks_path)
-    shards = max(1, -(-docs.count() // shard_pieces))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int")).repartition(shards, "shard")
-    schema = f"{PIECE_SCHEMA}, sequence_id long, `offset` long"
-    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    pieces = cut(token_pieces(docs, size, tokenizer_path))
+    number = F.monotonically_increasing_id()  # of a row in the written table
+    full = pieces.where(F.col("length") == size).select("*", (number * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    part = pieces.where(F.col("length") < size)
+    shards = max(1, -(-part.count() // shard_pieces))
+    dealt = part.withColumn("shard", F.pmod(F.xxhash64(number), F.lit(shards)).cast("int")).repartition(shards, "shard")
 
     def run(batches):
         per: dict[int, list[tuple]] = defaultdict(list)
@@ -248,20 +311,15 @@ def pack_documents(docs: DataFrame, size: int = SEQ_LEN, ranks_path: str | None
                 per[row[5]].append(row[:5])
         for shard, rows in per.items():
             rows.sort(key=lambda r: tuple(-1 if x is None else x for x in r))
-            out, seq = [], 0
-            part = [r for r in rows if r[3] < size]
-            for r in rows:
-                if r[3] == size:
-                    out.append((*r, seq * shards + shard, 0))
-                    seq += 1
-            for group in pack_lengths([r[3] for r in part], size):
+            out = []
+            for seq, group in enumerate(pack_lengths([r[3] for r in rows], size)):
                 off = 0
                 for i in group:
-                    out.append((*part[i], seq * shards + shard, off))
-                    off += part[i][3]
-                seq += 1
-            for k in range(0, len(out), 20_000):
-                cols = zip(*out[k : k + 20_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    return dealt.mapInArrow(run, schema)
+                    out.append((*rows[i], 2 * (seq * shards + shard), off))
+                    off += rows[i][3]
+                if len(out) >= 20_000:
+                    yield _batch(out, 7)
+                    out = []
+            yield _batch(out, 7)
+
+    return full.unionByName(dealt.mapInArrow(run, f"{PIECE_SCHEMA}, sequence_id long, `offset` long"))
