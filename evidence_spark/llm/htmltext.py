@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,12 +41,17 @@ IMPLIED = {
 }
 #: An end tag does not close elements beyond these.
 WALL = frozenset(("td", "th", "table", "caption"))
+TABLE_PARTS = frozenset(("table", "tr", "tbody", "thead", "tfoot"))
+#: Levels that are indented, and characters to which cells are aligned: deeper lists and
+#: longer cells keep all their text, but do not widen every line.
+MAX_INDENT, MAX_ALIGN = 40, 200
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)", re.S)
 _STOP = re.compile(r"[\"'>]")
 _ATTR = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 _GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
+_NUMBER = re.compile(r"-?[0-9]{1,9}")
 
 
 class _Flow:
@@ -166,13 +173,15 @@ class _Table:
             for k, cell in enumerate(row):
                 if k == len(width):
                     width.append(0)
-                width[k] = max(width[k], len(cell))
+                width[k] = max(width[k], min(len(cell), MAX_ALIGN))
         return [self.indent + "  ".join(c.ljust(w) for c, w in zip(r, width, strict=False)).rstrip() for r in self.rows if any(r)]
 
 
 class _Renderer:
     def __init__(self) -> None:
         self.stack: list[tuple[str, bool]] = []  # element, whether it hides
+        self.open: dict[str, list[int]] = defaultdict(list)  # element -> places on the stack
+        self.blocks: list[int] = []  # places of block elements and walls
         self.hidden = 0
         self.flows = [_Flow()]
         self.tables: list[_Table] = []
@@ -182,7 +191,11 @@ class _Renderer:
 
     @property
     def indent(self) -> str:
-        return "  " * (max(0, len(self.lists) - 1) + self.quotes) if len(self.flows) == 1 else ""
+        return "  " * min(max(0, len(self.lists) - 1) + self.quotes, MAX_INDENT) if len(self.flows) == 1 else ""
+
+    def _last(self, tags) -> int:
+        """Place of the innermost open element of some kinds; -1 if there is none."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
 
     def text(self, s: str) -> None:
         if self.hidden or not s:
@@ -196,20 +209,12 @@ class _Renderer:
     def start(self, tag: str, raw: str) -> None:
         if tag in IMPLIED:
             closes, wall = IMPLIED[tag]
-            k = len(self.stack)
-            lowest = None
-            while k and self.stack[k - 1][0] not in wall:
-                k -= 1
-                if self.stack[k][0] in closes:
-                    lowest = k
+            inside = self._last(wall)
+            lowest = min((at[k] for t in closes if (at := self.open.get(t)) and (k := bisect_right(at, inside)) < len(at)), default=None)
             if lowest is not None:
                 self._pop_to(lowest)
-        elif tag in BLOCK:
-            k = len(self.stack)
-            while k and self.stack[k - 1][0] not in BLOCK and self.stack[k - 1][0] not in WALL:
-                k -= 1
-            if k and self.stack[k - 1][0] == "p":
-                self._pop_to(k - 1)
+        elif tag in BLOCK and self.blocks and self.stack[self.blocks[-1]][0] == "p":
+            self._pop_to(self.blocks[-1])
         if tag in VOID:
             if self.hidden:
                 return
@@ -225,6 +230,9 @@ class _Renderer:
                 self.text(alt)
             return
         hides = _is_hidden(tag, raw)
+        self.open[tag].append(len(self.stack))
+        if tag in BLOCK or tag in WALL:
+            self.blocks.append(len(self.stack))
         self.stack.append((tag, hides))
         self.hidden += hides
         if self.hidden:
@@ -234,7 +242,7 @@ class _Renderer:
             flow.end(tag in APART and not (tag in ("ul", "ol") and self.lists))
         if tag in ("ul", "ol"):
             begin = _attributes(raw).get("start", "") if tag == "ol" else ""
-            self.lists.append([tag, int(begin) if begin.lstrip("-").isdigit() and len(begin) < 10 else 1])
+            self.lists.append([tag, int(begin) if _NUMBER.fullmatch(begin) else 1])
         elif tag == "li":
             if self.lists and self.lists[-1][0] == "ol":
                 flow.lead = f"{self.lists[-1][1]}. "
@@ -259,18 +267,16 @@ class _Renderer:
     def end(self, tag: str) -> None:
         if tag == "br":
             self.start("br", "")
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                self._pop_to(k)
-                return
-            if self.stack[k][0] in WALL and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
-                return
-            if self.stack[k][0] == "table":
-                return
+        at = self.open.get(tag)
+        if at and at[-1] >= self._last(("table",) if tag in TABLE_PARTS else WALL):
+            self._pop_to(at[-1])
 
     def _pop_to(self, k: int) -> None:
         while len(self.stack) > k:
             tag, hides = self.stack.pop()
+            self.open[tag].pop()
+            if self.blocks and self.blocks[-1] == len(self.stack):
+                self.blocks.pop()
             if self.hidden:
                 self.hidden -= hides
                 continue
