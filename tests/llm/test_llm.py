@@ -257,6 +257,64 @@ def test_mixing(spark):
     assert same.exponent == 1.0 and mixing.mixed_report(docs, same).agg(F.count_distinct("doc_id")).first()[0] == 3000
 
 
+def test_mixing_blocks(spark):
+    """The whole choice of documents against a plain walk over blocks and ranks."""
+    n = 2000
+    docs = docs_of(spark, [" ".join(["w"] * (1 + i * i % 11)) for i in range(n)], lambda i: "big" if i % 4 else f"s{i % 3}")
+    from pyspark.sql import functions as F
+
+    mix = mixing.plan_mix(docs, entropy_share=1.0)
+    mix.sources = mix.sources.withColumn("blocks", F.lit(16).cast("long"))
+    key = docs.select("doc_id", "source", F.expr("pmod(xxhash64(source, doc_id, 1), 16L) as block"))
+    hashes = {r["doc_id"]: r for r in key.collect()}
+    s = {r["src"]: r for r in mix.sources.collect()}
+    made = docs.select("doc_id", "source").join(mix.sources, F.col("source") == F.col("src"))
+    order = {r["doc_id"]: (r["k"], r["r"]) for r in made.join(key.select("doc_id", "block"), "doc_id").select("doc_id", F.expr("xxhash64(src, epochs, block) as k"), F.expr("xxhash64(doc_id, epochs, 2) as r")).collect()}
+    want = Counter()
+    for src, m in s.items():
+        mine = sorted((k for k, r in hashes.items() if r["source"] == src), key=lambda k: (order[k][0], hashes[k]["block"], order[k][1]))
+        left = m["rest"]
+        for k in mine:
+            want[k] += int(m["epochs"])
+        for k in mine:
+            left -= 1 + k * k % 11
+            if left < 0:
+                break
+            want[k] += 1
+    got = Counter(r["doc_id"] for r in mixing.mixed_report(docs, mix).collect())
+    assert got == +want
+
+
+def test_mixing_of_odd_rows(spark, odd):
+    clash = odd.selectExpr("*", "1 as rest", "2 as epochs", "3 as blocks", "4 as cut_key", "5 as cut_block", "6 as cut_rank", "7 as row", "8 as epoch", "9 as rank", "10 as n_tokens", "11 as `_src`")
+    mix = mixing.plan_mix(clash)
+    out = mixing.mix_sources(clash, mix)
+    assert out.columns == clash.columns and 0 < out.count() <= 4 * odd.count()
+    report = mixing.mixed_report(clash, mix)
+    assert {r["n_tokens"] for r in report.where("doc_id in (0, 1, 2)").collect()} <= {1}
+    alone = mixing.plan_mix(odd, budget=1e9, max_repeats=2.0)
+    assert mixing.mixed_report(odd, alone).groupBy("doc_id", "source", "n_tokens").count().agg({"count": "max"}).first()[0] <= 4
+    total = mixing.mixed_report(odd, alone).agg({"n_tokens": "sum"}).first()[0]
+    assert total == 2 * odd.select(mixing.tokens(odd.text).alias("t")).agg({"t": "sum"}).first()[0]
+
+
+def test_exponents(spark):
+    """The exponent of many skewed sources against a direct bisection."""
+    sizes = np.array([10**k + k for k in range(1, 10)], float)
+    df = spark.createDataFrame([(f"s{i}", int(n)) for i, n in enumerate(sizes)], "src string, n_tokens long")
+
+    def entropy(a):
+        w = sizes**a / (sizes**a).sum()
+        return -(w * np.log(w)).sum()
+
+    for share in (0.3, 0.6, 0.95):
+        target = share * np.log(len(sizes))
+        a = mixing.solve_exponent(df, sizes.sum(), target, 0)
+        assert entropy(a) == pytest.approx(target, abs=1e-4)
+    a = mixing.solve_exponent(df, sizes.sum(), 0.95 * np.log(len(sizes)), 4.0)
+    assert (sizes ** (a - 1) / (sizes**a).sum()).max() * sizes.sum() == pytest.approx(4.0, abs=1e-3)
+
+
 # -- media -------------------------------------------------------------------------------
 
 
@@ -334,17 +392,66 @@ def test_long_attributes():
             htmltext.render(odd * 100_000 + end)
 
 
+def visible_words(page):
+    """The words that a plain removal of tags and of unseen elements leaves."""
+    import html
+
+    plain = re.sub(r"(?s)<(script|style|title|head|template|noscript)\b[^>]*>.*?</\1>|<!--.*?-->", " ", page)
+    return Counter(html.unescape(re.sub(r"(?s)<[^>]*>", " ", plain)).split())
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     got = {r["page_id"]: r for r in htmltext.extract_text(pages).collect()}
     for r in pages.collect():
-        plain = re.sub(r"(?s)<(script|style|title)[^>]*>.*?</\1>|<!--.*?-->", " ", r["html"])
-        import html
-
-        words = Counter(html.unescape(re.sub(r"(?s)<[^>]*>", " ", plain)).split())
+        words = visible_words(r["html"])
         mine = Counter(w for w in got[r["page_id"]]["text"].split() if w != "-")
         assert sum((mine - words).values()) <= 0.05 * sum(mine.values())
-    assert htmltext.extract_text(spark.createDataFrame([(1, None, None), (2, "u", "")], "page_id long, url string, html string")).orderBy("page_id").collect()[0]["text"] is None
+        assert sum((words - mine).values()) <= 0.05 * sum(words.values())
+
+
+def test_odd_pages(spark):
+    long = "<p>" + "word " * 200_000
+    data = [(1, None, None, 1), (2, "u", "", 2), (3, "u", long, 3), (3, "u", long, 3), (None, None, "<p>x", 4)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string, text int").selectExpr("*", "1 as n_chars", "'q' as title")
+    got = sorted(rows(htmltext.extract_text(df), "page_id", "title", "text", "n_chars", "n_lines"), key=lambda r: (r[0] or 0, r[3] or 0))
+    body = ("word " * 200_000).strip()
+    assert got == [(None, "", "x", 1, 1), (1, None, None, None, 0), (2, "", "", 0, 0), (3, "", body, len(body), 1), (3, "", body, len(body), 1)]
+    assert htmltext.extract_text(df.where("false")).count() == 0
+
+
+def test_rendering_of_any_tags():
+    """Random pages of visible elements: their words come out whole and in order."""
+    rng = np.random.default_rng(5)
+    tags = "div p ul ol li b span pre br hr blockquote dl dt dd h1 a em section".split()
+    for _ in range(1500):
+        parts, words = [], []
+        for k in range(rng.integers(1, 40)):
+            t = rng.choice(tags)
+            parts.append((f"<{t}>", f"</{t}>", f"<{t} start='--5'>", f" w{k} ")[rng.integers(4)])
+            if parts[-1].startswith(" "):
+                words.append(f"w{k}")
+        assert re.findall(r"w\d+", htmltext.render("".join(parts))[1]) == words
+    cells = "".join(f"<tr><td>a{i}<td>{'x' * (i % 7)}b{i}" for i in range(50))
+    lines = htmltext.render(f"<table>{cells}</table>")[1].split("\n")
+    assert len(lines) == 50 and len({re.search(r"x*b\d+", x).start() for x in lines}) == 1
+
+
+def test_list_numbers():
+    for start, first in (("--5", "1. "), ("\u00b2", "1. "), ("-3", "-3. "), ("7", "7. "), ("99999999999", "1. ")):
+        assert htmltext.render(f"<ol start='{start}'><li>a")[1] == f"{first}a"
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    n = 30_000
+    for page in ("<div>" * n + "<li>" * n, "<b>" * n + "<p>" * n, "<div>" * n + "</span>" * n, "<ul><li>x" * n, "<table>" * n + "<td>x" * n):
+        began = time.process_time()
+        htmltext.render(page)
+        assert time.process_time() - began < 8
+    wide = "<table>" + "<tr><td>a<td>b" * 5000 + "<tr><td>" + "x" * 100_000 + "<td>c</table>"
+    assert len(htmltext.render(wide)[1]) < 3_000_000
 
 
 # -- language ----------------------------------------------------------------------------
@@ -469,33 +576,76 @@ def test_local_search_reaches_all_bins():
                         assert not any(0 < n - x <= room for x in back)
 
 
-def test_packing(spark, docs, texts, odd):
-    tokenizers = pytest.importorskip("tokenizers")
+def plain_tokenizer():
     import public_tokenizers
+    import tokenizers
+
+    return tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
-    t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+
+def check_packing(df, texts):
+    t = plain_tokenizer()
     got = defaultdict(list)
-    for r in packing.pack_documents(docs).collect():
-        got[r["doc_id"]].append(r)
     at = defaultdict(list)
+    for r in packing.pack_documents(df).collect():
+        got[r["doc_id"]].append(r)
+        at[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert set(got) == set(texts)
     for k, text in texts.items():
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
         mine = sorted(got[k], key=lambda r: r["piece"])
         assert [(r["start"], r["length"]) for r in mine] == packing.cut_pieces(len(ids))
-        for r in mine:
-            assert r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
-            at[r["sequence_id"]].append((r["offset"], r["length"]))
+        assert [r["ids_crc32"] for r in mine] == [zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in mine]
     for places in at.values():
         end = 0
         for off, n in sorted(places):
             assert off == end
             end += n
         assert end <= 2048
+    return at
+
+
+SPECIAL = ["<|endoftext|> a", "a <|endoftext|><|endoftext|>", "<|endoftext", "<| endoftext |>", "  two  spaces ", " \n\n\t x\n \ny", "\u0558\U00010940 1\u2089", "it's 'll\xa0 \u2003x", "\x1ca\x1f b", "", None]
+
+
+def test_packing(spark, docs, texts, odd):
+    at = check_packing(docs, texts)
     total = sum(n for p in at.values() for _, n in p)
     assert len(at) <= -(-total // 2048) + 1
-    assert packing.pack_documents(odd).where("doc_id = 0").select("length").first()[0] == 1
+    check_packing(docs_of(spark, SPECIAL), dict(enumerate(SPECIAL)))
+    out = packing.pack_documents(odd)
+    assert out.where("piece = 0").count() == odd.count()
+    assert out.where("doc_id = 0").select("length").first()[0] == 1
     assert packing.pack_documents(odd.where("false")).count() == 0
+    repeats = packing.pack_documents(docs_of(spark, ["a b c"] * 3000).selectExpr("7L as doc_id", "text"), shard_pieces=500)
+    seq = repeats.groupBy("sequence_id").count().collect()
+    assert repeats.count() == 3000 and 5 < len(seq) <= 14
+
+
+def test_words_are_split_as_the_tokenizer_does():
+    e = packing.Encoder.of()
+    pre = e.tok.pre_tokenizer
+    for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))):
+        if packing._PLAIN.fullmatch(c):
+            s = f"a{c}a 1{c}1 .{c}.  {c}"
+            assert e.pieces(s) == [s[x:y] for _, (x, y) in pre.pre_tokenize_str(s)], hex(ord(c))
+
+
+def test_words_are_remembered():
+    rng = np.random.default_rng(11)
+    parts = ["a", "b", "'s", " ", "  ", "\n", "\t", "1", "\u00e9", ".", "!", "\xa0", "\u4e2d", "<|endoftext|>"]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 30))) for _ in range(3000)]
+    e = packing.Encoder.of()
+    for text, got in zip(texts, e.ids(texts), strict=True):
+        assert got == np.array([*e.tok.encode(text, add_special_tokens=False).ids, 0], "<u4").tobytes(), text
+
+
+def test_local_search_improves_the_start(monkeypatch):
+    rng = np.random.default_rng(0)
+    sizes = rng.integers(600, 1100, 3000).tolist()
+    done = len(packing.pack_lengths(sizes, 2048))
+    monkeypatch.setattr(packing, "_improve", lambda *a, **k: False)
+    assert done < len(packing.pack_lengths(sizes, 2048))
 
 
 # -- passages ----------------------------------------------------------------------------
