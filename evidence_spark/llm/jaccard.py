@@ -1,30 +1,36 @@
 """Exact Jaccard self-join of documents on word shingles by T-occurrence search.
 
 A document is the set of hashes of its 5-word shingles. Two sets of sizes n and m reach
-Jaccard t only if they share T = t/(1+t) * (n+m) shingles, hence at least t*n. As in
-DivideSkip, the inverted lists of a document are divided: its ``n - ceil(t*n) + 1``
-rarest ones (the short lists) are merged, which finds every document that can still reach
-T with the other, long ones; for those candidates the long lists are binary-probed (each
-hash is searched in the partner's sorted set), and pairs with the needed overlap stay.
+Jaccard t only if they share T = t/(1+t) * (n+m) shingles. The search for the partners of
+a document (the query) is DivideSkip: inverted lists say which documents have a shingle;
+of the query's lists the L longest are set aside, the others are merged by a heap, which
+counts how often each document occurs; documents that occur T - L times or more are
+binary-probed in the long lists, and those that reach the overlap they need are links.
 
 How that runs on Spark:
 
 * Equal sets are one class; its smallest doc_id stands for all (nothing is lost: they link).
-* Merging short lists is a shuffle by hash. Frequent hashes (from counts over all
-  documents) come last in the order, so common passages rarely make long short lists.
-* Round 1 pairs each member of a list only with the list's smallest document, so a list of
-  g documents gives g - 1 pairs. Verified links make components.
-* Round 2 compares members of a list whose components differ; any other pair cannot change
-  the result. Pairs there are compared in blocks inside tasks and become rows only where
-  no filter rules them out. Together the rounds decide every pair that matters, so the join is exact.
-* Pairs are counted over lists and dropped when the shingles seen missing already exceed
-  what the threshold lets two documents differ by. A parity sketch (each hash flips one of
-  1024 bits) then bounds the difference of the whole sets from below: two sketches never
-  differ in more bits than the sets do in hashes. Neither filter can lose a link.
+* Routing: the ``n - ceil(t*n) + 1`` rarest shingles of two linked documents have one in
+  common, so a shuffle by these tells which documents may meet. Frequent shingles (from
+  counts over all documents) come last in the order, so common passages rarely route.
+* Round 1 routes each member of such a list to the list's smallest document only, so a list
+  of g documents gives g - 1 places. That document is the query of a cell, its members are
+  indexed in inverted lists, and the search runs cell by cell. Links make components.
+* Round 2 does the same for members of a list whose components still differ; any other pair
+  cannot change the result. Together the rounds decide every pair that matters, so the join
+  is exact. Cells with many members are split, each part with the query.
+* A pair is routed only while the shingles seen missing do not already exceed what the
+  threshold lets two documents differ by. A parity sketch (each hash flips one of 1024
+  bits) bounds the difference of the whole sets from below: two sketches never differ in
+  more bits than the sets do in hashes. Neither filter can lose a link.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,8 +47,14 @@ FREQUENT = 24
 MAX_FREQUENT = 1_000_000
 #: Frequencies are counted for the hashes below this share of the hash range.
 LOW_SHARE = 0.3
-#: Members of a list that are compared in one task with as many others.
-CHUNK = 1024
+#: Members of a list whose sketches are compared in one task with as many others.
+CHUNK = 8192
+#: Members of one part of a cell, and hashes that are indexed at once.
+CELL_MEMBERS, CELL_HASHES = 1024, 4_000_000
+#: Weight of the length of lists in the number of long ones, as DivideSkip's authors give it.
+LONG_WEIGHT = 0.0085
+#: Probes of long lists at once.
+PROBES = 1_000_000
 #: 64-bit words of a parity sketch.
 SKETCH = 16
 
@@ -148,8 +160,8 @@ def _across(lists: DataFrame, percent: int) -> DataFrame:
         left = v[:, 3] == v[0, 1]
         right = v[:, 3] == v[0, 2]
         a, b, sa, sb = v[left], v[right], s[left], s[right]
-        for at in range(0, len(a), 256):
-            x, sx = a[at : at + 256], sa[at : at + 256]
+        for at in range(0, len(a), 128):
+            x, sx = a[at : at + 128], sa[at : at + 128]
             n, m = x[:, 5][:, None], b[:, 5][None, :]
             o = -(-percent * (n + m) // (100 + percent))
             px, pb = x[:, 6][:, None], b[:, 6][None, :]
@@ -186,33 +198,100 @@ def _across(lists: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets reach the threshold: binary probes of the long lists."""
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    known = cut(texts.join(need, "doc_id"))
-    left = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(known.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+class Lists:
+    """Inverted lists of some sets: for each hash, the numbers of the sets that have it."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        hashes = np.concatenate(sets)
+        members = np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(hashes, kind="stable")
+        self.members = members[order]
+        self.keys, start = np.unique(hashes[order], return_index=True)
+        self.start = np.append(start, len(hashes))
+        # list number and member in one value: sorted, as lists and their members are
+        self.places = np.repeat(np.arange(len(self.keys)), np.diff(self.start)) * len(sets) + self.members
+
+    def partners(self, query: np.ndarray, percent: int) -> np.ndarray:
+        """Numbers of the sets that reach the similarity with a sorted set, by DivideSkip."""
+        n, m = len(query), self.sizes
+        able = (m > 0) & (100 * m >= percent * n) & (100 * n >= percent * m)
+        if not n or not able.any():
+            return np.empty(0, np.int64)
+        need = -(-percent * (n + m) // (100 + percent))
+        t = int(need[able].min())
+        at = np.minimum(np.searchsorted(self.keys, query), len(self.keys) - 1)
+        at = at[self.keys[at] == query]
+        length = self.start[at + 1] - self.start[at]
+        if len(at) < t:
+            return np.empty(0, np.int64)
+        at = at[np.argsort(length, kind="stable")]
+        n_long = min(t - 1, int(t / (LONG_WEIGHT * math.log2(max(int(length.max()), 1)) + 1)), len(at))
+        short, long = at[: len(at) - n_long], at[len(at) - n_long :]
+        lists = [self.members[s:e].tolist() for s, e in zip(self.start[short].tolist(), self.start[short + 1].tolist(), strict=True)]
+        seen = [(k, sum(1 for _ in same)) for k, same in groupby(heapq.merge(*lists))]
+        found = np.array([(k, c) for k, c in seen if c >= t - n_long and able[k]], np.int64).reshape(-1, 2)
+        who, total = found[:, 0], found[:, 1]
+        step = max(1, PROBES // max(1, len(who)))
+        for s in range(0, len(long), step):
+            probe = long[s : s + step, None] * len(m) + who[None, :]
+            hit = np.minimum(np.searchsorted(self.places, probe), len(self.places) - 1)
+            total = total + (self.places[hit] == probe).sum(0)
+        return who[total >= need[who]]
+
+
+def _search(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The links among routed pairs (a, b): ``a`` is the query of a cell, ``b`` its member.
+
+    Each text goes to its cells once, the query to every part of its cell.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / CELL_MEMBERS).cast("int").alias("parts"))
+    member = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), F.col("b").alias("doc_id"))
+    query = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("a").alias("doc_id"))
+    routed = cut(member.unionByName(query))
+    cells = texts.join(routed, "doc_id").select("a", "part", "side", "doc_id", "text")
     small_batches(texts.sparkSession, 500)
 
     def run(batches):
+        cell, queries, members, ids, held = None, [], [], [], 0
+        last, seen = None, set()  # the document of the row before, and its sets so far
+        links: list[tuple[int, int]] = []
+
+        def search():
+            if members and queries:
+                lists = Lists(members)
+                for q in queries:
+                    links.extend((cell[0], ids[i]) for i in lists.partners(q, percent).tolist())
+
         for batch in batches:
-            a, ta = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            new = [i for i in range(len(a)) if not i or a[i] != a[i - 1] or ta[i] != ta[i - 1]]
-            left = np.repeat(np.arange(len(new)), np.diff([*new, len(a)])).tolist()
-            sets = shingle_sets([ta[i] for i in new], k)
-            keep = []
-            for i, other in enumerate(shingle_sets(batch.column(3).to_pylist(), k)):
-                few, many = sorted((sets[left[i]], other), key=len)
-                if not len(few):
+            rows = zip(*(batch.column(i).to_pylist() for i in range(4)), shingle_sets(batch.column(4).to_pylist(), k), strict=True)
+            for a, part, side, doc, found in rows:
+                if (a, part) != cell or held > CELL_HASHES:
+                    search()
+                    members, ids, held = [], [], 0
+                    if (a, part) != cell:
+                        cell, queries = (a, part), []
+                if (a, part, side, doc) != last:
+                    last, seen = (a, part, side, doc), set()
+                if (same := found.tobytes()) in seen:  # a repeated row
                     continue
-                at = np.minimum(np.searchsorted(many, few), len(many) - 1)
-                o = int((many[at] == few).sum())
-                if o and 100 * o >= percent * (len(few) + len(many) - o):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-    out = cut(both.mapInArrow(run, "a long, b long"))
-    drop_cut(known)
+                seen.add(same)
+                if side == 0:
+                    queries.append(found)
+                elif len(found):
+                    members.append(found)
+                    ids.append(doc)
+                    held += len(found)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
+                links.clear()
+        search()
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
+
+    dealt = cells.repartition("a", "part").sortWithinPartitions("a", "part", "side", "doc_id")
+    out = cut(dealt.mapInArrow(run, "a long, b long"))
+    drop_cut(routed)
     return out
 
 
@@ -220,9 +299,10 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
     """``doc_id, n_shingles, component_id`` for every document.
 
     Links are pairs with 100 * intersection >= percent * union. Null and empty texts have
-    an empty set and are their own component. Rows that repeat a doc_id are compared text
-    by text and keep a row each. A null doc_id is not compared and has the component of
-    equal texts, else null. Other columns are not read.
+    an empty set and are their own component. Rows that repeat a doc_id are one document,
+    linked through each of its texts; all its rows with words have one component. A null
+    doc_id is not compared and has the component of equal texts, else null. An empty table
+    gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -236,7 +316,11 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
     lists = cut(rows.join(rows.groupBy("h").agg(F.min("d").alias("lead"), F.count("*").alias("len")).where("len > 1"), "h"))
     lead = lists.where("d = lead").select("h", F.col("d").alias("a"), "n", F.col("p").alias("pa"))
     first = lists.where("d <> lead").select("h", F.col("d").alias("b"), F.col("n").alias("m"), F.col("p").alias("pb")).join(lead, "h")
-    links = _verify(cut(_sketched(_prune(first, percent), classes)), texts, k, percent)
+    links = _search(cut(_sketched(_prune(first, percent), classes)), texts, k, percent)
+    repeated = known.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
+    if repeated.limit(1).count():  # texts of one doc_id are one document
+        own = known.join(repeated, "doc_id").join(classes.select("cls", "rep"), "cls").select("doc_id", "rep").distinct()
+        links = links.union(own.join(own.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b"))
     comp = components(links)
 
     # round 2: lists that still touch several components
@@ -246,7 +330,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
     small_batches(spark, 10_000)
     again = cut(_across(mine.join(open_lists, "h"), percent))
     drop_cut(lists)
-    more = _verify(again, texts, k, percent)
+    more = _search(again, texts, k, percent)
     if more.limit(1).count():
         comp = components(links.union(more))
     small_batches(spark)
@@ -258,8 +342,16 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
 def keep_one_of_each(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest doc_id.
 
-    Of rows that repeat that doc_id with the same columns, one stays; a null doc_id stays.
+    Of rows that repeat that doc_id one stays (the one with the least hash of all columns);
+    rows without a doc_id stay. All columns stay, whatever their names.
     """
-    found = jaccard_components(docs, k, percent)
-    gone = cut(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    found = jaccard_components(docs, k, percent).where("doc_id is not null")
+    per = found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("rows"))
+    marks = cut(per.where("c <> doc_id or rows > 1").select(F.col("doc_id").alias("id"), (F.col("c") == F.col("doc_id")).alias("stays")))
+    names = docs.columns
+    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    if not marks.where("stays").limit(1).count():
+        return row.join(marks, "id", "left_anti").select("row.*")
+    both = row.join(marks, "id", "left")
+    once = both.where("stays").groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return both.where("stays is null").select("row.*").unionByName(once.select("row.*"))
