@@ -505,6 +505,8 @@ def test_jaccard_tables(docs, texts):
 def test_jaccard_groups(spark, monkeypatch):
     """A large group near the threshold, a common passage, chains, short texts, and small chunks."""
     monkeypatch.setattr(jaccard, "CHUNK", 32)
+    monkeypatch.setattr(jaccard, "CELL_MEMBERS", 16)
+    monkeypatch.setattr(jaccard, "CELL_HASHES", 500)
     rng = np.random.default_rng(5)
     base = [f"b{i}" for i in range(150)]
     passage = " ".join(f"p{i}" for i in range(40))
@@ -522,13 +524,41 @@ def test_jaccard_groups(spark, monkeypatch):
     check_jaccard(docs_of(spark, made), dict(enumerate(made)))
 
 
+def test_t_occurrence_search(monkeypatch):
+    """DivideSkip over inverted lists against all intersections, whatever the number of long lists."""
+    rng = np.random.default_rng(0)
+    for trial in range(300):
+        monkeypatch.setattr(jaccard, "LONG_WEIGHT", (0.0085, 1.0, 100.0)[trial % 3])
+        base = rng.integers(0, 400, rng.integers(1, 80)).astype(np.uint64)
+        sets = []
+        for _ in range(rng.integers(1, 40)):
+            x = base[rng.random(len(base)) > rng.random() * 0.3]
+            sets.append(np.unique(np.concatenate([x, rng.integers(0, 1000, rng.integers(0, 12)).astype(np.uint64)])))
+        query = np.unique(base)
+        want = [i for i, x in enumerate(sets) if (o := len(np.intersect1d(x, query))) and 100 * o >= 80 * (len(x) + len(query) - o)]
+        assert jaccard.Lists(sets).partners(query, 80).tolist() == want
+
+
 def test_jaccard_edges(spark, odd):
     out = jaccard.jaccard_components(odd)
     assert out.count() == odd.count()
     assert rows(out.where("doc_id in (5, 6)"), "component_id") == [(5,)] * 3
+    assert rows(out.where("doc_id in (0, 1, 2)"), "n_shingles", "component_id") == [(0, 0), (0, 1), (0, 2)]
+    assert rows(out.where("doc_id is null"), "component_id") == [(None,)]
     assert jaccard.jaccard_components(odd.where("false")).count() == 0
+
+
+def test_one_of_each_stays(spark, odd):
     kept = jaccard.keep_one_of_each(odd)
     assert kept.columns == odd.columns and kept.where("doc_id = 6").count() == 0
+    assert kept.where("doc_id = 5").count() == 1 and kept.where("doc_id is null").count() == 1
+    assert kept.count() == odd.count() - 2
+    assert jaccard.keep_one_of_each(odd.where("false")).count() == 0
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    df = spark.createDataFrame([(1, a), (2, b), (2, a), (3, b), (4, c), (4, c), (4, None)], "doc_id long, text string").selectExpr("*", "1 as id", "2 as stays", "3 as row")
+    assert rows(jaccard.jaccard_components(df), "doc_id", "component_id") == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 4), (4, 4), (4, 4)]
+    kept = jaccard.keep_one_of_each(df)
+    assert kept.columns == df.columns and rows(kept, "doc_id") == [(1,), (4,)]
 
 
 # -- packing -----------------------------------------------------------------------------
