@@ -1,15 +1,20 @@
-"""Removal of long repeated word passages by compacted De Bruijn paths.
-
-Every window of 20 words is an edge from its first to its last 19 words. Consecutive edges
-that share a minimiser (the least hash among the 7-grams of a window) form one path piece,
-cut by content alone, so a repeated passage falls into equal pieces wherever it stands.
-Joins on the pieces' hashes then find repeats:
-
-* A piece equal to an earlier piece repeats as a whole. Adjacent ones whose sources are
-  adjacent too are compacted into one span with its source coordinates.
+"""Removal of long repeated word passages by compaction of a De Bruijn graph.
+
+Every window of 20 words is an edge from its first to its last 19 words, the nodes.
+Consecutive edges that share a minimiser (the least hash among the 7-grams of a window)
+are kept together as one piece, an edge between the nodes at its ends: pieces are cut by
+content alone, so a repeated passage falls into equal pieces wherever it stands.
+
+* A node's in- and out-degree count the different pieces that end and start there. Where
+  both are 1, every text that comes in goes on the same way, or ends. Repeated pieces that
+  meet at such a node, and whose first occurrences follow each other in one document, are
+  linked; joins that double the length of the links (pointer jumping) give each piece the
+  head of its nonbranching path and its distance from it.
+* Later occurrences of the pieces of a path, at the same distance from where the path
+  would begin, are one span. The first occurrence gives the source coordinates.
 * Equal windows always have the same minimiser. Where a minimiser has several different
-  pieces (a passage ends inside one: the graph branches), the windows of the first
-  occurrence of each are compared one by one.
+  pieces (a passage ends inside one: the graph branches there), the single edges of the
+  first occurrence of each piece are compared.
 
 A window is repeated if its words start earlier: in a document of smaller id, or earlier
 in the same one. Each word of a repeated window goes.
@@ -23,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from evidence_spark.llm.common import cut, drop_cut, gram_hashes, hash_words, mix, small_batches, span_hashes
 
@@ -34,51 +38,83 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-#: Bits of a minimiser's key that hold its place among the words hashed at once.
-PLACE = 28
+def least_in_runs(x: np.ndarray, n: int) -> np.ndarray:
+    """Place of the first of the least values in each run of ``n``, by doubling."""
+    at, width = np.arange(len(x)), 1
+
+    def meet(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return np.where(x[right] < x[left], right, left)
+
+    while 2 * width <= n:
+        at = meet(at[:-width], at[width:])
+        width *= 2
+    rest = n - width
+    return meet(at[: len(at) - rest], at[rest:]) if rest else at
 
 
 def pieces(w: np.ndarray, offsets: np.ndarray, k: int = WINDOW, m: int = MINIMISER) -> tuple[np.ndarray, ...]:
-    """Text, minimiser, content hash, first window and number of windows of each piece.
+    """Text, minimiser, content, tail and head node, first window and number of windows of each piece.
 
     ``w`` has the word hashes of several texts, one after the other from ``offsets`` on.
     """
     n = len(w) - k + 1
-    none = np.empty(0, np.int64)
+    none = (np.empty(0, np.int64),) * 7
     if n <= 0:
-        return none, none, none, none, none
-    if len(w) >= 1 << PLACE:
-        raise ValueError("a text has too many words")
+        return none
     grams = gram_hashes(w, m)
-    key = ((grams >> np.uint64(PLACE)) << np.uint64(PLACE)) | np.arange(len(grams), dtype=np.uint64)
-    wide, width = key, 1  # the least key of each run of k - m + 1, by doubling
-    while 2 * width <= k - m + 1:
-        wide = np.minimum(wide[:-width], wide[width:])
-        width *= 2
-    rest = k - m + 1 - width
-    least = np.minimum(wide[: len(wide) - rest], wide[rest:]) if rest else wide
+    least = least_in_runs(grams, k - m + 1)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     at = np.flatnonzero(np.arange(n) + k <= offsets[1:][text[:n]])
     if not len(at):
-        return none, none, none, none, none
+        return none
     least = least[at]
     new = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1))))
     size = np.diff(new, append=len(at))
     start = at[new]
-    content = span_hashes(mix(w), start, start + size + (k - 1))
-    mini = (least[new] >> np.uint64(PLACE)).view(np.int64)
-    return text[start], mini, content.view(np.int64), start - offsets[:-1][text[start]], size
+    after = start + size
+    spread = mix(w)
+    content, tail, head = (span_hashes(spread, s, e).view(np.int64) for s, e in ((start, after + k - 1), (start, start + k - 1), (after, after + k - 1)))
+    return text[start], grams[least[new]].view(np.int64), content, tail, head, start - offsets[:-1][text[start]], size
 
 
-def _pieces_of(texts: DataFrame, k: int, m: int) -> DataFrame:
+def _pieces_of(texts: DataFrame, k: int, m: int, nodes: bool) -> DataFrame:
+    """Pieces of all texts: mini, content, doc_id, start, size and, if wanted, tail and head."""
+    schema = "mini long, content long, doc_id long, start int, size int" + (", tail long, head long" if nodes else "")
+
     def run(batches):
         for b in batches:
             ids = b.column(0).to_numpy()
             for first, w, offsets in hash_words(b.column(1).to_pylist()):
-                text, mini, content, start, size = pieces(w, offsets, k, m)
-                yield pa.RecordBatch.from_arrays([pa.array(mini), pa.array(content), pa.array(ids[first + text]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], ["mini", "content", "doc_id", "start", "size"])
+                text, mini, content, tail, head, start, size = pieces(w, offsets, k, m)
+                out = [mini, content, ids[first + text], start.astype(np.int32), size.astype(np.int32), tail, head]
+                names = ["mini", "content", "doc_id", "start", "size", "tail", "head"]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out[: 7 if nodes else 5]], names[: 7 if nodes else 5])
+
+    return texts.mapInArrow(run, schema)
+
 
-    return texts.mapInArrow(run, "mini long, content long, doc_id long, start int, size int")
+def compact(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``mini, content, src, path, dist``: the nonbranching path of each edge and its place in it.
+
+    ``edges`` are repeated pieces (mini, content, tail, head, size and src, the place of the
+    first occurrence), ``nodes`` the nodes (node) of in- and out-degree 1. An edge follows
+    another at such a node where its first occurrence follows, too, which also rules out
+    cycles. ``path`` is the content of the first edge, ``dist`` the windows before this one.
+    """
+    came = edges.select(F.col("head").alias("node"), F.col("content").alias("prev"), F.col("size").alias("step"), F.col("src.doc_id").alias("d"), (F.col("src.start") + F.col("size")).alias("s"))
+    goes = edges.select(F.col("tail").alias("node"), "content", F.col("src.doc_id").alias("d"), F.col("src.start").alias("s"))
+    links = came.join(goes, ["node", "d", "s"]).join(nodes, "node", "left_semi").where("prev <> content").select("content", "prev", "step")
+    state = edges.select("content").join(links, "content", "left")
+    state = cut(state.select("content", F.coalesce("prev", "content").alias("path"), F.coalesce("step", F.lit(0)).alias("dist"), F.col("prev").isNull().alias("done")))
+    while state.where("not done").limit(1).count():
+        up = state.select(F.col("content").alias("path"), F.col("path").alias("top"), F.col("dist").alias("more"), F.col("done").alias("ends"))
+        longer = state.where("not done").join(up, "path").select("content", F.col("top").alias("path"), (F.col("dist") + F.col("more")).alias("dist"), F.col("ends").alias("done"))
+        new = cut(state.where("done").unionByName(longer))
+        drop_cut(state)
+        state = new
+    out = cut(edges.select("mini", "content", "src").join(state.drop("done"), "content"))
+    drop_cut(state)
+    return out
 
 
 def _windows_of(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -115,19 +151,22 @@ def repeated_spans(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER) -> Data
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    runs = _pieces_of(texts, k, m)
     place = F.min(F.struct("doc_id", "start")).alias("src")
-    firsts = cut(runs.groupBy("mini", "content").agg(place, F.first("size").alias("size"), F.count("*").alias("n")).select("mini", "content", "src", "size", "n"))
-    many = cut(firsts.where("n > 1").select("mini", "content", "src"))
-    again = runs.join(many, ["mini", "content"]).where((F.col("doc_id") != F.col("src.doc_id")) | (F.col("start") != F.col("src.start")))
-    again = again.select("doc_id", "start", "size", F.col("src.doc_id").alias("src_doc"), F.col("src.start").alias("src_start"))
-
-    # compact adjacent pieces with adjacent sources
-    order = W.partitionBy("doc_id").orderBy("start")
-    goes_on = (F.lag("src_doc").over(order) == F.col("src_doc")) & (F.lag(F.col("start") + F.col("size")).over(order) == F.col("start")) & (F.lag(F.col("src_start") + F.col("size")).over(order) == F.col("src_start"))
-    path = again.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("path", F.sum("new").over(order))
-    whole = path.groupBy("doc_id", "path").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("size")) + (k - 1)).alias("end"), F.first("src_doc").alias("src_doc"), F.min("src_start").alias("src_start")).drop("path")
-    whole = cut(whole)
+    firsts = _pieces_of(texts, k, m, True).groupBy("mini", "content").agg(place, *[F.first(c).alias(c) for c in ("size", "tail", "head")], F.count("*").alias("n"))
+    firsts = cut(firsts.select("mini", "content", "src", "size", "tail", "head", "n"))
+
+    # degrees of the nodes over all different pieces
+    ends = firsts.select(F.explode(F.array(F.struct(F.col("tail").alias("node"), F.lit(0).alias("into")), F.struct(F.col("head").alias("node"), F.lit(1).alias("into")))).alias("x"))
+    nodes = ends.groupBy("x.node").agg(F.count("*").alias("all"), F.sum("x.into").alias("into")).where("`all` = 2 and `into` = 1").select("node")
+    edges = compact(firsts.where("n > 1").select("mini", "content", "tail", "head", "size", "src"), nodes)
+
+    # later occurrences, joined along their paths
+    again = _pieces_of(texts, k, m, False).join(edges, ["mini", "content"]).where((F.col("doc_id") != F.col("src.doc_id")) | (F.col("start") != F.col("src.start")))
+    whole = again.groupBy("doc_id", "path", (F.col("start") - F.col("dist")).alias("begin")).agg(
+        F.min("start").alias("start"), (F.max(F.col("start") + F.col("size")) + (k - 1)).alias("end"), F.first("src.doc_id").alias("src_doc"), F.min("src.start").alias("src_start")
+    )
+    whole = cut(whole.select("doc_id", "start", "end", "src_doc", "src_start"))
+    drop_cut(edges)
 
     # branches: several pieces of one minimiser
     branch = cut(firsts.groupBy("mini").agg(F.count("*").alias("n")).where("n > 1").select("mini"))
