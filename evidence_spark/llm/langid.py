@@ -23,6 +23,8 @@ DIMS = 4096
 #: Labelled rows that the centroids are fitted on, at most for each language.
 SAMPLE_PER_LANG = 1000
 CENTROIDS = 4
+#: Languages of which the shares to sample may be broadcast.
+BROADCAST_LANGS = 10_000
 #: A text is rejected below this share of the lowest training cosine of its language.
 REJECT_SHARE = 0.5
 
@@ -121,7 +123,8 @@ def fit_langid(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, dims: int = DIM
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & (crc_mod("doc_id", 4) != 2))
     per = rows.groupBy("lang").agg(F.least(F.lit(per_lang) / F.count("*"), F.lit(1.0)).alias("share"))
-    picked = rows.join(per, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < F.col("share") * 1_000_000).where("text is not null")
+    few = per.limit(BROADCAST_LANGS + 1).count() <= BROADCAST_LANGS
+    picked = rows.join(F.broadcast(per) if few else per, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < F.col("share") * 1_000_000).where("text is not null")
     small_batches(docs.sparkSession)
 
     def counts(batches):
