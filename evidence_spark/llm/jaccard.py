@@ -50,7 +50,7 @@ LOW_SHARE = 0.3
 #: Members of a list whose sketches are compared in one task with as many others.
 CHUNK = 8192
 #: Members of one part of a cell, and hashes that are indexed at once.
-CELL_MEMBERS, CELL_HASHES = 1024, 4_000_000
+CELL_MEMBERS, CELL_HASHES = 256, 4_000_000
 #: Weight of the length of lists in the number of long ones, as DivideSkip's authors give it.
 LONG_WEIGHT = 0.0085
 #: Probes of long lists at once.
