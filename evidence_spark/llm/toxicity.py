@@ -278,18 +278,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     The character model counts over all documents. Weights are smoothed log odds of a word
     over groups of alike documents (those with the same least word hash), so that many
     copies of a text count once. They come from seven tenths of a bounded sample; the
-    logistic model from the rest. Without both labels every score is that of no evidence.
+    logistic model from the rest. Of several labels of a doc_id, 1 holds; labels other than
+    0 and 1, and rows without a doc_id, are not used. Without both labels every score is
+    that of no evidence.
     """
     spark = docs.sparkSession
     grams = char_counts(docs).orderBy(F.desc("n"), "gram").limit(MAX_TRIGRAMS).collect()
     chars = CharModel.of({r["gram"]: r["n"] for r in grams})
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(crc_mod("doc_id", 5) != 0).where("toxic in (0, 1)")
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     per = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     none = ToxicModel(chars, {}, np.array([-3.0, 0.0, 0.0, 0.0]))
     if len(per) < 2:
         return none
     share = F.when(F.col("toxic") == 1, min(1.0, SAMPLE_PER_LABEL[1] / per[1])).otherwise(min(1.0, SAMPLE_PER_LABEL[0] / per[0]))
-    pick = known.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < share * 1_000_000).dropDuplicates(["doc_id"]).limit(2 * sum(SAMPLE_PER_LABEL.values()))
+    pick = known.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < share * 1_000_000).limit(2 * sum(SAMPLE_PER_LABEL.values()))
     # bounded by the limit above, 12 bytes a row
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(pick), "doc_id").where("text is not null")
     shared = spark.sparkContext.broadcast(chars)
@@ -339,8 +342,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicModel:
 def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every whole text.
 
-    Null and empty texts get the score of no evidence. Repeated rows repeat. Columns other
-    than doc_id and text are not read, and doc_id only names the row and its fold.
+    Null and empty texts get the score of no evidence. Repeated rows repeat; a null doc_id
+    stays null and is not held out; an empty table gives no rows. Columns other than doc_id
+    and text are not read, and doc_id only names the row and its fold.
     """
     spark = docs.sparkSession
     small_batches(spark)
