@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_spark.functions.storage import cut
+from evidence_spark.functions.storage import cut, drop_cut
+
+__all__ = ["components", "crc_mod", "cut", "drop_cut", "gram_hashes", "hash_words", "mix", "small_batches", "span_hashes", "table"]
 
 #: Rows that one Arrow batch may hold, so that a batch of long texts stays small.
 BATCH_ROWS = 1000
@@ -21,16 +23,6 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete a table written by :func:`cut` that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(path, True)
-
-
 def crc_mod(col: str, m: int):
     """crc32 of an id as text, modulo ``m``."""
     return F.crc32(F.col(col).cast("string")) % m
