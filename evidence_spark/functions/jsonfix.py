@@ -78,7 +78,11 @@ def normalize_json(data: Column | str) -> Column:
 
 
 def set_path(data: Column | str, path: str, value: Column) -> Column:
-    """``data`` with text ``value`` at a dotted path; objects on the way are made."""
+    """``data`` with text ``value`` at a dotted path; objects on the way are made.
+
+    Null data counts as an empty object. What is no object, no JSON or nested too deeply for
+    the parser gives null.
+    """
     keys = path.split(".")
 
     def run(s: pd.Series, values: pd.Series) -> pd.Series:
@@ -86,6 +90,9 @@ def set_path(data: Column | str, path: str, value: Column) -> Column:
         for text, value in zip(s, values, strict=True):
             try:
                 x = json.loads(text) if text is not None else {}
+                if not isinstance(x, dict):
+                    out.append(None)
+                    continue
                 at = x
                 for k in keys[:-1]:
                     if not isinstance(at.get(k), dict):
@@ -93,7 +100,7 @@ def set_path(data: Column | str, path: str, value: Column) -> Column:
                     at = at[k]
                 at[keys[-1]] = value
                 out.append(_dumps(x))
-            except (ValueError, AttributeError):
+            except (ValueError, RecursionError):
                 out.append(None)
         return pd.Series(out, dtype=object)
 
@@ -101,14 +108,17 @@ def set_path(data: Column | str, path: str, value: Column) -> Column:
 
 
 def leaf_array(data: Column | str) -> Column:
-    """All leaves of a record as an array of (path, value, kind)."""
+    """All leaves of a record as an array of (path, value, kind).
+
+    Null, text that is no JSON, and JSON nested too deeply for the parser have none.
+    """
 
     def run(s: pd.Series) -> pd.Series:
         out = []
         for text in s:
             try:
                 out.append([] if text is None else [{"path": p, "value": v, "kind": k} for p, v, k in leaves(json.loads(text))])
-            except ValueError:
+            except (ValueError, RecursionError):
                 out.append([])
         return pd.Series(out, dtype=object)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,14 @@ _UNSET: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where none is set, as in tests."""
+    """``spark.checkpoint.dir``; a temporary folder only where none is set on one machine.
+
+    On a cluster executors do not share local folders, so there the setting is needed.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or _UNSET.get("path")
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set")
         path = _UNSET["path"] = tempfile.mkdtemp(prefix="spark-shared-")
     return path.rstrip("/")
 
@@ -24,3 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/evidence/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Delete a table written by :func:`cut` that no later plan reads."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for name in df.inputFiles()[:1]:
+        path = jvm.org.apache.hadoop.fs.Path(name).getParent()
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
