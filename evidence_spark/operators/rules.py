@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from evidence_spark.functions.records import get_path, variant
 
 _META = re.compile(r"[*?\[]")
+#: Parts of each time bucket in correlations.
+SALT = 8
 
 
 @dataclass
@@ -59,7 +61,7 @@ def glob_regex(pattern: str) -> str:
                 i = j + 1
         else:
             out.append(re.escape(c))
-    return "(?is)^" + "".join(out) + "$"
+    return r"(?is)\A" + "".join(out) + r"\z"
 
 
 def glob_match(col: Column, pattern: str) -> Column:
@@ -81,15 +83,42 @@ def glob_match(col: Column, pattern: str) -> Column:
     return F.coalesce(hit & (F.length(col) > 0), F.lit(False))
 
 
-def variable_match(col: Column, name: str, variables: Mapping[str, str | Sequence[str]], record: str = "v") -> Column:
-    """``$name`` in a rule (D7): a list of values, one value, or another field that this one contains."""
+def _glob_of(value: Column) -> Column:
+    """The expression that :func:`glob_regex` makes of a pattern, for one that is a column.
+
+    A class in brackets may hold letters, digits, ``_`` and spaces; other brackets are
+    themselves, so that no value makes an expression that is none.
+    """
+    x = F.regexp_replace(value, r"([\\.+^${}()|&])", r"\\$1")
+    x = F.regexp_replace(x, r"\[!(?=[A-Za-z0-9_ ]+\])", "[^")
+    x = F.regexp_replace(x, r"\[(?!\^?[A-Za-z0-9_ ]+\])", r"\\[")
+    x = F.replace(F.replace(x, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit("."))
+    return F.concat(F.lit(r"(?is)\A"), x, F.lit(r"\z"))
+
+
+def glob_match_column(col: Column, pattern: Column) -> Column:
+    """Whole-value glob with a pattern from the record itself; plain values need no regex."""
+    inner = F.regexp_extract(pattern, r"(?s)^\*([^*?\[]+)\*$", 1)
+    hit = F.when(F.length(inner) > 0, F.contains(F.lower(col), F.lower(inner))).otherwise(F.regexp(col, _glob_of(pattern)))
+    return F.coalesce(hit & (F.length(col) > 0) & (F.length(pattern) > 0), F.lit(False))
+
+
+def variable_match(col: Column, name: str, variables: Mapping[str, str | Sequence[str]], record: str = "v", inside: bool = False) -> Column:
+    """``$name`` in a rule.
+
+    One value matches where this field contains it (as the glob ``*value*``), and so does
+    another field of the record. A list of values matches where the field equals one of
+    them, whatever the case; ``inside`` (a search in the whole record) where it contains one.
+    """
     known = variables.get(name)
     if isinstance(known, str):
-        return F.coalesce(F.lower(col) == known.lower(), F.lit(False))
+        return glob_match(col, f"*{known}*")
+    if known is not None and inside:
+        return F.coalesce(_any([F.contains(col, F.lit(x)) for x in known]), F.lit(False))
     if known is not None:
         return F.coalesce(F.lower(col).isin(*[x.lower() for x in known]), F.lit(False))
     other = get_path(record, name)
-    return F.coalesce(F.contains(F.lower(col), F.lower(other)) & (F.length(other) > 0), F.lit(False))
+    return F.coalesce((F.length(other) > 0) & glob_match_column(col, F.concat(F.lit("*"), other, F.lit("*"))), F.lit(False))
 
 
 def _value(path: str, pattern, variables: Mapping, record: str = "v") -> Column:
@@ -141,24 +170,33 @@ def length_check(col: Column, op: str, n: int) -> Column:
 
 
 def regex_check(col: Column, pattern: str) -> Column:
-    """A whole-value regular expression."""
-    return F.coalesce(col.rlike(f"^(?:{pattern})$"), F.lit(False))
+    """A regular expression from the first to the last character of a value.
+
+    As in the rules' own engine the anchors are put around the pattern as it is: of ``a|b``
+    the first alternative is anchored at the start only, the second at the end only.
+    """
+    return F.coalesce((F.length(col) > 0) & col.rlike(f"^{pattern}$"), F.lit(False))
 
 
-def record_search(op: str, pattern: str, data: str = "data") -> Column:
-    """A pattern over the whole record's text (D6): ``$rex`` anywhere, ``$str`` as a glob."""
+def record_search(op: str, pattern: str, data: str = "data", variables: Mapping = {}, record: str = "v") -> Column:
+    """A pattern over the whole record's text (D6): ``$rex`` anywhere, ``$str`` as a glob.
+
+    The glob is anchored: without stars it must be the whole text. ``$name`` is a variable.
+    """
     if op == "$rex":
         return F.coalesce(F.col(data).rlike(pattern), F.lit(False))
-    return glob_match(F.col(data), f"*{pattern.strip('*')}*")
+    if pattern.startswith("$") and len(pattern) > 1:
+        return variable_match(F.col(data), pattern[1:], variables, record, inside=True)
+    return glob_match(F.col(data), pattern)
 
 
-def modifier_clause(rule: Rule, lookup: str = "path") -> Column:
+def modifier_clause(rule: Rule, lookup: str = "path", variables: Mapping = {}) -> Column:
     """All modifiers. ``lookup='flat'`` takes a dotted path as one key of the record."""
     parts = []
     for text in rule.modifiers:
         left, op, right = text.split(" ", 2)
         if left == "search":
-            parts.append(record_search(op, right))
+            parts.append(record_search(op, right, variables=variables))
             continue
         col = get_path("v", left) if lookup == "path" else F.try_variant_get("v", f"$['{left}']", "string")
         parts.append(regex_check(col, right) if op == "$rex" else length_check(col, op, int(right)))
@@ -179,7 +217,7 @@ def rule_condition(rule: Rule, ruleset: Mapping[str, Rule] = {}, variables: Mapp
     """Whether a record matches; a rule without include, call or modifier never does."""
     if not (rule.include or rule.calls or rule.modifiers):
         return F.lit(False)
-    parts = [channel_clause(rule), include_clause(rule, variables), exclude_clause(rule, variables), modifier_clause(rule, lookup)]
+    parts = [channel_clause(rule), include_clause(rule, variables), exclude_clause(rule, variables), modifier_clause(rule, lookup, variables)]
     if rule.calls:
         parts.append(calls_private(rule, ruleset, variables))
     return _all(parts)
@@ -229,31 +267,37 @@ def scan(df: DataFrame, rules: Sequence[Rule], variables: Mapping = {}, lookup:
 def annotate(df: DataFrame, rules: Sequence[Rule], variables: Mapping = {}, lookup: str = "path") -> DataFrame:
     """One row per record with the details of its last matching rule, private ones included."""
     out = matches(df, rules, variables, lookup, public_only=False)
-    return out.withColumn("rhaegal", F.try_element_at("matches", F.lit(-1))).drop("matches", "v")
+    return out.withColumn("rule_match", F.try_element_at("matches", F.lit(-1))).drop("matches", "v")
 
 
 def correlate(df: DataFrame, rule: Rule, ruleset: Mapping[str, Rule], within_ms: int | None = None, keys: Sequence[str] = (), variables: Mapping = {}) -> DataFrame:
     """Combinations of one record per private rule less than ``within_ms`` apart.
 
-    Each private rule's records are found first; then time buckets of the window's length
-    and their neighbours make the range join an equi-join. Columns: the keys, rule_name,
-    score, ts (earliest), record_ids. Records with the unknown time take no part.
+    Each private rule's records are found first, all in one pass over the records; then time
+    buckets of the window's length and their neighbours make the range join an equi-join.
+    The later side is dealt to SALT parts of each bucket and the other side meets every
+    part, so that a burst is joined by many tasks. Columns: the keys, rule_name, score, ts
+    (earliest), record_ids. Records with the unknown time take no part.
     """
     within = within_ms if within_ms is not None else rule.within
     parsed = df if "v" in df.columns else df.withColumn("v", variant("data"))
     ts = F.try_to_timestamp(get_path("v", "@timestamp"))
     base = parsed.withColumn("_ms", F.unix_millis(ts)).where(ts >= F.lit("1701-01-01").cast("timestamp"))
 
-    def events(name: str, k: int) -> DataFrame:
-        hit = base.where(rule_condition(ruleset[name], ruleset, variables))
-        return hit.select(*keys, F.col("_ms").alias(f"ms{k}"), F.col("record_id").alias(f"id{k}"), F.floor(F.col("_ms") / within).alias("_b"))
-
     names = rule.calls
-    out = events(names[0], 0).withColumnsRenamed({"ms0": "lo", "id0": "first"})
+    # which of the private rules match a record is found once
+    hits = F.array_compact(F.array(*[F.when(rule_condition(ruleset[n], ruleset, variables), F.lit(k)) for k, n in enumerate(names)]))
+    base = base.select(*keys, "_ms", "record_id", hits.alias("_hits")).where(F.size("_hits") > 0)
+
+    def events(k: int) -> DataFrame:
+        return base.where(F.array_contains("_hits", k)).select(*keys, F.col("_ms").alias(f"ms{k}"), F.col("record_id").alias(f"id{k}"), F.floor(F.col("_ms") / within).alias("_b"))
+
+    out = events(0).withColumnsRenamed({"ms0": "lo", "id0": "first"})
     out = out.select(*keys, "lo", F.col("lo").alias("hi"), F.array("first").alias("record_ids"))
+    parts = F.array(*[F.lit(i) for i in range(SALT)])
     for k in range(1, len(names)):
-        near = out.withColumn("_b", F.explode(F.array(*[F.floor(F.col("lo") / within) + d for d in (-1, 0, 1)])))
-        out = near.join(events(names[k], k), [*keys, "_b"])
+        near = out.withColumn("_b", F.explode(F.array(*[F.floor(F.col("lo") / within) + d for d in (-1, 0, 1)]))).withColumn("_s", F.explode(parts))
+        out = near.join(events(k).withColumn("_s", F.pmod(F.xxhash64(f"id{k}"), F.lit(SALT)).cast("int")), [*keys, "_b", "_s"])
         out = out.select(*keys, F.least("lo", f"ms{k}").alias("lo"), F.greatest("hi", f"ms{k}").alias("hi"), F.concat("record_ids", F.array(f"id{k}")).alias("record_ids")).where(F.col("hi") - F.col("lo") < within)
     return out.select(*keys, F.lit(rule.name).alias("rule_name"), F.lit(rule.score).alias("score"), F.timestamp_millis("lo").alias("ts"), "record_ids")
 

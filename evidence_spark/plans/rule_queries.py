@@ -71,13 +71,20 @@ def _(s, d):
 
 @query("d6_record_search", "SELECT CAST(p_partkey AS VARCHAR) AS record_id FROM part WHERE regexp_matches(p_name, 'red|ring') AND lower(p_brand) = 'brand#17'")
 def _(s, d):
-    return parts(s, d).where(D.record_search("$rex", "red|ring") & D.record_search("$str", 'brand#17"')).select("record_id")
+    return parts(s, d).where(D.record_search("$rex", "red|ring") & D.record_search("$str", '*brand#17"*')).select("record_id")
 
 
-@query("d7_variables", "SELECT CAST(p_partkey AS VARCHAR) AS record_id FROM part WHERE p_brand IN ('Brand#2', 'Brand#9') OR lower(p_type) = 'promo'")
+@query("d6_search_anchored", "SELECT CAST(p_partkey AS VARCHAR) AS record_id FROM part WHERE p_size = 7 OR lower(p_brand) = 'brand#3'")
 def _(s, d):
-    known = {"BRANDS": ["brand#2", "BRAND#9"], "KIND": "Promo"}
-    hit = D.variable_match(get_path("v", "Part.p_brand"), "BRANDS", known) | D.variable_match(get_path("v", "Part.p_type"), "KIND", known)
+    # without stars a pattern must be the whole text: the second alone finds nothing
+    hit = D.record_search("$str", '*"p_size":7}}') | D.record_search("$str", 'brand#17"') | D.record_search("$str", "$WHICH", variables={"WHICH": 'BRAND#3"'})
+    return parts(s, d).where(hit).select("record_id")
+
+
+@query("d7_variables", "SELECT CAST(p_partkey AS VARCHAR) AS record_id FROM part WHERE p_brand IN ('Brand#2', 'Brand#9') OR lower(p_type) LIKE '%rom%' OR lower(p_name) LIKE '%d r_ng%'")
+def _(s, d):
+    known = {"BRANDS": ["brand#2", "BRAND#9"], "KIND": "Rom", "NAME": "d r?ng"}  # one value is contained, a list has the whole value
+    hit = D.variable_match(get_path("v", "Part.p_brand"), "BRANDS", known) | D.variable_match(get_path("v", "Part.p_type"), "KIND", known) | D.variable_match(get_path("v", "Part.p_name"), "NAME", known)
     return parts(s, d).where(hit).select("record_id")
 
 
@@ -99,7 +106,7 @@ def _(s, d):
 
 @query("d10_annotate", f"SELECT record_id, CASE WHEN {SQL['QuietSignup']} THEN 'QuietSignup' WHEN {SQL['ErrorBurst']} THEN 'ErrorBurst' END AS rule_name FROM {{REC}}")
 def _(s, d):
-    return D.annotate(event_records(s, d), RULES).select("record_id", F.col("rhaegal.rule_name").alias("rule_name"))
+    return D.annotate(event_records(s, d), RULES).select("record_id", F.col("rule_match.rule_name").alias("rule_name"))
 
 
 @query("d11_returns", f"SELECT record_id, '{{\"props_k\":\"' || CAST(k AS VARCHAR) || '\"}}' AS returned FROM {ALERTS} WHERE rule_name = 'ErrorBurst'")

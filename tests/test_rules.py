@@ -74,6 +74,41 @@ def test_variables(spark):
     assert hit(spark, {"include": {"Event.EventData.User": "$WHO"}}, EVENT, variables={"WHO": "root"}) == []
 
 
+def test_one_value_is_contained_and_a_list_has_the_whole(spark):
+    user = "Event.EventData.User"
+    assert hit(spark, {"include": {user: "$WHO"}}, EVENT, variables={"WHO": "DMI"}) == ["0"]
+    assert hit(spark, {"include": {user: "$WHO"}}, EVENT, variables={"WHO": "a?min"}) == ["0"]
+    assert hit(spark, {"include": {user: "$WHO"}}, EVENT, variables={"WHO": ["dmi", "a*"]}) == []
+    assert hit(spark, {"exclude": {user: "$WHO"}, "include": {user: "*"}}, EVENT, variables={"WHO": "dm"}) == []
+
+
+def test_search_is_anchored(spark):
+    base = {"Event.EventData.User": "*"}
+    assert hit(spark, {"include": base, "modifiers": ["search $str admin"]}, EVENT) == []
+    assert hit(spark, {"include": base, "modifiers": ["search $str *admin"]}, EVENT) == []
+    assert hit(spark, {"include": base, "modifiers": ["search $str *ADMIN*"]}, EVENT) == ["0"]
+    assert hit(spark, {"include": base, "modifiers": ["search $str $WHO"]}, EVENT, variables={"WHO": "admin"}) == ["0"]
+    assert hit(spark, {"include": base, "modifiers": ["search $str $WHO"]}, EVENT, variables={"WHO": ["root", "Admin"]}) == ["0"]
+
+
+def test_globs_of_columns_equal_fnmatch(spark):
+    values = ["abc", "a.c", "a[c", "a\\c", "x\ny", "a-c", "äbc", "a]c", "a[!b", "(a|c)$", "[[]", "a{1}"]
+    patterns = ["*", "a*", "*b*", "a[bx]c", "a[!b]c", "a.c", "a[c", "*[*", "??", "a\\c", "*(a|c)*", "[[]", "[z-a]", "a{1}", "*]*", "[!", "$"]
+    df = spark.createDataFrame([(v, p) for v in values for p in patterns], "v string, p string")
+    for r in df.select("v", "p", D.glob_match_column(F.col("v"), F.col("p")).alias("hit")).collect():
+        p = r["p"].replace("[z-a]", "[[]z-a]").replace("[[]", "[[]") if r["p"] != "[[]" else "[[][[]]"
+        assert r["hit"] == fnmatch.fnmatchcase(r["v"].lower(), p.lower()), (r["v"], r["p"])
+
+
+def test_bursts_are_dealt_to_parts(spark):
+    """Many records of one moment: all pairs, and no part of the bucket holds them all."""
+    private = {n: D.Rule(n, False, include={"t": n}) for n in "ab"}
+    df = records(spark, *[{**at(5), "t": "ab"[i % 2]} for i in range(60)])
+    got = D.correlate(df, D.Rule("R", calls=["a", "b"], within=1000), private)
+    assert got.count() == 900
+    assert "_s" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_channel(spark):
     assert hit(spark, {"channel": "EV*", "include": {"Event.EventData.User": "*"}}, EVENT) == ["0"]
     assert hit(spark, {"channel": "Other", "include": {"Event.EventData.User": "*"}}, EVENT) == []
@@ -83,7 +118,7 @@ def test_last_rule_wins_private_included(spark):
     a = D.Rule("A", include={"Event.EventData.User": "*"})
     b = D.Rule("B", False, include={"Event.EventData.User": "admin"})
     out = D.annotate(records(spark, EVENT, {"x": 1}), [a, b])
-    assert rows(out, "record_id", "rhaegal.rule_name") == [("0", "B"), ("1", None)]
+    assert rows(out, "record_id", "rule_match.rule_name") == [("0", "B"), ("1", None)]
     assert [r["rule_name"] for r in D.scan(records(spark, EVENT), [a, b]).collect()] == ["A"]
 
 
