@@ -17,6 +17,10 @@ from evidence_spark.functions.convert import registrable_domain, url_domain
 SMALL = 100_000
 #: Indicators of which one alternation pattern is built for substring search.
 PATTERN_MAX = 2_000
+#: Characters of the part of an indicator that substring search joins by.
+GRAM = 6
+#: Lengths of path indicators beyond which all prefixes of a path are joined.
+PREFIX_LENGTHS = 64
 
 
 def load_indicators(spark: SparkSession, path: str) -> DataFrame:
@@ -41,7 +45,7 @@ def load_indicators(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _kind(iocs: DataFrame, kind: str, name: str = "ioc") -> DataFrame:
-    out = iocs.where(F.col("kind") == kind).select(F.col("value").alias(name)).distinct()
+    out = iocs.where((F.col("kind") == kind) & (F.col("value") != "")).select(F.col("value").alias(name)).distinct()
     return F.broadcast(out) if out.limit(SMALL + 1).count() <= SMALL else out
 
 
@@ -64,11 +68,17 @@ def match_any_domain(df: DataFrame, col: str, iocs: DataFrame) -> DataFrame:
 
 
 def _substring(df: DataFrame, col: Column, iocs: DataFrame, kind: str) -> DataFrame:
-    """Rows whose text contains an indicator, by one pattern of all indicators while they are few."""
-    few = iocs.where(F.col("kind") == kind).select("value").distinct().limit(PATTERN_MAX + 1).collect()
+    """Rows whose text contains an indicator, whatever the case; empty indicators never match.
+
+    While the indicators are few, one pattern of all of them rules most rows out. A longer
+    list is joined by a part of GRAM characters from the middle of each indicator (the whole
+    of a shorter one), which a text that contains it has too. Both give the same rows.
+    """
+    known = _kind(iocs, kind)
+    few = known.limit(PATTERN_MAX + 1).collect()
     if len(few) > PATTERN_MAX:
-        return df.withColumn("_t", F.lower(col)).join(_kind(iocs, kind), F.contains("_t", F.lower("ioc"))).drop("_t")
-    values = sorted((r["value"] for r in few if r["value"]), key=lambda x: (-len(x), x))
+        return _by_grams(df.withColumn("_t", F.lower(col)), known).drop("_t")
+    values = sorted((r["ioc"] for r in few), key=lambda x: (-len(x), x))
     if not values:
         return df.withColumn("ioc", F.lit("")).where("false")
     some = df.withColumn("_t", F.lower(col)).where(F.col("_t").rlike("|".join(re.escape(v.lower()) for v in values)))
@@ -76,6 +86,24 @@ def _substring(df: DataFrame, col: Column, iocs: DataFrame, kind: str) -> DataFr
     return some.withColumn("ioc", F.explode(each)).drop("_t")
 
 
+def _by_grams(df: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``_t`` contains an indicator of ``known(ioc)``, with it: an equi-join."""
+    low = F.lower("ioc")
+    size = F.least(F.length(low), F.lit(GRAM))
+    parts = known.select("ioc", size.alias("_n"), F.substring(low, F.floor((F.length(low) - size) / 2).cast("int") + 1, size).alias("_k"))
+    sizes = sorted(r[0] for r in parts.select("_n").distinct().collect())  # at most GRAM
+    if not sizes:
+        return df.withColumn("ioc", F.lit("")).where("false")
+
+    def grams(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length("_t") - n + 1)
+        return F.when(F.length("_t") >= n, F.transform(starts, lambda i: F.substring("_t", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    out = df.withColumn("_k", F.explode(F.array_distinct(F.concat(*[grams(n) for n in sizes]))))
+    parts = F.broadcast(parts) if parts.limit(SMALL + 1).count() <= SMALL else parts
+    return out.join(parts, "_k").where(F.contains("_t", low)).drop("_k", "_n")
+
+
 def match_domain_substring(df: DataFrame, col: str, iocs: DataFrame) -> DataFrame:
     """Text that is no URL with a host but contains a domain."""
     return _substring(df.where(F.col(col).isNotNull() & url_domain(col).isNull()), F.col(col), iocs, "domain")
@@ -104,13 +132,16 @@ def match_path_prefix(df: DataFrame, col: str, iocs: DataFrame) -> DataFrame:
     """File path starts with an indicator's path.
 
     As an indicator may end inside a path part, the prefixes of a path that are as long as
-    some indicator are joined; those lengths are few.
+    some indicator are joined; where indicators have many lengths, all its prefixes are.
     """
     known = iocs.where("kind = 'file_path'").select(F.regexp_replace("value", "/$", "").alias("ioc")).where("ioc <> ''").distinct()
-    sizes = [r["n"] for r in known.select(F.length("ioc").alias("n")).distinct().orderBy("n").limit(4096).collect()]
+    sizes = [r["n"] for r in known.select(F.length("ioc").alias("n")).distinct().limit(PREFIX_LENGTHS + 1).collect()]
     if not sizes:
         return df.withColumn("ioc", F.lit("")).where("false")
-    heads = F.filter(F.array(*[F.lit(n) for n in sizes]), lambda n: n <= F.length(col))
+    if len(sizes) > PREFIX_LENGTHS:
+        heads = F.when(F.length(col) > 0, F.sequence(F.lit(1), F.length(col)))
+    else:
+        heads = F.filter(F.array(*[F.lit(n) for n in sorted(sizes)]), lambda n: n <= F.length(col))
     out = df.withColumn("_k", F.explode(F.transform(heads, lambda n: F.substring(F.col(col), F.lit(1), n))))
     return out.join(F.broadcast(known) if known.limit(SMALL + 1).count() <= SMALL else known, F.col("_k") == F.col("ioc")).drop("_k")
 
