@@ -132,10 +132,16 @@ def page(df: DataFrame, seq: int, size: int, path: str = "Data.@timestamp", desc
     return sort_records(df, path, desc).offset(seq * size).limit(size)
 
 
-def page_after(df: DataFrame, last_key: str, last_id: str, size: int, path: str = "Data.@timestamp") -> DataFrame:
-    """The page after a row, by its key: a deep page costs no more than the first."""
+def page_after(df: DataFrame, last_key: str | None, last_id: str, size: int, path: str = "Data.@timestamp") -> DataFrame:
+    """The page after a row, by its key: a deep page costs no more than the first.
+
+    Records without a key (missing, or too long to be a keyword) follow all others by their
+    ids; ``last_key`` is null after one of them.
+    """
     key = keyword(field(path))
-    return parsed(df).where((key > last_key) | ((key == last_key) & (F.col("record_id") > last_id))).orderBy(key, "record_id").limit(size)
+    after = F.col("record_id") > last_id
+    rest = key.isNull() & after if last_key is None else (key > last_key) | ((key == last_key) & after) | key.isNull()
+    return parsed(df).where(rest).orderBy(key.asc_nulls_last(), F.col("record_id").asc()).limit(size)
 
 
 def top_k(df: DataFrame, path: str, k: int) -> DataFrame:

@@ -56,29 +56,32 @@ def _(s, d):
     return S.project(rec(s, d), {"record_id": "record_id", "k": "Data.props.k", "when": "Data.@timestamp"})
 
 
-@query("q7_sort", "SELECT record_id, rank() OVER (ORDER BY t, record_id) AS place FROM {REC} QUALIFY place <= 2000")
-def _(s, d):
-    top = S.sort_records(rec(s, d)).limit(2000)
-    from pyspark.sql import Window as W
-
-    # the limit is of the report, and bounds the window
-    return top.select("record_id", F.rank().over(W.orderBy(S.field("Data.@timestamp"), "record_id")).alias("place"))
-
+def places(sorted_records):
+    """The place of every record of a sorted table.
 
-@query("q7_sort_all", "SELECT record_id, rank() OVER (ORDER BY t, record_id) AS place FROM {REC}")
-def _(s, d):
+    Places are counted within the range partitions of the sort, then shifted by the rows before.
+    """
     from pyspark.sql import Window as W
 
     from evidence_spark.functions.storage import cut
 
-    # places are counted within the range partitions of the sort, then shifted by the rows before
     n = F.monotonically_increasing_id()
-    part = cut(S.sort_records(rec(s, d)).select("record_id", F.shiftright(n, 33).alias("part"), n.bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
+    part = cut(sorted_records.select("record_id", F.shiftright(n, 33).alias("part"), n.bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
     size = part.groupBy("part").agg(F.count("*").alias("rows"))
     before = size.select("part", (F.sum("rows").over(W.orderBy("part")) - F.col("rows")).alias("before"))
     return part.join(F.broadcast(before), "part").select("record_id", (F.col("before") + F.col("at") + 1).alias("place"))
 
 
+@query("q7_sort", "SELECT record_id, rank() OVER (ORDER BY CAST(k AS VARCHAR) DESC, record_id) AS place FROM {REC}")
+def _(s, d):
+    return places(S.sort_records(rec(s, d), "Data.props.k", desc=True))
+
+
+@query("q7_sort_all", "SELECT record_id, rank() OVER (ORDER BY t, record_id) AS place FROM {REC}")
+def _(s, d):
+    return places(S.sort_records(rec(s, d)))
+
+
 @query("q8_page", "SELECT record_id, t FROM {REC} ORDER BY t, record_id LIMIT 50 OFFSET 150")
 def _(s, d):
     return S.page(rec(s, d), 3, 50).select("record_id", R.get_path("v", "@timestamp").alias("t"))
@@ -89,6 +92,12 @@ def _(s, d):
     return S.page_after(rec(s, d), "2024-01-15T00:00:00.000000", "~", 50).select("record_id", R.get_path("v", "@timestamp").alias("t"))
 
 
+@query("q8_page_after_nulls", "SELECT record_id FROM (SELECT CAST(event_id AS VARCHAR) AS record_id, CASE WHEN event_id % 2 = 0 THEN t END AS key FROM {REC}) WHERE key IS NULL AND record_id > '5' ORDER BY record_id LIMIT 40")
+def _(s, d):
+    half = rec(s, d).withColumn("data", F.when(F.col("record_id").cast("long") % 2 == 0, F.col("data")).otherwise(F.lit("{}")))
+    return S.page_after(half, None, "5", 40).select("record_id")
+
+
 @query("q9_top_k", "SELECT record_id, t FROM {REC} ORDER BY t DESC, record_id LIMIT 25")
 def _(s, d):
     return S.top_k(rec(s, d), "Data.@timestamp", 25).select("record_id", R.get_path("v", "@timestamp").alias("t"))
