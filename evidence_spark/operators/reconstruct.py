@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from evidence_spark.functions.convert import day_of_year_date
+from evidence_spark.functions.storage import cut, drop_cut
 
 
 def _on(df: DataFrame, key: str, to: str) -> DataFrame:
@@ -134,40 +134,41 @@ def persistence_bindings(bindings: DataFrame, consumers: DataFrame, filters: Dat
     return bindings.dropDuplicates(["consumer_name", "filter_name"]).join(consumers, "consumer_name").join(filters, "filter_name")
 
 
-def walk_tree(df: DataFrame, node: str, parent: str, name: str, sep: str = "/", keys: Sequence[str] = (), max_depth: int = 64, cut=None) -> DataFrame:
-    """Depth and path of every node from its root, by joins level by level.
+def walk_tree(df: DataFrame, node: str, parent: str, name: str, sep: str = "/", keys: Sequence[str] = (), max_depth: int | None = None) -> DataFrame:
+    """Depth and path of every node from its root.
 
     Columns: keys, node, depth (0 at roots), path of names. Roots are nodes without a
-    parent row. Nodes on a cycle, or deeper than ``max_depth``, do not appear. ``cut`` may
-    write a level and read it again, so that the plan of deep trees stays short.
+    parent row. Nodes on a cycle, or below one, do not appear, nor do nodes deeper than
+    ``max_depth`` where that is given. Each join doubles the way up that is known of every
+    node, so a tree of any depth takes a logarithmic number of joins; each step is written.
     """
     k = list(keys)
-    edges = df.select(*k, F.col(node).alias("_n"), F.col(parent).alias("_p"), F.col(name).cast("string").alias("_t"))
-    parents = edges.select(*k, F.col("_n").alias("_p")).distinct()
-    self_rooted = F.col("_n") == F.col("_p")
-    roots = edges.where(self_rooted).unionByName(edges.where(~F.coalesce(self_rooted, F.lit(False))).join(parents, [*k, "_p"], "left_anti"))
-    level = roots.select(*k, "_n", F.lit(0).alias("depth"), F.col("_t").alias("path"))
-    out = level
-    down = edges.where(~F.coalesce(self_rooted, F.lit(False)))
-    for depth in range(1, max_depth + 1):
-        level = down.join(level.select(*k, F.col("_n").alias("_p"), F.col("path").alias("_up")), [*k, "_p"]).select(*k, "_n", F.lit(depth).alias("depth"), F.concat_ws(sep, "_up", "_t").alias("path"))
-        if cut is not None:
-            level = cut(level)
-            if level.limit(1).count() == 0:
-                break
-        out = out.unionByName(level)
-    return out.withColumnRenamed("_n", node)
-
-
-def process_tree(df: DataFrame, pid: str = "pid", ppid: str = "ppid", keys: Sequence[str] = ("machine",), max_depth: int = 64, cut=None) -> DataFrame:
+    edges = df.select(*k, F.col(node).alias("_n"), F.col(parent).alias("_p"), F.col(name).cast("string").alias("path"))
+    known = edges.select(*k, F.col("_n").alias("_p")).distinct().withColumn("_has", F.lit(True))
+    up = F.when(F.col("_has") & (F.col("_n") != F.col("_p")), F.col("_p"))
+    state = edges.join(known, [*k, "_p"], "left").select(*k, "_n", up.alias("_up"), F.when(up.isNull(), 0).otherwise(1).alias("depth"), "path")
+    state = cut(state)
+    most = max(1, state.count()).bit_length() + 1  # doublings after which only cycles are open
+    while most and state.where("_up is not null").limit(1).count():
+        above = state.select(*k, F.col("_n").alias("_up"), F.col("_up").alias("_next"), F.col("depth").alias("_more"), F.col("path").alias("_head"))
+        longer = state.where("_up is not null").join(above, [*k, "_up"])
+        longer = longer.select(*k, "_n", F.col("_next").alias("_up"), (F.col("depth") + F.col("_more")).alias("depth"), F.concat_ws(sep, "_head", "path").alias("path"))
+        new = cut(state.where("_up is null").unionByName(longer))
+        drop_cut(state)
+        state, most = new, most - 1
+    out = state.where("_up is null").drop("_up").withColumnRenamed("_n", node)
+    return out if max_depth is None else out.where(F.col("depth") <= max_depth)
+
+
+def process_tree(df: DataFrame, pid: str = "pid", ppid: str = "ppid", keys: Sequence[str] = ("machine",), max_depth: int | None = None) -> DataFrame:
     """Processes with their level and path of ids; sorting by path is pre-order."""
     padded = df.withColumn("_name", F.lpad(F.col(pid).cast("string"), 12, "0"))
-    return walk_tree(padded, pid, ppid, "_name", "/", keys, max_depth, cut)
+    return walk_tree(padded, pid, ppid, "_name", "/", keys, max_depth)
 
 
-def folder_paths(df: DataFrame, node: str, parent: str, name: str, keys: Sequence[str] = ("machine",), max_depth: int = 64, cut=None) -> DataFrame:
+def folder_paths(df: DataFrame, node: str, parent: str, name: str, keys: Sequence[str] = ("machine",), max_depth: int | None = None) -> DataFrame:
     """Folder paths with backslashes."""
-    return walk_tree(df, node, parent, name, "\\", keys, max_depth, cut)
+    return walk_tree(df, node, parent, name, "\\", keys, max_depth)
 
 
 def pair_requests(df: DataFrame, keys: Sequence[str], order: Sequence[str], is_request: str = "is_request", cols: Sequence[str] = ()) -> DataFrame:
@@ -195,22 +196,23 @@ def pair_requests(df: DataFrame, keys: Sequence[str], order: Sequence[str], is_r
 def version_diff(df: DataFrame, keys: Sequence[str] = ("machine", "path"), order: str = "modified", text: str = "text") -> DataFrame:
     """Lines added and removed between consecutive versions of a file.
 
-    Columns: keys, order, ``line``, ``change`` (added or removed). Only the diff itself is
-    a Python helper on Arrow batches; versions meet by a window.
+    Columns: keys, order, ``line``, ``change`` (added or removed). Lines are rows: each
+    version counts its lines, and the counts of a version and of the one before meet by
+    line, so a large file is spread over many tasks. A line that only moved is no change;
+    one that occurs more often is added as often. A null text has no lines.
     """
-    prev = df.withColumn("_old", F.lag(text).over(W.partitionBy(*keys).orderBy(order))).where("_old is not null")
-
-    def diff(old: pd.Series, new: pd.Series) -> pd.Series:
-        import difflib
-
-        out = []
-        for a, b in zip(old, new, strict=True):
-            lines = difflib.ndiff((a or "").splitlines(), (b or "").splitlines())
-            out.append([{"line": x[2:], "change": "added" if x[0] == "+" else "removed"} for x in lines if x[0] in "+-"])
-        return pd.Series(out, dtype=object)
-
-    f = F.pandas_udf(diff, "array<struct<line:string,change:string>>")
-    return prev.select(*keys, order, F.explode(f("_old", text)).alias("_d")).select(*keys, order, "_d.*")
+    k = list(keys)
+    versions = df.select(*k, order).distinct()
+    number = W.partitionBy(*k).orderBy(order)
+    near = versions.withColumns({"_first": F.lag(order).over(number).isNull(), "_next": F.lead(order).over(number)})
+    lines = F.split(F.regexp_replace(text, "(\r\n|\r|\n)$", ""), "\r\n|\r|\n")
+    count = df.where(F.length(text) > 0).select(*k, order, F.explode(lines).alias("line")).groupBy(*k, order, "line").agg(F.count("*").alias("_c"))
+    seen = count.join(near, [*k, order])
+    new = seen.where("not _first").select(*k, order, "line", F.col("_c"))
+    old = seen.where("_next is not null").select(*k, F.col("_next").alias(order), "line", (-F.col("_c")).alias("_c"))
+    change = new.unionByName(old).groupBy(*k, order, "line").agg(F.sum("_c").cast("int").alias("_c")).where("_c <> 0")
+    change = change.withColumn("change", F.when(F.col("_c") > 0, "added").otherwise("removed"))
+    return change.withColumn("_c", F.explode(F.sequence(F.lit(1), F.abs("_c")))).select(*k, order, "line", "change")
 
 
 def icon_joins(mapping: DataFrame, bitmap: DataFrame, icon: DataFrame, keys: Sequence[str] = ("machine",)) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidence_spark.functions.storage import cut
 from evidence_spark.operators import reconstruct as J
 from evidence_spark.plans.registry import query, table
 
@@ -140,13 +139,13 @@ TREE = "WITH RECURSIVE t(n, depth, path) AS (SELECT p_partkey, 0, {0} FROM part
 @query("j16_process_tree", TREE.format("lpad(CAST(p_partkey AS VARCHAR), 12, '0')", "lpad(CAST(p_partkey AS VARCHAR), 12, '0')", "'/'"))
 def _(s, d):
     p = table(s, d, "part").select("p_partkey", F.floor(F.col("p_partkey") / 2).alias("up"))
-    return J.process_tree(p, "p_partkey", "up", keys=(), max_depth=48, cut=cut)
+    return J.process_tree(p, "p_partkey", "up", keys=())
 
 
 @query("j17_folder_paths", TREE.format("p_name", "p_name", "'\\'"))
 def _(s, d):
     p = table(s, d, "part").select("p_partkey", F.floor(F.col("p_partkey") / 2).alias("up"), "p_name")
-    return J.folder_paths(p, "p_partkey", "up", "p_name", keys=(), max_depth=48, cut=cut)
+    return J.folder_paths(p, "p_partkey", "up", "p_name", keys=())
 
 
 @query("j18_pair_requests", """
