@@ -12,11 +12,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StructType
 
 from evidence_spark.functions.convert import LOGON_CODES, code_label, filetime_to_ts
 from evidence_spark.functions.records import SENTINEL
 
 BOM = "﻿"
+#: Lines that are looked through at once where their place is a number.
+BLOCK_LINES = 100_000
+#: Routing rules that may be broadcast.
+BROADCAST_RULES = 10_000
 
 
 def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -30,7 +35,8 @@ def route_files(files: DataFrame, parsers: DataFrame) -> DataFrame:
 
     ``files`` has path and content (its first bytes); ``parsers`` has parser_name,
     categorization_type (extension, regex, file_name, startswith, magic_number) and
-    categorization_values (separated by commas). The few parser rows are broadcast.
+    categorization_values (separated by commas). Rules are broadcast after they were
+    counted; so many that they are not are compared without that hint.
     """
     base = F.substring_index(F.regexp_replace("path", r"\\", "/"), "/", -1)
     rules = parsers.select("parser_name", "categorization_type", F.explode(F.split("categorization_values", ",")).alias("_v")).withColumn("_v", F.trim("_v")).where("_v <> ''")
@@ -43,7 +49,8 @@ def route_files(files: DataFrame, parsers: DataFrame) -> DataFrame:
         .when(kind == "magic_number", F.startswith(F.lower(F.hex(F.substring("content", 1, 64))), F.lower(F.replace(v, F.lit(" "), F.lit("")))))
         .otherwise(F.lit(False))
     )
-    return files.crossJoin(F.broadcast(rules)).where(hit).select("path", "parser_name").distinct()
+    few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
+    return files.join(F.broadcast(rules) if few else rules, hit).select("path", "parser_name").distinct()
 
 
 def read_kjson(spark: SparkSession, path: str) -> DataFrame:
@@ -194,21 +201,42 @@ def normalize_flows(df: DataFrame) -> DataFrame:
     return out
 
 
+def nearest_value(lines: DataFrame, value: Column, name: str, after: bool) -> DataFrame:
+    """``lines`` with ``name``: the nearest ``value`` that is not null at or after (or before) a line of its file.
+
+    A file is looked through block by block (its splits, or runs of BLOCK_LINES where ``pos``
+    is a number), and what the blocks next to it have is carried over from a row per block.
+    """
+    block = F.col("pos.block") if isinstance(lines.schema["pos"].dataType, StructType) else F.floor(F.col("pos") / BLOCK_LINES)
+    out = lines.withColumns({"_blk": block, "_v": value})
+    rows = W.partitionBy("path", "_blk").orderBy("pos")
+    blocks = W.partitionBy("path").orderBy("_blk")
+    at = F.when(F.col("_v").isNotNull(), F.col("pos"))
+    if after:
+        here = F.first_value("_v", ignoreNulls=F.lit(True)).over(rows.rowsBetween(0, W.unboundedFollowing))
+        edge = F.min_by("_v", at)
+        beyond = F.first_value("_e", ignoreNulls=F.lit(True)).over(blocks.rowsBetween(1, W.unboundedFollowing))
+    else:
+        here = F.last_value("_v", ignoreNulls=F.lit(True)).over(rows.rowsBetween(W.unboundedPreceding, 0))
+        edge = F.max_by("_v", at)
+        beyond = F.last_value("_e", ignoreNulls=F.lit(True)).over(blocks.rowsBetween(W.unboundedPreceding, -1))
+    carried = out.groupBy("path", "_blk").agg(edge.alias("_e")).select("path", "_blk", beyond.alias("_far"))
+    near = out.withColumn("_near", here).join(carried, ["path", "_blk"])
+    return near.withColumn(name, F.coalesce("_near", "_far")).drop("_blk", "_v", "_near", "_far")
+
+
 def parse_shutdown_log(lines: DataFrame, col: str = "line") -> DataFrame:
     """Clients that remained at a shutdown, with the time of the SIGTERM that follows."""
     client, term = r"remaining client pid: (\d+) \((.*)\)", r"SIGTERM: \[(\d+)\]"
     ts = F.when(F.col(col).rlike(term), F.regexp_extract(col, term, 1).try_cast("long"))
-    after = W.partitionBy("path").orderBy("pos").rowsBetween(0, W.unboundedFollowing)
-    out = lines.withColumn("_t", F.first_value(ts, ignoreNulls=F.lit(True)).over(after)).where(F.col(col).rlike(client) & F.col("_t").isNotNull())
+    out = nearest_value(lines, ts, "_t", after=True).where(F.col(col).rlike(client) & F.col("_t").isNotNull())
     return out.select("path", "pos", F.regexp_extract(col, client, 1).alias("pid"), F.regexp_extract(col, client, 2).alias("client"), F.timestamp_seconds("_t").alias("ts"))
 
 
 def parse_receivers(lines: DataFrame, activity: str, skip_packages: Sequence[str] = ("com.google.",), col: str = "line") -> DataFrame:
     """Receivers listed under an activity (S16): lines of 8 spaces after its marker."""
-    head = F.col(col).rlike(r"^\s{0,7}\S")
-    block = F.sum(head.cast("int")).over(W.partitionBy("path").orderBy("pos"))
-    name = F.first_value(F.when(head, F.trim(col)), ignoreNulls=F.lit(True)).over(W.partitionBy("path", "_k"))
-    out = lines.withColumn("_k", block).withColumn("_a", name)
+    head = F.when(F.col(col).rlike(r"^\s{0,7}\S"), F.trim(col))
+    out = nearest_value(lines, head, "_a", after=False)
     row = r"^ {8}(\S+) (\S+)/(\S+)"
     out = out.where(F.col("_a").startswith(activity) & F.col(col).rlike(row))
     out = out.select("path", "pos", F.regexp_extract(col, row, 1).alias("id"), F.regexp_extract(col, row, 2).alias("package_name"), F.concat_ws("/", F.regexp_extract(col, row, 2), F.regexp_extract(col, row, 3)).alias("receiver"))

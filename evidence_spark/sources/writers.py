@@ -8,17 +8,16 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
-def write_records(df: DataFrame, path: str, files_per_part: int = 1) -> dict[str, int]:
+def write_records(df: DataFrame, path: str) -> dict[str, int]:
     """Append records to a case store by case and data type (K1); counts of stored and failed.
 
-    Records without an id fail. Rows of a case and type are dealt to ``files_per_part``
-    tasks by their id, so one large type can be written by many tasks.
+    Records without an id fail. Rows of a case and type come together in few files, but
+    the rebalancing splits a large type over as many tasks as its bytes ask for.
     """
     seen = Observation()
     bad = F.col("record_id").isNull() | F.col("data").isNull()
     counted = df.observe(seen, F.count_if(~bad).alias("pushed"), F.count_if(bad).alias("failed"))
-    salt = F.pmod(F.xxhash64("record_id"), F.lit(files_per_part))
-    counted.where(~bad).repartition("case_id", "data_type", salt).write.mode("append").partitionBy("case_id", "data_type").parquet(path)
+    counted.where(~bad).hint("rebalance", "case_id", "data_type").write.mode("append").partitionBy("case_id", "data_type").parquet(path)
     return seen.get
 
 
