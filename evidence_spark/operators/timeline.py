@@ -93,6 +93,28 @@ def _value(path: str) -> Column:
     return field(path)
 
 
+def load_views(*texts: str) -> list[dict]:
+    """Views of view files' text (YAML), in order; ValueError for what is not well formed.
+
+    A file has one view or a list of views: ``name``, ``condition`` (``query``, or
+    ``default: true``), ``sheet`` and ``fields`` (column: template).
+    """
+    import yaml
+
+    views: list[dict] = []
+    for text in texts:
+        got = yaml.safe_load(text) or []
+        for v in got if isinstance(got, list) else [got]:
+            if not isinstance(v, dict) or not v.get("name") or not isinstance(v.get("fields"), dict) or not isinstance(v.get("condition"), dict):
+                raise ValueError("a view needs name, condition and fields")
+            if any(v["name"] == w["name"] for w in views):
+                raise ValueError(f"view {v['name']} is given twice")
+            if not (v["condition"].get("query") or v["condition"].get("default") or v["condition"].get("Default")):
+                raise ValueError(f"view {v['name']} has no query and is no default")
+            views.append({**v, "name": str(v["name"]), "sheet": str(v.get("sheet") or ""), "fields": {str(k): str(x) for k, x in v["fields"].items()}})
+    return views
+
+
 def render_view(df: DataFrame, view: Mapping) -> DataFrame:
     """The columns of a view over records (T8), with its sheet and name."""
     rows = df if "v" in df.columns else df.withColumn("v", variant("data"))

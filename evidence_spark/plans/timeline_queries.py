@@ -72,9 +72,9 @@ def _(s, d):
     return T.wide_timeline(e)
 
 
-@query("t7_first_last_run", "SELECT user_id, min(t) FILTER (WHERE t <> '1700-01-01T00:00:00') AS first_run, max(t) FILTER (WHERE t <> '1700-01-01T00:00:00') AS last_run FROM (SELECT user_id, CASE WHEN event_type = 'error' THEN '1700-01-01T00:00:00' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS t FROM events WHERE event_id < 900 OR event_type = 'error') GROUP BY 1")
+@query("t7_first_last_run", "SELECT user_id, min(t) FILTER (WHERE t <> '1700-01-01T00:00:00') AS first_run, max(t) FILTER (WHERE t <> '1700-01-01T00:00:00') AS last_run FROM (SELECT user_id, CASE WHEN event_type = 'error' THEN '1700-01-01T00:00:00' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS t FROM events) GROUP BY 1")
 def _(s, d):
-    e = table(s, d, "events").where("event_id < 900 or event_type = 'error'")
+    e = table(s, d, "events")
     t = F.when(F.col("event_type") == "error", F.lit("1700-01-01T00:00:00")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
     runs = e.groupBy("user_id").agg(F.collect_list(t).alias("runs"))
     return T.first_last_run(runs, "runs").select("user_id", "first_run", "last_run")
