@@ -56,6 +56,69 @@ def test_version_diff(spark):
     assert rows(J.version_diff(df), "modified", "line", "change") == [(2, "c", "added"), (3, "a", "removed"), (3, "b", "removed")]
 
 
+def test_version_diff_counts_lines(spark):
+    data = [("f", 1, "a\nb\nb\r\nc"), ("f", 2, "b\nb\nb\na\n"), ("f", 3, None), ("f", 4, "x"), ("g", 1, "only")]
+    df = spark.createDataFrame(data, "path string, modified int, text string")
+    got = rows(J.version_diff(df, ["path"]), "modified", "line", "change")
+    assert got == [(2, "b", "added"), (2, "c", "removed"), (3, "a", "removed"), *[(3, "b", "removed")] * 3, (4, "x", "added")]
+
+
+def test_deep_trees(spark):
+    """A chain far deeper than any level-by-level walk, and a cycle."""
+    n = 300
+    df = spark.createDataFrame([(i, i - 1 if i else None) for i in range(n)] + [(1000, 1001), (1001, 1000), (1002, 1001), (7000, 7000)], "pid int, ppid int")
+    got = {r["pid"]: r for r in J.process_tree(df, keys=()).collect()}
+    assert set(got) == {*range(n), 7000} and all(got[i]["depth"] == i for i in range(n))
+    assert got[n - 1]["path"] == "/".join(f"{i:012d}" for i in range(n))
+    assert J.process_tree(df, keys=(), max_depth=5).count() == 7
+
+
+def test_substrings_on_both_sides_of_the_pattern_limit(spark, monkeypatch):
+    values = ["", "abc", "x.Example.com", "longer.example.com", "a", "é.test", "[.*", "no.such.thing.test"]
+    texts = [None, "", "http:/X.EXAMPLE.com/abc", "see longer.example.com.", "É.test", "a[.*b", "zzz", "AbC"]
+    iocs = spark.createDataFrame([("domain", v) for v in values] + [("process", "zzz")], "kind string, value string")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    want = sorted((i, v) for i, t in enumerate(texts) for v in values if t and v and v.lower() in t.lower())
+    assert rows(I.match_path_mention(df, "t", iocs), "i", "ioc") == want
+    for limit, gram in ((0, 6), (0, 2), (3, 6)):
+        monkeypatch.setattr(I, "PATTERN_MAX", limit)
+        monkeypatch.setattr(I, "GRAM", gram)
+        assert rows(I.match_path_mention(df, "t", iocs), "i", "ioc") == want
+    assert I.match_any_field(df.withColumnsRenamed({"i": "record_id", "t": "value"}), iocs).count() == len(want) + 1
+
+
+def test_path_prefixes_of_many_lengths(spark, monkeypatch):
+    paths = ["/" + "a" * i for i in range(1, 30)] + ["/b", "", None]
+    iocs = spark.createDataFrame([("file_path", "/" + "a" * i + "/" * (i % 2)) for i in range(1, 25)] + [("file_path", ""), ("file_path", "/")], "kind string, value string")
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    want = sorted((p, "/" + "a" * i) for p in paths for i in range(1, 25) if p and p.startswith("/" + "a" * i))
+    assert rows(I.match_path_prefix(df, "p", iocs), "p", "ioc") == want
+    monkeypatch.setattr(I, "PREFIX_LENGTHS", 3)
+    assert rows(I.match_path_prefix(df, "p", iocs), "p", "ioc") == want
+
+
+def test_pages_reach_records_without_a_key(spark):
+    data = [(f"{i:02d}", json.dumps({"@timestamp": f"t{i % 3}"} if i % 4 else {"@timestamp": "x" * 300} if i % 8 else {})) for i in range(20)]
+    df = spark.createDataFrame([(i, d, "c") for i, d in data], "record_id string, data string, data_type string")
+    seen, key, last = [], "", ""
+    while True:
+        got = [(R.get_path("v", "@timestamp"), r) for r in S.page_after(df, key, last, 6).select("record_id", R.get_path("v", "@timestamp").alias("t")).collect()]
+        if not got:
+            break
+        seen += [r["record_id"] for _, r in got]
+        r = got[-1][1]
+        key, last = (r["t"] if r["t"] and len(r["t"]) <= 256 else None), r["record_id"]
+    assert seen == [r["record_id"] for r in S.sort_records(df).collect()] and len(seen) == 20
+
+
+def test_json_of_odd_shapes(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    df = spark.createDataFrame([(1, "[1]"), (2, "5"), (3, deep), (4, "{bad"), (5, None), (6, '{"a": 3}'), (7, '"text"')], "i int, data string")
+    assert rows(df.select("i", jsonfix.set_path("data", "a.b", F.lit("x")).alias("o"))) == [(1, None), (2, None), (3, None), (4, None), (5, '{"a":{"b":"x"}}'), (6, '{"a":{"b":"x"}}'), (7, None)]
+    assert rows(jsonfix.flatten_leaves(df), "i", "path", "value") == [(1, "0", "1"), (2, "", "5"), (6, "a", "3"), (7, "", "text")]
+    assert jsonfix.with_catch_all(df).count() == 7 and jsonfix.field_catalog(df).count() == 4
+
+
 def test_truncated_process_name(spark):
     iocs = spark.createDataFrame([("process", "abcdefghijklmnopqrs"), ("process", "short")], "kind string, value string")
     df = spark.createDataFrame([("/x/abcdefghijklmnop",), ("/x/abcdefghijklmno",), ("short",), (None,)], "p string")

@@ -86,6 +86,18 @@ def test_blocks(spark):
     assert rows(S.parse_receivers(lines(spark, text), "android.intent.X"), "id", "receiver") == [("1a", "com.bad/.R")]
 
 
+def test_values_are_carried_over_blocks(spark, monkeypatch):
+    """Blocks of a few lines: the nearest value may stand several blocks away."""
+    monkeypatch.setattr(S, "BLOCK_LINES", 3)
+    data = [(p, i, f"v{i}" if i % k == k - 1 else None) for p, k in (("a", 7), ("b", 2), ("c", 100)) for i in range(40)]
+    df = spark.createDataFrame(data, "path string, pos long, x string")
+    for after in (True, False):
+        got = {(r["path"], r["pos"]): r["n"] for r in S.nearest_value(df, F.col("x"), "n", after).collect()}
+        for p, i, _ in data:
+            mine = [(q, v) for path, q, v in data if path == p and v and (q >= i if after else q <= i)]
+            assert got[p, i] == ((min if after else max)(mine)[1] if mine else None)
+
+
 def test_iis_config(spark, tmp_path):
     xml = '<configuration><sites><site name="s" id="1"><application path="/app" applicationPool="p"><virtualDirectory path="/" physicalPath="C:\\x"/><virtualDirectory path="/v" physicalPath="D:\\y"/></application></site></sites></configuration>'
     assert rows(S.read_iis_config(spark, put(tmp_path, "a.config", xml)), "site", "virtual_path", "physical_path") == [("s", "/app/", "C:\\x"), ("s", "/app/v", "D:\\y")]
@@ -126,6 +138,23 @@ def test_sinks(spark, tmp_path):
     assert line == "|a_b||||||0|5|6|7"
 
 
+def test_one_large_type_is_split(spark, tmp_path):
+    """A hot case and type is written by many tasks, a small one by one."""
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(0, 60_000, numPartitions=12).select(F.col("id").cast("string").alias("record_id"), F.lit("c").alias("case_id"), F.when(F.col("id") == 7, "small").otherwise("hot").alias("data_type"), F.concat(F.lit("{}"), F.sha1(F.col("id").cast("string"))).alias("data"))
+        assert K.write_records(df, str(tmp_path / "store")) == {"pushed": 60_000, "failed": 0}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    got = spark.read.parquet(str(tmp_path / "store")).select("data_type", F.input_file_name().alias("f")).groupBy("data_type").agg(F.count_distinct("f").alias("files"), F.count("*").alias("n"))
+    n = {r["data_type"]: (r["files"], r["n"]) for r in got.collect()}
+    assert n["small"] == (1, 1) and n["hot"][1] == 59_999 and n["hot"][0] > 4
+
+
 def envelopes(n, start=0):
     return "".join(json.dumps({"Data": {"@timestamp": f"2024-01-01T00:00:{i:02d}", "k": i % 3}, "data_source": "s", "data_type": "d", "data_path": "/p", "machine": "M"}) + "\n" for i in range(start, start + n))
 
@@ -140,7 +169,11 @@ def test_stream_equals_batch(spark, tmp_path):
     W.stream_ingest(spark, src, dst, ck, "case", rules).awaitTermination()
     got = spark.read.parquet(dst)
     assert got.count() == 20 and got.select("record_id").distinct().count() == 20
-    assert got.where("rhaegal.rule_name = 'Zero'").count() == 7
+    assert got.where("rule_match.rule_name = 'Zero'").count() == 7
+    put(tmp_path / "src", "c.kjson", envelopes(50, 20))
+    W.stream_ingest(spark, src, dst, ck, "case", chunk=8).awaitTermination()
+    files = spark.read.parquet(dst).groupBy(F.input_file_name().alias("f")).count()
+    assert files.agg({"count": "max"}).first()[0] <= 10 and spark.read.parquet(f"{dst}/batch=2").count() == 50
 
 
 def test_stream_scan_and_correlation(spark, tmp_path):
