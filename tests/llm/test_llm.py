@@ -100,6 +100,42 @@ def test_decoding_of_ends_and_gaps():
     assert {"you", "idiot"} <= toxicity.words_of("y o u i d i o t", r)
 
 
+def test_viterbi_equals_all_paths():
+    """The decoded word of a token against all paths through its lattice."""
+    import itertools
+
+    counts = Counter()
+    for w in ("the loser and the idiot are stupid or moron in other toil as is it at " * 5).split():
+        w = f"^^{w}$"
+        counts.update(w[i : i + 3] for i in range(len(w) - 2))
+    model = toxicity.CharModel.of(counts)
+
+    def worth(path):
+        ctx, total = "^^", 0.0
+        for letter, cost in path:
+            total -= cost
+            if letter:
+                total += model.tri.get(ctx + letter, model.unseen)
+                ctx = ctx[1] + letter
+        return total + model.tri.get(ctx + "$", model.unseen)
+
+    for token in ("1d10t", "l0$er", "m.o.r.0.n", "stuup1d", "$tup!d", "a$$", "!!x", "7h3", "aa@@", "(|<"):
+        best = max(worth(p) for p in itertools.product(*toxicity.lattice(token)))
+        got = toxicity.decode(token, model)
+        assert max(worth(p) for p in itertools.product(*toxicity.lattice(token)) if "".join(x for x, _ in p) == got) == pytest.approx(best), token
+
+
+def test_labels_of_one_document(spark):
+    """Of several labels 1 holds; other labels and rows without an id are not used."""
+    texts = [f"good day friend {i} of mine" if i % 2 else f"you idiot {i} go away loser" for i in range(400)]
+    docs = docs_of(spark, texts)
+    labels = [(i, (i + 1) % 2) for i in range(400)] + [(i, 0) for i in range(0, 400, 2)] + [(None, 1), (3, 7), (5, None)]
+    model = toxicity.fit_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.weights.get("idiot", 0) > toxicity.LEAST_WEIGHT and "frien" not in model.weights
+    got = rows(toxicity.score_toxicity(docs, model), "doc_id", "predicted")
+    assert got == [(i, (i + 1) % 2) for i in range(400)]
+
+
 def test_toxicity(spark, docs, odd):
     from pyspark.sql import functions as F
 
@@ -182,6 +218,28 @@ def test_crowded_groups(spark):
     assert sorted(set(block.tolist())) == [1, 2, 3, 4] and np.bincount(block).max() < 1200
 
 
+def test_groups_of_one_point(spark):
+    """6,000 vectors around one point, with default parameters: the recall of links and components."""
+    rng = np.random.default_rng(6)
+    for noise in (1e-6, 0.02):
+        x = rng.standard_normal(64)
+        x = x / np.linalg.norm(x) + noise * rng.standard_normal((6000, 64))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = {r["vec_id"]: r for r in neardup.near_duplicates(df).collect()}
+        e = x / np.linalg.norm(x, axis=1, keepdims=True)
+        degree = (e @ e.T >= 0.9).sum(1) - 1
+        assert sum(r["n_links"] for r in got.values()) >= 0.9 * degree.sum()
+        assert all(r["n_links"] <= degree[k] for k, r in got.items())
+        assert {r["component_id"] for r in got.values()} == {0}
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    data = [(1, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (None, [1.0, 0.0]), (3, [0.0, 1.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").selectExpr("*", "1 as rep", "2 as n", "3 as h1", "4 as links", "5 as component", "6 as ok")
+    got = rows(neardup.near_duplicates(df), "vec_id", "component_id", "kept")
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True), (3, 3, True), (None, None, False)], key=repr)
+
+
 # -- personal data -----------------------------------------------------------------------
 
 PATTERNS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -220,11 +278,55 @@ def test_pii(spark, docs, texts, odd):
     assert pii.pii_report(docs.where("false"), pii.fit_pii(docs.where("false"))).count() == 0
 
 
-def test_trees_select(spark):
-    docs = docs_of(spark, [f"call +1 (205) 555-{i:04d} now, or {i} items of 12 345 for 100 200 300" for i in range(400)] + ["call (205) 555-0199 now"])
+def test_many_spans_in_one_text(spark):
+    model = pii.PiiModel()
+    text = "a 10.0.0.1 b " * 3000 + "x@y.zz"
+    got = pii.pii_report(docs_of(spark, [text, "q 1.2.3.4 " * (pii.BLOCK // 2), "1.2.3.4 " * (pii.BLOCK // 2 + 1)]), model).orderBy("doc_id").collect()
+    assert [r["n_ip"] for r in got] == [3000, pii.BLOCK // 2, pii.BLOCK // 2 + 1]
+    assert got[0]["spans"] == plain_spans(text)
+
+
+def test_trees_add_disguised_spans(spark):
+    """Spans that no pattern finds, planted in texts that the fit has not seen."""
+    rng = np.random.default_rng(8)
+    words = "the red item was sent on time and we count more of it".split()
+
+    def some(x):
+        return f"{' '.join(rng.choice(words, 6))} {x} {' '.join(rng.choice(words, 6))}"
+
+    def card():
+        d = rng.integers(0, 10, 15).tolist()
+        s = sum(x if i % 2 else sum(divmod(2 * x, 10)) for i, x in enumerate(d))
+        return "".join(map(str, [*d, -s % 10]))
+
+    made = []
+    for i in range(600):
+        made += [some(f"{rng.choice(['joe', 'a.b', 'info', f'n{i}'])}@{rng.choice(['mail.', ''])}{rng.choice(['site.net', 'example.org'])}"), some(".".join(map(str, rng.integers(0, 10 ** rng.integers(1, 4, 4)) % 256))), some(card()), some(f"+1 (205) 555-{i:04d}"), some(f"{i} of 12 345"), some(f"{rng.integers(10**15, 10**16)}"), some(f"20{i % 10}.11.12")]
+    model = pii.fit_pii(docs_of(spark, made))
+    assert set(model.thresholds) == set(pii.KINDS) and all(p >= pii.PRECISION for p, _ in model.measured.values())
+    c = card()
+    planted = {
+        "email": [some("joe (at) mail.example.org"), some("a.b[at]site[dot]net")], "ip": [some("192[.]168[.]4[.]20"), some("88(.)8(.)141(.)4")],
+        "card": [some("_".join(c[i : i + 4] for i in range(0, 16, 4))), some(".".join(c[i : i + 4] for i in range(0, 16, 4)))], "phone": [some("(205) 555-0199"), some("205-555-0188")],
+    }
+    texts = [t for group in planted.values() for t in group] + [some(f"{i} of 300 400") for i in range(40)] + [some(f"20{i % 10}.10.11") for i in range(40)]
+    got = pii.pii_report(docs_of(spark, texts), model).orderBy("doc_id").collect()
+    assert all(sum(r[f"n_{k}"] for k in pii.KINDS) == 0 for r in got)
+    assert [r["spans"].split(":")[0] for r in got[:8]] == [k for k, group in planted.items() for _ in group]
+    assert all(r["spans"] == "" for r in got[8:])
+    out = pii.redact_pii(docs_of(spark, texts[:1]), model).first()
+    assert "[EMAIL]" in out["text"] and "joe" not in out["text"] and out["n_chars"] == len(out["text"])
+
+
+def test_pii_of_odd_rows(spark, docs, odd):
+    clash = odd.selectExpr("*", "1 as row", "2 as t", "3 as base", "4 as spans", "5 as c", "6 as more", "7 as _t", "8 as new")
     model = pii.fit_pii(docs)
-    assert model.trees and model.threshold <= 1
-    assert rows(pii.pii_report(docs, model).where("doc_id = 400"), "n_phone", "spans") == [(0, "phone:5:19")]
+    out = pii.redact_pii(clash, model)
+    assert out.columns == clash.columns and out.count() == odd.count()
+    assert rows(out.where("doc_id in (0, 1, 2)"), "doc_id", "text", "row") == [(0, None, 1), (1, "", 1), (2, "   ", 1)]
+    got = pii.pii_report(clash, model)
+    assert got.count() == odd.count() and rows(got.where("doc_id = 0"), "n_email", "spans", "base_sha256") == [(0, "", hashlib.sha256(b"").hexdigest())]
+    assert pii.redact_pii(odd.where("false"), model).count() == 0
 
 
 # -- mixing ------------------------------------------------------------------------------
@@ -470,6 +572,31 @@ def test_language(spark, docs, odd):
     assert rows(langid.identify_language(docs_of(spark, ["abc"]), none), "lang_pred") == [("und",)]
 
 
+def test_nearest_centroid_by_plain_cosines(spark):
+    """Every prediction against cosines with all centroids, and fits that repeat."""
+    rng = np.random.default_rng(4)
+    made = [" ".join("".join(rng.choice(list(letters), 5)) for _ in range(20)) for letters in ("abcde", "vwxyz", "lmnop") for _ in range(60)]
+    df = docs_of(spark, made).selectExpr("doc_id", "text", "element_at(array('A', 'B', null), cast(doc_id / 60 as int) + 1) as lang")
+    model = langid.fit_langid(df)
+    assert model.langs == ["A", "B"] and len(model.owner) == 2 * langid.CENTROIDS
+    again = langid.fit_langid(df.repartition(7))
+    assert np.array_equal(model.centroids, again.centroids) and np.array_equal(model.floor, again.floor)
+    texts = ["abcde abc", "vwxyz zyx", "lmnop", "a", "", None, "12 3"]
+    pred, score, rejected = model.predict(texts)
+    for t, p, s, r in zip(texts, pred, score, rejected, strict=True):
+        c = langid.gram_counts(t) if t else None
+        if c is None:
+            assert (p, s, r) == ("und", 0.0, True)
+            continue
+        v = np.log1p(c) * model.idf
+        cos = model.centroids @ (v / np.linalg.norm(v))
+        assert p == model.langs[model.owner[cos.argmax()]] and s == pytest.approx(cos.max(), abs=1e-5)
+        assert r == (cos.max() < model.floor[model.langs.index(p)])
+    assert rejected[2]
+    many = docs_of(spark, [f"{chr(97 + i // 26)}{chr(97 + i % 26)} word" for i in range(676)]).selectExpr("doc_id", "text", "concat('l', doc_id) as lang")
+    assert len(langid.fit_langid(many).langs) > 500
+
+
 # -- shingles ----------------------------------------------------------------------------
 
 
