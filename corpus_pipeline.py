@@ -1,7 +1,8 @@
 """The training-data pipeline: language, near duplicates, personal data, mixing, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet and read again as the next one's docs. All but the last keep the columns of docs.
+Parquet and read again as the next one's docs. All but the last keep the columns of docs,
+extra ones too, whatever their names. An empty table gives an empty table in every stage.
 Packed rows of a document that mixing repeats are rows of their own.
 """
 
@@ -18,27 +19,46 @@ from evidence_spark.llm.pii import fit_pii, redact_pii
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents whose language the nearest-centroid model rejects."""
+    """Drop the documents whose language the nearest-centroid model rejects.
+
+    Null and empty texts, and those without a letter, are rejected, and so is every row
+    where no row has a known lang to learn from. A null doc_id, lang or source is no
+    reason to go. Repeated rows fare alike; long texts are read whole.
+    """
     return keep_known_language(docs, fit_langid(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of near duplicates."""
+    """Keep the smallest doc_id of each group of near duplicates.
+
+    Of rows that repeat it one stays. Null and empty texts, and rows without a doc_id, are
+    in no group and stay.
+    """
     return keep_one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by tags."""
+    """Replace personal data by tags; every row stays.
+
+    Null texts stay null. n_chars follows the new text. Repeated rows get the same text.
+    """
     return redact_pii(docs, fit_pii(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out documents so that sources reach their target weights."""
+    """Repeat or leave out documents so that sources reach their target weights.
+
+    Rows without a source are one source; a null or empty text counts one token. Rows that
+    repeat a doc_id, or lack one, stay together.
+    """
     return mix_sources(docs, plan_mix(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack token sequences of at most 2048."""
+    """Pack token sequences of at most 2048.
+
+    A null or empty text is the end id alone; repeated rows are packed as often as they occur.
+    """
     return pack_documents(docs)
 
 
