@@ -77,42 +77,49 @@ def pieces(w: np.ndarray, offsets: np.ndarray, k: int = WINDOW, m: int = MINIMIS
     return text[start], grams[least[new]].view(np.int64), content, tail, head, start - offsets[:-1][text[start]], size
 
 
-def _pieces_of(texts: DataFrame, k: int, m: int, nodes: bool) -> DataFrame:
-    """Pieces of all texts: mini, content, doc_id, start, size and, if wanted, tail and head."""
-    schema = "mini long, content long, doc_id long, start int, size int" + (", tail long, head long" if nodes else "")
+def _pieces_of(texts: DataFrame, k: int, m: int, graph: bool) -> DataFrame:
+    """Pieces of all texts: content, doc_id, start, size and, for the graph, mini, tail and head."""
+    schema = "content long, doc_id long, start int, size int" + (", mini long, tail long, head long" if graph else "")
 
     def run(batches):
         for b in batches:
             ids = b.column(0).to_numpy()
             for first, w, offsets in hash_words(b.column(1).to_pylist()):
                 text, mini, content, tail, head, start, size = pieces(w, offsets, k, m)
-                out = [mini, content, ids[first + text], start.astype(np.int32), size.astype(np.int32), tail, head]
-                names = ["mini", "content", "doc_id", "start", "size", "tail", "head"]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out[: 7 if nodes else 5]], names[: 7 if nodes else 5])
+                out = [content, ids[first + text], start.astype(np.int32), size.astype(np.int32), mini, tail, head]
+                names = ["content", "doc_id", "start", "size", "mini", "tail", "head"]
+                n = 7 if graph else 4
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out[:n]], names[:n])
 
     return texts.mapInArrow(run, schema)
 
 
 def compact(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``mini, content, src, path, dist``: the nonbranching path of each edge and its place in it.
+    """``content, src, path, dist``: the nonbranching path of each edge and its place in it.
 
-    ``edges`` are repeated pieces (mini, content, tail, head, size and src, the place of the
-    first occurrence), ``nodes`` the nodes (node) of in- and out-degree 1. An edge follows
-    another at such a node where its first occurrence follows, too, which also rules out
-    cycles. ``path`` is the content of the first edge, ``dist`` the windows before this one.
+    ``edges`` are repeated pieces (content, tail, head, size and src, the place of the first
+    occurrence), ``nodes`` the nodes (node) of in- and out-degree 1. An edge follows another
+    at such a node where its first occurrence follows, too, which also rules out cycles.
+    ``path`` is the content of the first edge, ``dist`` the windows before this one.
     """
     came = edges.select(F.col("head").alias("node"), F.col("content").alias("prev"), F.col("size").alias("step"), F.col("src.doc_id").alias("d"), (F.col("src.start") + F.col("size")).alias("s"))
-    goes = edges.select(F.col("tail").alias("node"), "content", F.col("src.doc_id").alias("d"), F.col("src.start").alias("s"))
-    links = came.join(goes, ["node", "d", "s"]).join(nodes, "node", "left_semi").where("prev <> content").select("content", "prev", "step")
-    state = edges.select("content").join(links, "content", "left")
-    state = cut(state.select("content", F.coalesce("prev", "content").alias("path"), F.coalesce("step", F.lit(0)).alias("dist"), F.col("prev").isNull().alias("done")))
+    goes = edges.select(F.col("tail").alias("node"), "content", F.col("src.doc_id").alias("to_d"), F.col("src.start").alias("to_s"))
+    # at these nodes one edge ends and one starts, so a join by node gives a row each
+    links = nodes.join(came, "node").join(goes, "node").where("d = to_d and s = to_s and prev <> content").select("content", "prev", "step")
+    links = cut(links)
+    # an edge that only others follow is the head of its path
+    heads = links.select(F.col("prev").alias("content")).join(links.select("content"), "content", "left_anti")
+    state = links.select("content", F.col("prev").alias("path"), F.col("step").alias("dist"), F.lit(False).alias("done"))
+    state = cut(state.unionByName(heads.select("content", F.col("content").alias("path"), F.lit(0).alias("dist"), F.lit(True).alias("done"))))
+    drop_cut(links)
     while state.where("not done").limit(1).count():
         up = state.select(F.col("content").alias("path"), F.col("path").alias("top"), F.col("dist").alias("more"), F.col("done").alias("ends"))
         longer = state.where("not done").join(up, "path").select("content", F.col("top").alias("path"), (F.col("dist") + F.col("more")).alias("dist"), F.col("ends").alias("done"))
         new = cut(state.where("done").unionByName(longer))
         drop_cut(state)
         state = new
-    out = cut(edges.select("mini", "content", "src").join(state.drop("done"), "content"))
+    placed = state.select("content", "path", "dist")
+    out = cut(edges.select("content", "src").join(placed, "content", "left").select("content", "src", F.coalesce("path", "content").alias("path"), F.coalesce("dist", F.lit(0)).alias("dist")))
     drop_cut(state)
     return out
 
@@ -153,15 +160,16 @@ def repeated_spans(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER) -> Data
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     place = F.min(F.struct("doc_id", "start")).alias("src")
     firsts = _pieces_of(texts, k, m, True).groupBy("mini", "content").agg(place, *[F.first(c).alias(c) for c in ("size", "tail", "head")], F.count("*").alias("n"))
-    firsts = cut(firsts.select("mini", "content", "src", "size", "tail", "head", "n"))
+    # of a piece that occurs once the content is not looked at again
+    firsts = cut(firsts.select("mini", F.when(F.col("n") > 1, F.col("content")).alias("content"), "src", "size", "tail", "head"))
 
     # degrees of the nodes over all different pieces
     ends = firsts.select(F.explode(F.array(F.struct(F.col("tail").alias("node"), F.lit(0).alias("into")), F.struct(F.col("head").alias("node"), F.lit(1).alias("into")))).alias("x"))
     nodes = ends.groupBy("x.node").agg(F.count("*").alias("all"), F.sum("x.into").alias("into")).where("`all` = 2 and `into` = 1").select("node")
-    edges = compact(firsts.where("n > 1").select("mini", "content", "tail", "head", "size", "src"), nodes)
+    edges = compact(firsts.where("content is not null").select("content", "tail", "head", "size", "src"), nodes)
 
     # later occurrences, joined along their paths
-    again = _pieces_of(texts, k, m, False).join(edges, ["mini", "content"]).where((F.col("doc_id") != F.col("src.doc_id")) | (F.col("start") != F.col("src.start")))
+    again = _pieces_of(texts, k, m, False).join(edges, "content").where((F.col("doc_id") != F.col("src.doc_id")) | (F.col("start") != F.col("src.start")))
     whole = again.groupBy("doc_id", "path", (F.col("start") - F.col("dist")).alias("begin")).agg(
         F.min("start").alias("start"), (F.max(F.col("start") + F.col("size")) + (k - 1)).alias("end"), F.first("src.doc_id").alias("src_doc"), F.min("src.start").alias("src_start")
     )
