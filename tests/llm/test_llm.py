@@ -127,7 +127,9 @@ def test_viterbi_equals_all_paths():
 
 def test_labels_of_one_document(spark):
     """Of several labels 1 holds; other labels and rows without an id are not used."""
-    texts = [f"good day friend {i} of mine" if i % 2 else f"you idiot {i} go away loser" for i in range(400)]
+    rng = np.random.default_rng(12)
+    some = ["".join(rng.choice(list("aeioubdgklmnprst"), 6)) for _ in range(3000)]
+    texts = [" ".join([*rng.choice(some, 8), *(("good", "day", "friend") if i % 2 else ("you", "idiot", "loser"))]) for i in range(400)]
     docs = docs_of(spark, texts)
     labels = [(i, (i + 1) % 2) for i in range(400)] + [(i, 0) for i in range(0, 400, 2)] + [(None, 1), (3, 7), (5, None)]
     model = toxicity.fit_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
