@@ -28,7 +28,7 @@ END = END_ID.to_bytes(4, "little")
 #: Pieces that one shard should hold; a shard wastes about one sequence.
 SHARD_PIECES = 20_000
 
-#: Distinct words of which a task remembers the ids.
+#: Distinct words of which a process remembers the ids, for its next tasks too (about 230 bytes each).
 KNOWN_WORDS = 1_000_000
 #: Characters of the texts of which the words are looked up together.
 LOOKUP_CHARS = 2_000_000
@@ -81,7 +81,7 @@ class Encoder:
         ids = np.array(got.ids, "<u4").tobytes()
         self.known.update((w, ids[s:e]) for w, s, e in zip(words, edge, edge[1:], strict=False))
 
-    def ids(self, texts: list[str | None]):
+    def ids(self, texts: list[str | None], known_words: int = KNOWN_WORDS):
         """Ids of each text and the end id, as bytes of little-endian unsigned 32-bit."""
         at = 0
         while at < len(texts):
@@ -93,7 +93,7 @@ class Encoder:
             for text in texts[at:end]:
                 plain = text and _PLAIN.fullmatch(text) and not _LOOSE.search(text) and not any(x in text for x in self.special)
                 split.append(text.split(" ") if plain else None)
-            if len(self.known) > KNOWN_WORDS:
+            if len(self.known) > known_words:
                 self.known.clear()
             new = set(chain.from_iterable(w[1:] for w in split if w)).difference(self.known)
             if new:
@@ -273,22 +273,27 @@ def _batch(rows: list[tuple], width: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=False)], _NAMES[:width])
 
 
-def token_pieces(docs: DataFrame, size: int = SEQ_LEN, tokenizer_path: str | None = None) -> DataFrame:
-    """One row per piece of every whole text, with the crc32 of its ids."""
+def token_pieces(docs: DataFrame, size: int = SEQ_LEN, tokenizer_path: str | None = None, known_words: int = KNOWN_WORDS, keep_words: bool = True) -> DataFrame:
+    """One row per piece of every whole text, with the crc32 of its ids.
+
+    ``known_words`` and ``keep_words`` (for the next task of a process) trade memory for time.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches):
         encoder = Encoder.of(tokenizer_path)
         for b in batches:
             out = []
-            for doc, ids in zip(b.column(0).to_pylist(), encoder.ids(b.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), encoder.ids(b.column(1).to_pylist(), known_words), strict=True):
                 out += [(doc, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut_pieces(len(ids) // 4, size))]
             yield _batch(out, 5)
+        if not keep_words:
+            encoder.known.clear()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECE_SCHEMA)
 
 
-def pack_documents(docs: DataFrame, size: int = SEQ_LEN, tokenizer_path: str | None = None, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+def pack_documents(docs: DataFrame, size: int = SEQ_LEN, tokenizer_path: str | None = None, shard_pieces: int = SHARD_PIECES, known_words: int = KNOWN_WORDS, keep_words: bool = True) -> DataFrame:
     """Pieces of all documents with their sequence and place in it.
 
     Null and empty texts are the end id alone. Repeated rows are packed as often as they
@@ -297,7 +302,7 @@ def pack_documents(docs: DataFrame, size: int = SEQ_LEN, tokenizer_path: str | N
     sequences of their own and are not shuffled. Columns: doc_id, piece, start, length,
     ids_crc32, sequence_id, offset.
     """
-    pieces = cut(token_pieces(docs, size, tokenizer_path))
+    pieces = cut(token_pieces(docs, size, tokenizer_path, known_words, keep_words))
     number = F.monotonically_increasing_id()  # of a row in the written table
     full = pieces.where(F.col("length") == size).select("*", (number * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     part = pieces.where(F.col("length") < size)
