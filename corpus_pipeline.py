@@ -17,6 +17,9 @@ from evidence_spark.llm.mixing import mix_sources, plan_mix
 from evidence_spark.llm.packing import pack_documents
 from evidence_spark.llm.pii import fit_pii, redact_pii
 
+#: Words that a packing task remembers: fewer than alone, as executors have served other stages.
+KNOWN_WORDS = 200_000
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents whose language the nearest-centroid model rejects.
@@ -59,7 +62,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text is the end id alone; repeated rows are packed as often as they occur.
     """
-    return pack_documents(docs)
+    return pack_documents(docs, known_words=KNOWN_WORDS, keep_words=False)
 
 
 STAGES = [
