@@ -68,7 +68,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 #: Bytes that are hashed at once.
-PART = 1 << 20
+PART = 1 << 18
 _P = np.uint64(0xD6E8FEB86659FD93)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _BYTE = np.random.Generator(np.random.PCG64(21)).integers(0, 1 << 64, 256, dtype=np.uint64, endpoint=False)
