@@ -73,6 +73,12 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op11_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidence_spark.llm.tiers import pack_hierarchy
+
+    return pack_hierarchy(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_neardup": op2_neardup,
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": op8_jaccard,
     "op9_packing": op9_packing,
     "op10_substring": op10_substring,
+    "op11_tiers": op11_tiers,
 }
 
 #: The exact results. op2's passes are meant to meet 99.7 % of the pairs just at the threshold

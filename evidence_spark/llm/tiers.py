@@ -13,6 +13,7 @@ next one, so that nothing is shuffled; the last few ids of a task are cut at pow
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections import Counter, defaultdict
@@ -35,11 +36,11 @@ STEP_TOKENS = 1 << 16
 #: Tokens that a task holds before it packs them.
 BUFFER_TOKENS = 1 << 22
 #: Distinct words, and bytes of their ids, that a process remembers.
-KNOWN_WORDS = 400_000
-KNOWN_BYTES = 1 << 24
+KNOWN_WORDS = 1_000_000
+KNOWN_BYTES = 1 << 25
 #: Characters of the texts of which the words are looked up together.
 LOOKUP_CHARS = 1_000_000
-#: Texts of these characters are cut at white space before the tokenizer sees them.
+#: Texts of these characters are cut into words as the tokenizer cuts them (tests compare each).
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-įı-ɏ‐-‧‰-⁞]*+")
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -48,9 +49,9 @@ _ENCODERS: dict[str, WordEncoder] = {}
 class WordEncoder:
     """Ids of whole texts by ``tokenizers``, which sees every distinct word once.
 
-    The vocabulary drops white space and never merges across it, so the ids of a text are
-    those of its words one after the other. Texts with a special token or with characters
-    outside of ``_PLAIN`` go to the tokenizer whole.
+    The vocabulary drops white space and case and never merges across words, so the ids of
+    a text are those of its words one after the other. Texts with a special token or with
+    characters outside of ``_PLAIN`` go to the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -60,6 +61,9 @@ class WordEncoder:
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.held = 0
+        # the standard library's matcher is faster, and has letters as a list
+        letters, digits = ("".join(c for c in map(chr, range(0x80, 0x250)) if regex.match(p, c)) for p in (r"\p{L}", r"\p{N}"))
+        self.words = re.compile(rf"[a-z{letters}]+|[0-9{digits}]|'(?:[stmd]|re|ve|ll)|[^\s0-9a-z{letters}{digits}]+").findall
 
     @classmethod
     def of(cls, path: str | None = None) -> WordEncoder:
@@ -92,7 +96,7 @@ class WordEncoder:
             split = []
             for text in texts[at:end]:
                 plain = not text or (_PLAIN.fullmatch(text) and not any(x in text for x in self.special))
-                split.append((text or "").split() if plain else None)
+                split.append(self.words((text or "").lower()) if plain else None)
             if len(self.known) > known_words or self.held > KNOWN_BYTES:
                 self.known.clear()
                 self.held = 0
