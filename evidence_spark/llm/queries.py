@@ -79,6 +79,12 @@ def op11_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_hierarchy(table(spark, sf_dir, "documents"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidence_spark.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidence_spark.llm.lexical import lexical_search
 
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_substring": op10_substring,
     "op11_tiers": op11_tiers,
+    "op12_phrases": op12_phrases,
     "op13_lexical": op13_lexical,
 }
 
@@ -125,6 +132,21 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM dup),
 kept AS (SELECT doc_id, string_agg(ws[i], ' ' ORDER BY i) AS t FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w) x WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = x.doc_id AND gone.i = x.i) GROUP BY 1),
 n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+""",
+    "op12_phrases": r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM t),
+g AS (SELECT lang, m, array_to_string(ws[s:s + m - 1], ' ') AS p FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS s FROM w, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(ws) >= m)),
+f AS (SELECT lang, m, p, count(*) AS f FROM g GROUP BY 1, 2, 3),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY 1),
+c AS (SELECT lang, m, p, string_split(p, ' ') AS ws, f AS a FROM f WHERE m > 1 AND f >= 30),
+k AS (SELECT c.lang, c.p, c.a, k, h.f AS l, r.f AS r, CAST((CAST(2000000 AS HUGEINT) * c.a) // (h.f + r.f) AS BIGINT) AS score FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c
+  JOIN f h ON h.lang = c.lang AND h.p = array_to_string(c.ws[1:k], ' ') JOIN f r ON r.lang = c.lang AND r.p = array_to_string(c.ws[k + 1:], ' ')
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.p ORDER BY score, k) = 1),
+o AS (SELECT lang, array_to_string(ws[s:s + q - 1], ' ') AS p, max(a) AS over FROM (SELECT lang, ws, a, q, unnest(range(1, m - q + 2)) AS s FROM (SELECT *, unnest(range(2, m)) AS q FROM c WHERE m > 2)) GROUP BY 1, 2)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, n, score FROM k LEFT JOIN o USING (lang, p) JOIN n USING (lang)
+WHERE over IS NULL OR CAST(100 AS HUGEINT) * over < CAST(80 AS HUGEINT) * a
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) <= 2000
 """,
     "op13_lexical": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
