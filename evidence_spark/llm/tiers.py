@@ -41,7 +41,7 @@ KNOWN_BYTES = 1 << 25
 #: Characters of the texts of which the words are looked up together.
 LOOKUP_CHARS = 1_000_000
 #: Texts of these characters are cut into words as the tokenizer cuts them (tests compare each).
-_PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-įı-ɏ‐-‧‰-⁞]*+")
+_PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-įı-ž‐-‧‰-⁞]*+")
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -62,7 +62,7 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
         self.held = 0
         # the standard library's matcher is faster, and has letters as a list
-        letters, digits = ("".join(c for c in map(chr, range(0x80, 0x250)) if regex.match(p, c)) for p in (r"\p{L}", r"\p{N}"))
+        letters, digits = ("".join(c for c in map(chr, range(0x80, 0x180)) if regex.match(p, c)) for p in (r"\p{L}", r"\p{N}"))
         self.words = re.compile(rf"[a-z{letters}]+|[0-9{digits}]|'(?:[stmd]|re|ve|ll)|[^\s0-9a-z{letters}{digits}]+").findall
 
     @classmethod
