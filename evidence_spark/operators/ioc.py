@@ -7,18 +7,18 @@ indicators is broadcast only after its size was checked; a longer one is joined
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidence_spark.functions.convert import registrable_domain, url_domain
+from evidence_spark.operators.automaton import AUTOMATON_CHARS, contained
 
 #: Indicators that may be broadcast.
 SMALL = 100_000
 #: Indicators of which one alternation pattern is built for substring search.
-PATTERN_MAX = 2_000
-#: Characters of the part of an indicator that substring search joins by.
-GRAM = 6
+PATTERN_MAX = 24
 #: Lengths of path indicators beyond which all prefixes of a path are joined.
 PREFIX_LENGTHS = 64
 
@@ -70,38 +70,37 @@ def match_any_domain(df: DataFrame, col: str, iocs: DataFrame) -> DataFrame:
 def _substring(df: DataFrame, col: Column, iocs: DataFrame, kind: str) -> DataFrame:
     """Rows whose text contains an indicator, whatever the case; empty indicators never match.
 
-    While the indicators are few, one pattern of all of them rules most rows out. A longer
-    list is joined by a part of GRAM characters from the middle of each indicator (the whole
-    of a shorter one), which a text that contains it has too. Both give the same rows.
+    A few indicators are one pattern, which rules most rows out, and a check of each. More
+    become an automaton that reads each text once; where they hold more characters than
+    one may, they are split by hash into several, each with a pass of its own.
     """
-    known = _kind(iocs, kind)
-    few = known.limit(PATTERN_MAX + 1).collect()
-    if len(few) > PATTERN_MAX:
-        return _by_grams(df.withColumn("_t", F.lower(col)), known).drop("_t")
-    values = sorted((r["ioc"] for r in few), key=lambda x: (-len(x), x))
-    if not values:
+    spark = df.sparkSession
+    known = _kind(iocs, kind).select("ioc", F.lower("ioc").alias("low"))
+    n, chars = known.agg(F.count("*"), F.coalesce(F.sum(F.length("low")), F.lit(0))).first()
+    if not n:
         return df.withColumn("ioc", F.lit("")).where("false")
-    some = df.withColumn("_t", F.lower(col)).where(F.col("_t").rlike("|".join(re.escape(v.lower()) for v in values)))
-    each = F.filter(F.array(*[F.lit(v) for v in values]), lambda v: F.contains("_t", F.lower(v)))
-    return some.withColumn("ioc", F.explode(each)).drop("_t")
-
-
-def _by_grams(df: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``_t`` contains an indicator of ``known(ioc)``, with it: an equi-join."""
-    low = F.lower("ioc")
-    size = F.least(F.length(low), F.lit(GRAM))
-    parts = known.select("ioc", size.alias("_n"), F.substring(low, F.floor((F.length(low) - size) / 2).cast("int") + 1, size).alias("_k"))
-    sizes = sorted(r[0] for r in parts.select("_n").distinct().collect())  # at most GRAM
-    if not sizes:
-        return df.withColumn("ioc", F.lit("")).where("false")
-
-    def grams(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length("_t") - n + 1)
-        return F.when(F.length("_t") >= n, F.transform(starts, lambda i: F.substring("_t", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-    out = df.withColumn("_k", F.explode(F.array_distinct(F.concat(*[grams(n) for n in sizes]))))
-    parts = F.broadcast(parts) if parts.limit(SMALL + 1).count() <= SMALL else parts
-    return out.join(parts, "_k").where(F.contains("_t", low)).drop("_k", "_n")
+    texts = df.withColumn("_t", F.lower(col))
+    if n <= PATTERN_MAX:
+        values = sorted(((r["ioc"], r["low"]) for r in known.collect()), key=lambda x: (-len(x[1]), x))
+        some = texts.where(F.col("_t").rlike("|".join(re.escape(low) for _, low in values)))
+        each = F.array_compact(F.array(*[F.when(F.contains("_t", F.lit(low)), F.lit(v)) for v, low in values]))
+        return some.withColumn("ioc", F.explode(each)).drop("_t")
+    out = []
+    for part in _parts(known, -(-chars // AUTOMATON_CHARS)):
+        pairs = [(r["low"], r["ioc"]) for r in part.collect()]
+        out.append(texts.withColumn("ioc", F.explode(contained(spark, F.col("_t"), pairs))).drop("_t"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _parts(known: DataFrame, parts: int):
+    """``known`` by hash in parts of at most ``AUTOMATON_CHARS`` characters, or of one indicator."""
+    while True:
+        place = F.pmod(F.xxhash64("ioc"), F.lit(parts))
+        sizes = {r[0]: r[1:] for r in known.groupBy(place).agg(F.sum(F.length("low")), F.count("*")).collect()}
+        if all(chars <= AUTOMATON_CHARS or n == 1 for chars, n in sizes.values()):
+            break
+        parts += 1 + parts // 4
+    return [known.where(place == p) for p in sorted(sizes)]
 
 
 def match_domain_substring(df: DataFrame, col: str, iocs: DataFrame) -> DataFrame:

@@ -76,6 +76,12 @@ def _(s, d):
     return I.match_path_mention(table(s, d, "pages").withColumn("f", F.concat(F.lit("Library/"), "url")), "f", iocs(s)).select("page_id", "ioc")
 
 
+@query("i9_many_mentions", "SELECT ioc, count(*) AS n FROM documents JOIN (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{9,}')) AS ioc FROM benchmark) ON contains(lower(text), ioc) GROUP BY 1")
+def _(s, d):
+    words = table(s, d, "benchmark").select(F.lit("domain").alias("kind"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), 0)).alias("value"))
+    return I.match_path_mention(table(s, d, "documents").select("text"), "text", words).groupBy("ioc").agg(F.count("*").alias("n"))
+
+
 @query("i10_exact", "SELECT p_partkey, p_type AS ioc FROM part WHERE p_type IN ('ECONOMY', 'PROMO')")
 def _(s, d):
     return I.match_exact(table(s, d, "part"), "p_type", iocs(s), "app").select("p_partkey", "ioc")

@@ -80,13 +80,26 @@ def test_substrings_on_both_sides_of_the_pattern_limit(spark, monkeypatch):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     want = sorted((i, v) for i, t in enumerate(texts) for v in values if t and v and v.lower() in t.lower())
     assert rows(I.match_path_mention(df, "t", iocs), "i", "ioc") == want
-    for limit, gram in ((0, 6), (0, 2), (3, 6)):
+    for limit, chars in ((0, 1000), (3, 1000), (0, 20), (0, 1)):
         monkeypatch.setattr(I, "PATTERN_MAX", limit)
-        monkeypatch.setattr(I, "GRAM", gram)
+        monkeypatch.setattr(I, "AUTOMATON_CHARS", chars)
         assert rows(I.match_path_mention(df, "t", iocs), "i", "ioc") == want
     assert I.match_any_field(df.withColumnsRenamed({"i": "record_id", "t": "value"}), iocs).count() == len(want) + 1
 
 
+def test_many_indicators_cost_one_pass(spark):
+    """A hundred thousand indicators: rows grow with hits only, and are those of plain search."""
+    values = [f"{i * 2654435761 % 2**32:x}.{'net' if i % 2 else 'Example.org'}" for i in range(100_000)] + ["net", "9.net"]
+    texts = [f"/a/{values[i * 37 % 100_000].upper()}/b-{values[i]}" if i % 5 == 0 else f"/a/{i:x}x" for i in range(1000)]
+    iocs = spark.createDataFrame([("domain", v) for v in values], "kind string, value string")
+    got = I.match_path_mention(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t", iocs)
+    lower = [(v, v.lower()) for v in values]
+    want = sorted(((i, v) for i, t in enumerate(texts) if i % 5 == 0 for low in [t.lower()] for v, x in lower if x in low), key=repr)
+    assert rows(got, "i", "ioc") == want and len(want) > 400
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Generate") == 1
+
+
 def test_path_prefixes_of_many_lengths(spark, monkeypatch):
     paths = ["/" + "a" * i for i in range(1, 30)] + ["/b", "", None]
     iocs = spark.createDataFrame([("file_path", "/" + "a" * i + "/" * (i % 2)) for i in range(1, 25)] + [("file_path", ""), ("file_path", "/")], "kind string, value string")
