@@ -28,7 +28,7 @@ TOP = 2000
 VOCABULARY = 4_000_000
 #: Phrases of one trie.
 TRIE_PHRASES = 500_000
-#: Slots of the filter: a power of two of at least half of all words, between these.
+#: Slots of the filter: a power of two of at least an eighth of all words, between these.
 SLOTS = (1 << 16, 1 << 30)
 #: Slots that a task counts at once.
 COUNTED = 1 << 26
@@ -36,9 +36,11 @@ COUNTED = 1 << 26
 RUN = 1 << 16
 #: Bytes of text that are hashed at once, and ids of a stored row.
 PART = 1 << 18
-ROW_IDS = 8192
+ROW_IDS = 512
 #: Distinct words that a task counts before it hands them on.
 HELD_WORDS = 300_000
+#: Phrases that a task collects before it hands them on.
+HELD_PHRASES = 1_000_000
 #: Phrases that one task should rank.
 RANKED = 50_000
 
@@ -280,7 +282,6 @@ def _filter(streams: DataFrame, n: int, filters: list, slots: int, least: int) -
         width = min(step, RUN) // 8
         for r, c in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
             bits[low // 8 + r * width : low // 8 + (r + 1) * width] = np.frombuffer(c, np.uint8)
-    spark.sparkContext  # noqa: B018  the session stays referenced by the plan above
     return bits
 
 
@@ -288,24 +289,46 @@ _IDS = [f"w{j + 1}" for j in range(LONGEST)]
 _IDS_SCHEMA = ", ".join(f"{c} int" for c in _IDS)
 
 
+def _phrase_batch(rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], _IDS)
+
+
 def candidates(streams: DataFrame, words: int, least: int = LEAST) -> DataFrame:
     """Phrases of 2 to 4 ids (0 for none) that pass the filters: a superset of the frequent ones."""
     spark = streams.sparkSession
-    slots = min(SLOTS[1], max(SLOTS[0], 1 << (max(words // 2, 1) - 1).bit_length()))
+    slots = min(SLOTS[1], max(SLOTS[0], 1 << (max(words // 8, 1) - 1).bit_length()))
     filters: list = []
     for n in range(2, LONGEST + 1):
         filters.append(spark.sparkContext.broadcast(_filter(streams, n, filters, slots, least)))
 
     def propose(batches):
+        held, size = [], 0  # hashes and ids of phrases, each once in a batch
+
+        def once():
+            h = np.concatenate([x for x, _ in held])
+            _, first = np.unique(h, return_index=True)
+            return h[first], np.concatenate([x for _, x in held])[first]
+
         for b in batches:
             ids = b.column(0).flatten().to_numpy()
             for n in range(2, LONGEST + 1):
                 at = _may_be(ids, _eligible(ids, n, filters, slots), n, filters[n - 2].value, slots)
                 if not len(at):
                     break
-                _, first = np.unique(_slots(ids, at, n, slots)[0], return_index=True)
-                at = at[first]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at + j] if j < n else np.zeros(len(at), np.int32), pa.int32()) for j in range(LONGEST)], _IDS)
+                h, first = np.unique(_slots(ids, at, n, slots)[0], return_index=True)
+                rows = np.zeros((len(first), LONGEST), np.int32)
+                for j in range(n):
+                    rows[:, j] = ids[at[first] + j]
+                held.append((h, rows))
+                size += len(h)
+            if size > HELD_PHRASES:
+                held = [once()]
+                size = len(held[0][0])
+                if 2 * size > HELD_PHRASES:
+                    yield _phrase_batch(held[0][1])
+                    held, size = [], 0
+        if held:
+            yield _phrase_batch(once()[1])
 
     found = cut(streams.mapInArrow(propose, _IDS_SCHEMA).distinct())
     for f in filters:
