@@ -325,12 +325,30 @@ def candidates(streams: DataFrame, words: int, least: int = LEAST) -> DataFrame:
                 held = [once()]
                 size = len(held[0][0])
                 if 2 * size > HELD_PHRASES:
-                    yield _phrase_batch(held[0][1])
+                    yield packed(*held[0])
                     held, size = [], 0
         if held:
-            yield _phrase_batch(once()[1])
+            yield packed(*once())
 
-    found = cut(streams.mapInArrow(propose, _IDS_SCHEMA).distinct())
+    def packed(h, rows):
+        """A row for each run of hashes, so that a phrase of many tasks is not many rows."""
+        run = (h >> np.uint64(56)).astype(np.int64)  # h is sorted
+        edges = np.searchsorted(run, np.arange(257))
+        some = np.flatnonzero(np.diff(edges))
+        return pa.RecordBatch.from_arrays([pa.array(some), pa.array([rows[edges[r] : edges[r + 1]].tobytes() for r in some], pa.binary())], ["run", "phrases"])
+
+    def unpacked(batches):
+        held = np.empty((0, 2), np.int64)
+        for b in batches:
+            rows = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64).reshape(-1, 2)
+            held = np.concatenate((held, rows))
+            held = held[np.lexsort(held.T)]
+            held = held[np.append(True, (np.diff(held, axis=0) != 0).any(axis=1))] if len(held) else held
+        rows = held.view(np.int32)
+        for i in range(0, len(rows), 100_000):
+            yield _phrase_batch(rows[i : i + 100_000])
+
+    found = cut(streams.mapInArrow(propose, "run long, phrases binary").repartition("run").mapInArrow(unpacked, _IDS_SCHEMA))
     for f in filters:
         f.unpersist()
     return found
