@@ -1,16 +1,18 @@
 """Recursive JSON rewriting on Arrow batches: the one helper that is not built in.
 
-Built-in functions cannot walk JSON of unknown depth, so these functions read a text
-column batch by batch. Text that is no JSON gives null.
+Built-in functions cannot rewrite JSON of unknown depth, so these functions read a text
+column batch by batch. Text that is no JSON, or is nested deeper than the parser's own
+limit of some thousand levels, gives null; ``leaves.unparsed`` gives records of both kinds.
 """
 
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _UNSAFE = str.maketrans({".": "_", " ": "_", "/": "_"})
@@ -27,25 +29,17 @@ def sanitize(x, keys: bool = True, lists: bool = True, scalars: bool = True):
     return x if isinstance(x, str) or not scalars else str(x)
 
 
-def leaves(x, path: str = ""):
-    """(path, value text, kind) of every leaf; lists count as index-keyed objects."""
-    if isinstance(x, dict):
-        for k, v in x.items():
-            yield from leaves(v, f"{path}.{k}" if path else str(k))
-    elif isinstance(x, list):
-        for i, v in enumerate(x):
-            yield from leaves(v, f"{path}.{i}" if path else str(i))
-    else:
-        kind = "string" if isinstance(x, str) else "null" if x is None else "boolean" if isinstance(x, bool) else "number"
-        yield path, x if isinstance(x, str) else None if x is None else json.dumps(x), kind
-
-
 def _dumps(x) -> str:
     return json.dumps(x, ensure_ascii=False, separators=(",", ":"))
 
 
+#: Levels that the rewriting functions may descend; the parser stops before.
+DEEPEST = 50_000
+
+
 def _rewrite(f: Callable):
     def run(s: pd.Series) -> pd.Series:
+        sys.setrecursionlimit(max(DEEPEST, sys.getrecursionlimit()))
         out = []
         for text in s:
             try:
@@ -107,41 +101,6 @@ def set_path(data: Column | str, path: str, value: Column) -> Column:
     return F.pandas_udf(run, "string")(data, value)
 
 
-def leaf_array(data: Column | str) -> Column:
-    """All leaves of a record as an array of (path, value, kind).
-
-    Null, text that is no JSON, and JSON nested too deeply for the parser have none.
-    """
-
-    def run(s: pd.Series) -> pd.Series:
-        out = []
-        for text in s:
-            try:
-                out.append([] if text is None else [{"path": p, "value": v, "kind": k} for p, v, k in leaves(json.loads(text))])
-            except (ValueError, RecursionError):
-                out.append([])
-        return pd.Series(out, dtype=object)
-
-    return F.pandas_udf(run, "array<struct<path:string,value:string,kind:string>>")(data)
-
-
-def flatten_leaves(df: DataFrame, data: str = "data") -> DataFrame:
-    """One row per leaf: the columns of ``df`` without ``data``, then path, value, kind."""
-    keep = [c for c in df.columns if c != data]
-    return df.select(*keep, F.explode(leaf_array(F.col(data))).alias("_l")).select(*keep, "_l.*")
-
-
-def with_catch_all(df: DataFrame, data: str = "data") -> DataFrame:
-    """``df`` with ``catch_all``: the lower-cased leaf values, whole."""
-    return df.withColumn("catch_all", F.transform(F.filter(leaf_array(F.col(data)), lambda x: x["value"].isNotNull()), lambda x: F.lower(x["value"])))
-
-
-def field_catalog(df: DataFrame, data: str = "data") -> DataFrame:
-    """Distinct (path, kind) with counts, and whether a keyword view exists."""
-    flat = flatten_leaves(df.select(data), data)
-    return flat.groupBy("path", "kind").agg(F.count("*").alias("n")).withColumn("has_keyword", F.col("kind") == "string")
-
-
 def normalize_event(x: dict) -> dict:
     """An event-log record in the shape that rules and search expect."""
     event = dict(x.get("Event") or {})

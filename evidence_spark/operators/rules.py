@@ -15,8 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidence_spark.functions.records import get_path, variant
+from evidence_spark.operators.rule_index import found_rules
 
 _META = re.compile(r"[*?\[]")
+#: Channels of rules up to which a record's channel is tested before its text is parsed.
+CHANNELS = 16
 #: Parts of each time bucket in correlations.
 SALT = 8
 
@@ -240,22 +243,39 @@ def _named(rules: Sequence[Rule]) -> dict[str, Rule]:
     return {r.name: r for r in rules}
 
 
+_DETAIL = ("rule_name", "score", "description", "reference", "matched", "returned")
+
+
+def _detail(number: int, rule: Rule, variables: Mapping) -> Column:
+    return F.struct(
+        F.lit(number).alias("number"), F.lit(rule.name).alias("rule_name"), F.lit(rule.score).alias("score"), F.lit(rule.description).alias("description"), F.lit(rule.reference).alias("reference"),
+        matched_strings(rule, variables).alias("matched"), with_returns(rule).alias("returned"),
+    )
+
+
+def _parsed(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """``df`` with ``v``; where no rule's channel fits a record, it is not parsed."""
+    if "v" in df.columns:
+        return df
+    channels = {r.channel for r in rules}
+    if "*" in channels or len(channels) > CHANNELS or "data_type" not in df.columns:
+        return df.withColumn("v", variant("data"))
+    return df.withColumn("v", F.when(_any([channel_clause(Rule("", channel=c)) for c in sorted(channels)]), variant("data")))
+
+
 def matches(df: DataFrame, rules: Sequence[Rule], variables: Mapping = {}, lookup: str = "path", public_only: bool = True) -> DataFrame:
-    """``df`` with ``matches``: an array of details of its matching rules, in file order."""
+    """``df`` with ``matches``: an array of details of its matching rules, in file order.
+
+    An index over the rules finds those that may fire; only these are evaluated.
+    """
     by_name = _named(rules)
     chosen = [r for r in rules if r.within is None and (r.public or not public_only)]
-    detail = [
-        F.when(
-            rule_condition(r, by_name, variables, lookup),
-            F.struct(
-                F.lit(r.name).alias("rule_name"), F.lit(r.score).alias("score"), F.lit(r.description).alias("description"), F.lit(r.reference).alias("reference"),
-                matched_strings(r, variables).alias("matched"), with_returns(r).alias("returned"),
-            ),
-        )
-        for r in chosen
-    ]
-    parsed = df if "v" in df.columns else df.withColumn("v", variant("data"))
-    return parsed.withColumn("matches", F.array_compact(F.array(*detail)))
+    if not chosen:
+        return _parsed(df, rules).withColumn("matches", F.array().cast("array<struct<rule_name:string,score:int,description:string,reference:string,matched:array<string>,returned:string>>"))
+    found = found_rules(_parsed(df, chosen), chosen, by_name, lambda i: F.when(rule_condition(chosen[i], by_name, variables, lookup), _detail(i, chosen[i], variables)))
+    every = F.array_compact(F.flatten("_found"))
+    ordered = F.transform(F.array_sort(every), lambda m: F.struct(*[m[n].alias(n) for n in _DETAIL]))
+    return found.withColumn("matches", ordered).drop("_found")
 
 
 def scan(df: DataFrame, rules: Sequence[Rule], variables: Mapping = {}, lookup: str = "path") -> DataFrame:

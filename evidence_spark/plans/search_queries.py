@@ -36,7 +36,7 @@ def _(s, d):
 
 @query("q3_catch_all", "SELECT data_type, count(*) AS n FROM {REC} WHERE CAST(k AS VARCHAR) = '12' OR CAST(user_id AS VARCHAR) = '12' GROUP BY 1")
 def _(s, d):
-    from evidence_spark.functions.jsonfix import with_catch_all
+    from evidence_spark.functions.leaves import with_catch_all
 
     return S.search(with_catch_all(rec(s, d)), S.any_field("12")).groupBy("data_type").agg(F.count("*").alias("n"))
 
@@ -247,7 +247,7 @@ def _(s, d):
 
 @query("n10_flatten_leaves", "SELECT path, count(*) AS n, count(DISTINCT value) AS values FROM (SELECT '@timestamp' AS path, t AS value FROM {REC} UNION ALL SELECT 'props.k', CAST(k AS VARCHAR) FROM {REC} UNION ALL SELECT 'value', CAST(value AS VARCHAR) FROM {REC} UNION ALL SELECT 'user_id', CAST(user_id AS VARCHAR) FROM {REC} UNION ALL SELECT 'event_type', data_type FROM {REC}) GROUP BY 1")
 def _(s, d):
-    from evidence_spark.functions.jsonfix import flatten_leaves
+    from evidence_spark.functions.leaves import flatten_leaves
 
     return flatten_leaves(rec(s, d).select("record_id", "data")).groupBy("path").agg(F.count("*").alias("n"), F.count_distinct("value").alias("values"))
 

@@ -1,6 +1,7 @@
 """Order-dependent operators, edge cases of search, JSON, timelines, status and sinks."""
 
 import json
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from evidence_spark.functions import convert as C
-from evidence_spark.functions import jsonfix
+from evidence_spark.functions import jsonfix, leaves
 from evidence_spark.functions import records as R
 from evidence_spark.operators import heuristics as H
 from evidence_spark.operators import ioc as I
@@ -128,8 +129,51 @@ def test_json_of_odd_shapes(spark):
     deep = "[" * 100_000 + "]" * 100_000
     df = spark.createDataFrame([(1, "[1]"), (2, "5"), (3, deep), (4, "{bad"), (5, None), (6, '{"a": 3}'), (7, '"text"')], "i int, data string")
     assert rows(df.select("i", jsonfix.set_path("data", "a.b", F.lit("x")).alias("o"))) == [(1, None), (2, None), (3, None), (4, None), (5, '{"a":{"b":"x"}}'), (6, '{"a":{"b":"x"}}'), (7, None)]
-    assert rows(jsonfix.flatten_leaves(df), "i", "path", "value") == [(1, "0", "1"), (2, "", "5"), (6, "a", "3"), (7, "", "text")]
-    assert jsonfix.with_catch_all(df).count() == 7 and jsonfix.field_catalog(df).count() == 4
+    some = df.where("i <> 3")
+    assert rows(leaves.flatten_leaves(some), "i", "path", "value") == [(1, "0", "1"), (2, "", "5"), (6, "a", "3"), (7, "", "text")]
+    assert leaves.with_catch_all(df).count() == 7 and leaves.field_catalog(some).count() == 4
+    assert [r[0] for r in rows(leaves.unparsed(df), "i")] == [3, 4]
+
+
+def plain_leaves(x, path=""):
+    if isinstance(x, dict | list):
+        for k, v in x.items() if isinstance(x, dict) else enumerate(x):
+            yield from plain_leaves(v, f"{path}.{k}" if path else str(k))
+    else:
+        kind = "string" if isinstance(x, str) else "null" if x is None else "boolean" if isinstance(x, bool) else "number"
+        yield path, x if isinstance(x, str) else None if x is None else json.dumps(x), kind
+
+
+def test_leaves_equal_a_plain_walk(spark):
+    rng = random.Random(3)
+    words = ["", "a", "A b", 'q"uo\\te', "\\", '"', "é😀", "\n\t", "[x]", "{}:", '":', "null", "1.0", "\u0007"]
+    numbers = [0, 1, -7, 10**17, 12345678901234567890, 1.0, 0.1, -2.5, 1e5, 1.5e-7, 0.00015, 1e7, 12345678.9, 1e16, 2.5e20, 1e-10, 100.0, -3e-5]
+
+    def make(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice([None, True, False, rng.choice(words), rng.choice(numbers)])
+        if rng.random() < 0.5:
+            return [make(depth - 1) for _ in range(rng.randint(0, 3))]
+        return {rng.choice(words): make(depth - 1) for _ in range(rng.randint(0, 4))}
+
+    made = [make(rng.randint(0, 11)) for _ in range(300)] + words + numbers
+    data = [(i, json.dumps(x, ensure_ascii=bool(i % 2), separators=(",", ":") if i % 3 else (", ", ": "))) for i, x in enumerate(made)]
+    df = spark.createDataFrame(data, "i int, data string").withColumns({"path": F.lit("p0"), "pos": F.lit(1), "key": F.lit(2)})
+    got = leaves.flatten_leaves(df.drop("path"))
+    assert rows(got, "i", "path", "value", "kind") == sorted(((i, *leaf) for i, x in enumerate(made) for leaf in plain_leaves(x)), key=repr)
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString() and "Arrow" not in got._jdf.queryExecution().executedPlan().toString()
+    for r in leaves.with_catch_all(df).select("i", "catch_all").collect():
+        assert sorted(r["catch_all"]) == sorted(v.lower() for _, v, _ in plain_leaves(made[r["i"]]) if v is not None)
+
+
+def test_leaves_of_any_depth(spark):
+    deep = json.loads("[" * 40 + "1" + "]" * 40)
+    df = spark.createDataFrame([(1, json.dumps(deep)), (2, '{"a":{"b":[{"c":"x"}]}}'), (3, '"{[[["'), (4, "[[],{}]")], "i int, data string")
+    assert [r[0] for r in rows(df.select("i", leaves.json_depth("data").alias("n")), "n")] == [0, 2, 4, 40]
+    assert rows(leaves.flatten_leaves(df), "i", "path", "value") == [(1, ".".join("0" * 40), "1"), (2, "a.b.0.c", "x"), (3, "", "{[[[")]
+    levels = "[" * 3000 + '{"a b":1}' + "]" * 3000
+    one = spark.createDataFrame([(levels,)], "data string")
+    assert one.select(jsonfix.sanitize_keys("data")).first()[0] == levels.replace("a b", "a_b")
 
 
 def test_truncated_process_name(spark):
@@ -173,8 +217,8 @@ def test_json_rewrites(spark):
     df = spark.createDataFrame([(text,), ("no json",), (None,)], "data string")
     got = [r[0] for r in df.select(jsonfix.normalize_json("data")).collect()]
     assert json.loads(got[0]) == {"a_b": "2", "l": {"0": "True", "1": {"x_y": "None"}}, "s": "t"} and got[1:] == [None, None]
-    leaves = rows(jsonfix.flatten_leaves(df), "path", "value", "kind")
-    assert ("l.0", "true", "boolean") in leaves and ("l.1.x/y", None, "null") in leaves
+    found = rows(leaves.flatten_leaves(df), "path", "value", "kind")
+    assert ("l.0", "true", "boolean") in found and ("l.1.x/y", None, "null") in found
     one = df.limit(1).select(jsonfix.set_path(F.col("data"), "s.t.u", F.lit("v"))).first()[0]
     assert json.loads(one)["s"] == {"t": {"u": "v"}}
 

@@ -209,3 +209,54 @@ def test_load_rules():
     for bad in (TEXT + TEXT, "public A-b\n{\n  metadata:\n    description: d\n}\n", "public A\n{\n  include:\n    x: 1\n}\n"):
         with pytest.raises(ValueError):
             D.load_rules(bad)
+
+
+def test_literals_of_globs():
+    from evidence_spark.operators.rule_index import anchor, literal
+
+    assert [literal(p) for p in ("*Abc*de?", "a[bc]defg*", "[!x]yz", "*", "a[b", "[]x]abc", "plain")] == ["abc", "defg", "yz", "", "a", "abc", "plain"]
+    called = D.Rule("P", False, include={"id": 4624})
+    assert anchor(D.Rule("r", include={"a": ["x*", "y"], "b": ["One", "two"]}), {}) == ("whole", "b", {"one", "two"})
+    assert anchor(D.Rule("r", include={"a": "*"}, calls=["P"]), {"P": called}) == ("number", "id", {4624})
+    assert anchor(D.Rule("r", channel="Sec", include={"a": "$WHO"}), {}) == ("channel", "", {"sec"})
+    assert anchor(D.Rule("r", include={"a": ["abc", 7]}), {}) is None
+    assert anchor(D.Rule("r", include={"a": ["*abcd*", "xyz"]}), {}) == ("part", "a", {"abcd", "xyz"})
+
+
+def test_index_finds_what_all_rules_find(spark):
+    """Hundreds of rules of every kind: the index gives what each rule gives by itself."""
+    import random
+
+    rng = random.Random(4)
+    words = [f"{a}{b}{c}" for a in ("net", "Power", "cmd", "Äx") for b in ("shell", "user", "[x]", ".exe") for c in range(6)]
+    shapes = [lambda w: w, lambda w: f"*{w}*", lambda w: f"{w[:4]}*", lambda w: f"*{w[3:]}", lambda w: f"{w[:2]}?{w[3:]}*", lambda w: "*", lambda w: f"*{w[:1]}*", lambda w: "$b", lambda w: "$WHO", lambda w: "", lambda w: True]
+    rules = []
+    for i in range(320):
+        keys = rng.sample(["a", "b", "n.id"], rng.randint(0, 2)) or ["a"]
+        include = {}
+        for k in keys:
+            some = [rng.choice(shapes)(rng.choice(words)) if k != "n.id" else rng.choice([rng.randint(0, 9), "7", "*"]) for _ in range(rng.randint(1, 3))]
+            include[k] = some if len(some) > 1 or rng.random() < 0.5 else some[0]
+        extra = {"exclude": {"b": f"*{rng.choice(words)}*"}} if rng.random() < 0.3 else {}
+        rules.append(D.Rule(f"R{i}", rng.random() < 0.8, rng.choice(["*", "events", "Ev*", "none"]), include, **extra, modifiers=["a > 2"] if rng.random() < 0.2 else []))
+    rules += [D.Rule(f"C{i}", calls=[f"R{i}"], include={"a": "*"}) for i in range(0, 40, 7)]
+    data = [{"a": rng.choice(words) + rng.choice(["", "tail"]), "b": rng.choice([*words, "", None]), "n": {"id": rng.choice([7, "07", "7", 3, None])}, "flag": True} for _ in range(60)] + [{}, {"a": "true", "b": 5}]
+    known = {"WHO": [words[0], words[5]]}
+    df = records(spark, *data)
+    got = {r["record_id"]: [m["rule_name"] for m in r["matches"]] for r in D.matches(df, rules, known, public_only=False).select("record_id", "matches").collect()}
+    by_name = {r.name: r for r in rules}
+    want = {str(i): [] for i in range(len(data))}
+    for start in range(0, len(rules), 40):
+        some = rules[start : start + 40]
+        flags = df.select("record_id", *[D.rule_condition(r, by_name, known).alias(r.name) for r in some]).collect()
+        for row in flags:
+            want[row["record_id"]] += [r.name for r in some if row[r.name]]
+    assert got == want and sum(map(len, want.values())) > 500
+
+
+def test_records_of_other_channels_are_not_parsed(spark):
+    df = spark.createDataFrame([("0", "c", "M", "Events", '{"a": "x"}'), ("1", "c", "M", "Other", "{not json")], "record_id string, case_id string, machine string, data_type string, data string")
+    rules = [D.Rule("A", channel="ev*", include={"a": "x"}), D.Rule("B", channel="events", include={"a": "*"})]
+    out = D.matches(df, rules)
+    assert {r["record_id"]: (r["v"] is None, len(r["matches"])) for r in out.selectExpr("record_id", "to_json(v) as v", "matches").collect()} == {"0": (False, 2), "1": (True, 0)}
+    assert rows(D.annotate(df, rules).select("record_id", "rule_match.rule_name")) == [("0", "B"), ("1", None)]
