@@ -156,13 +156,13 @@ def hex_to_ipv4(col: Column | str) -> Column:
 
 
 def ipv6_to_mac(col: Column | str) -> Column:
-    """Hardware address in an EUI-64 interface id given as 32 hex digits."""
+    """Hardware address, in upper case, in an EUI-64 interface id given as 32 hex digits."""
     h = F.lower(_col(col))
     first = F.lpad(F.lower(F.conv(F.conv(F.substring(h, 17, 2), 16, 10).cast("long").bitwiseXOR(F.lit(2)).cast("string"), 10, 16)), 2, "0")
     parts = [first, *[F.substring(h, k, 2) for k in (19, 21, 27, 29, 31)]]
     return (
-        F.when(h == "0" * 31 + "1", F.lit("::1 (loopback)"))
-        .when((h.startswith("fe80") | h.startswith("2001")) & (F.length(h) == 32), F.concat_ws(":", *parts))
+        F.when(h == "0" * 31 + "1", F.lit("Local Host ::1"))
+        .when((h.startswith("fe80") | h.startswith("2001")) & (F.length(h) == 32), F.upper(F.concat_ws(":", *parts)))
         .otherwise(F.lit("Unable to convert data"))
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,16 +30,26 @@ def manipulated_processes(usage: DataFrame, procs: DataFrame, key: str, keys: Se
     return alone.groupBy(*keys, key).agg(F.min("ts").alias("first_ts"), F.count("*").alias("n")).withColumn("label", F.concat(F.lit("deleted process "), F.col(key).cast("string")))
 
 
-def missing_ids(df: DataFrame, keys: Sequence[str], id_col: str, most: int = 1_000_000) -> DataFrame:
-    """Ids absent between neighbours, with the id before the gap (H3).
+#: Ids of which one task finds the gaps, and of which one array is made.
+ID_BLOCK, ID_ARRAY = 1_000_000, 10_000
 
-    Gaps wider than ``most`` give their first and last id only; ``gap`` has the true width.
+
+def missing_ids(df: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
+    """Ids absent between neighbours, with the id before the gap (H3); rows without an id are left out.
+
+    Gaps are found in blocks of ids; what follows a block is carried over from a row per
+    block. However wide a gap is, all its ids are given, from arrays of bounded size.
     """
-    nxt = F.lead(id_col).over(W.partitionBy(*keys).orderBy(id_col))
-    width = F.col("_next") - F.col(id_col) - 1
-    ids = F.when(width <= most, F.sequence(F.col(id_col) + 1, F.col("_next") - 1)).otherwise(F.array(F.col(id_col) + 1, F.col("_next") - 1))
-    gaps = df.select(*keys, id_col).distinct().withColumn("_next", nxt).where(F.col("_next") > F.col(id_col) + 1)
-    return gaps.select(*keys, F.explode(ids).alias("missing_id"), F.col(id_col).alias("previous_id"), width.alias("gap"))
+    k = list(keys)
+    ids = df.where(F.col(id_col).isNotNull()).select(*k, id_col).distinct().withColumn("_blk", F.floor(F.col(id_col) / ID_BLOCK))
+    blocks = ids.groupBy(*k, "_blk").agg(F.min(id_col).alias("_low")).withColumn("_far", F.lead("_low").over(W.partitionBy(*k).orderBy("_blk")))
+    near = ids.withColumn("_near", F.lead(id_col).over(W.partitionBy(*k, "_blk").orderBy(id_col)))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*k, "_blk"]]
+    both = near.alias("a").join(blocks.alias("b"), reduce(Column.__and__, same)).select("a.*", F.coalesce("_near", "_far").alias("_next"))
+    gaps = both.where(F.col("_next") > F.col(id_col) + 1)
+    start = F.explode(F.sequence(F.col(id_col) + 1, F.col("_next") - 1, F.lit(ID_ARRAY).cast("long")))
+    runs = gaps.select(*k, F.col(id_col).alias("previous_id"), (F.col("_next") - F.col(id_col) - 1).alias("gap"), "_next", start.alias("_s"))
+    return runs.select(*k, F.explode(F.sequence("_s", F.least(F.col("_s") + ID_ARRAY - 1, F.col("_next") - 1))).alias("missing_id"), "previous_id", "gap")
 
 
 def suid_files(files: DataFrame, mode: str = "mode") -> DataFrame:
@@ -50,9 +61,11 @@ def suid_files(files: DataFrame, mode: str = "mode") -> DataFrame:
 def with_occurrences(df: DataFrame, key: str, text: str | None = None) -> DataFrame:
     """Each row with the number of rows of its key, and a flag for double nul characters (H5).
 
-    Counted by aggregation and joined back, so that a frequent key needs no one task.
+    Counted by aggregation and joined back, so that a frequent key needs no one task. Rows
+    without a key count as one key.
     """
-    out = df.join(df.groupBy(key).agg(F.count("*").alias("occurrences")), key)
+    counts = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("occurrences"))
+    out = df.join(counts, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
     return out if text is None else out.withColumn("nul_pattern", F.contains(F.col(text), F.lit("\x00\x00")))
 
 

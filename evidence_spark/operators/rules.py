@@ -15,13 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidence_spark.functions.records import get_path, variant
+from evidence_spark.functions.storage import cut
 from evidence_spark.operators.rule_index import found_rules
 
 _META = re.compile(r"[*?\[]")
 #: Channels of rules up to which a record's channel is tested before its text is parsed.
 CHANNELS = 16
-#: Parts of each time bucket in correlations.
-SALT = 8
+#: Windows of a time bucket in correlations, pairs of a bucket that one task may join, and parts of a hot one.
+WIDE, PAIRS, PARTS = 4, 4_000_000, 1024
 
 
 @dataclass
@@ -193,11 +194,27 @@ def record_search(op: str, pattern: str, data: str = "data", variables: Mapping
     return glob_match(F.col(data), pattern)
 
 
+def parse_modifier(text: str) -> tuple[str, str, str]:
+    """(field, operation, value): ``search`` in any case, any white space between the parts.
+
+    The value of a search has single spaces; that of ``field $rex value`` is as it is.
+    """
+    parts = text.split()
+    if text.lower().startswith("search "):
+        return "search", parts[1], " ".join(parts[2:])
+    if " $rex " in text:
+        left, right = text.split(" $rex ")[:2]
+        return left, "$rex", right
+    if len(parts) != 3:
+        raise ValueError(f"modifier {text!r}")
+    return parts[0], parts[1], parts[2]
+
+
 def modifier_clause(rule: Rule, lookup: str = "path", variables: Mapping = {}) -> Column:
     """All modifiers. ``lookup='flat'`` takes a dotted path as one key of the record."""
     parts = []
     for text in rule.modifiers:
-        left, op, right = text.split(" ", 2)
+        left, op, right = parse_modifier(text)
         if left == "search":
             parts.append(record_search(op, right, variables=variables))
             continue
@@ -293,33 +310,53 @@ def annotate(df: DataFrame, rules: Sequence[Rule], variables: Mapping = {}, look
 def correlate(df: DataFrame, rule: Rule, ruleset: Mapping[str, Rule], within_ms: int | None = None, keys: Sequence[str] = (), variables: Mapping = {}) -> DataFrame:
     """Combinations of one record per private rule less than ``within_ms`` apart.
 
-    Each private rule's records are found first, all in one pass over the records; then time
-    buckets of the window's length and their neighbours make the range join an equi-join.
-    The later side is dealt to SALT parts of each bucket and the other side meets every
-    part, so that a burst is joined by many tasks. Columns: the keys, rule_name, score, ts
-    (earliest), record_ids. Records with the unknown time take no part.
+    Each private rule's records are found first, all in one pass over the records, and
+    written; then time buckets of WIDE windows make the range join an equi-join, in which
+    few records are near a border and need a copy. Buckets are counted before, and only
+    those with more than PAIRS pairs are dealt to parts, so that a burst is joined by many
+    tasks. Columns: the keys, rule_name, score, description, reference, ts (earliest),
+    record_ids and returned (what each private rule returns, by its name). Records with the
+    unknown time, or without a key, take no part.
     """
     within = within_ms if within_ms is not None else rule.within
-    parsed = df if "v" in df.columns else df.withColumn("v", variant("data"))
-    ts = F.try_to_timestamp(get_path("v", "@timestamp"))
-    base = parsed.withColumn("_ms", F.unix_millis(ts)).where(ts >= F.lit("1701-01-01").cast("timestamp"))
-
     names = rule.calls
-    # which of the private rules match a record is found once
-    hits = F.array_compact(F.array(*[F.when(rule_condition(ruleset[n], ruleset, variables), F.lit(k)) for k, n in enumerate(names)]))
-    base = base.select(*keys, "_ms", "record_id", hits.alias("_hits")).where(F.size("_hits") > 0)
+    private = [ruleset[n] for n in names]
+    parsed = _parsed(df, private)
+    ts = F.try_to_timestamp(get_path("v", "@timestamp"))
+    hits = F.array_compact(F.array(*[F.when(rule_condition(r, ruleset, variables), F.struct(F.lit(k).alias("k"), with_returns(r).alias("returned"))) for k, r in enumerate(private)]))
+    base = parsed.withColumns({"_ms": F.unix_millis(ts), "_hits": hits}).where((F.size("_hits") > 0) & (ts >= F.lit("1701-01-01").cast("timestamp")))
+    base = cut(base.select(*keys, "_ms", "record_id", "_hits"))
 
     def events(k: int) -> DataFrame:
-        return base.where(F.array_contains("_hits", k)).select(*keys, F.col("_ms").alias(f"ms{k}"), F.col("record_id").alias(f"id{k}"), F.floor(F.col("_ms") / within).alias("_b"))
+        own = base.select(*keys, "_ms", "record_id", F.filter("_hits", lambda h: h["k"] == k).alias("_own")).where(F.size("_own") > 0)
+        return own.select(*keys, F.col("_ms").alias("ms"), F.col("record_id").alias("id"), F.col("_own")[0]["returned"].alias("returned"))
 
-    out = events(0).withColumnsRenamed({"ms0": "lo", "id0": "first"})
-    out = out.select(*keys, "lo", F.col("lo").alias("hi"), F.array("first").alias("record_ids"))
-    parts = F.array(*[F.lit(i) for i in range(SALT)])
+    out = events(0).select(*keys, F.col("ms").alias("lo"), F.col("ms").alias("hi"), F.array("id").alias("record_ids"), F.array("returned").alias("returned"))
     for k in range(1, len(names)):
-        near = out.withColumn("_b", F.explode(F.array(*[F.floor(F.col("lo") / within) + d for d in (-1, 0, 1)]))).withColumn("_s", F.explode(parts))
-        out = near.join(events(k).withColumn("_s", F.pmod(F.xxhash64(f"id{k}"), F.lit(SALT)).cast("int")), [*keys, "_b", "_s"])
-        out = out.select(*keys, F.least("lo", f"ms{k}").alias("lo"), F.greatest("hi", f"ms{k}").alias("hi"), F.concat("record_ids", F.array(f"id{k}")).alias("record_ids")).where(F.col("hi") - F.col("lo") < within)
-    return out.select(*keys, F.lit(rule.name).alias("rule_name"), F.lit(rule.score).alias("score"), F.timestamp_millis("lo").alias("ts"), "record_ids")
+        out = _near(out if k == 1 else cut(out), events(k), list(keys), within)
+    content = {"rule_name": rule.name, "score": rule.score, "description": rule.description, "reference": rule.reference}
+    returned = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.col("returned"))
+    return out.select(*keys, *[F.lit(v).alias(c) for c, v in content.items()], F.timestamp_millis("lo").alias("ts"), "record_ids", returned.alias("returned"))
+
+
+def _near(out: DataFrame, events: DataFrame, keys: list[str], within: int) -> DataFrame:
+    """Sets of records (lo, hi, record_ids, returned) with each event that keeps them within the window."""
+    width = max(1, WIDE * within)
+    on = [*keys, "_b"]
+    span = F.sequence(F.floor((F.col("hi") - within + 1) / width), F.floor((F.col("lo") + within - 1) / width))
+    left = out.where(F.col("hi") - F.col("lo") < within).withColumn("_b", F.explode(span))
+    right = events.withColumn("_b", F.floor(F.col("ms") / width))
+    pairs = left.groupBy(*on).agg(F.count("*").alias("l")).join(right.groupBy(*on).agg(F.count("*").alias("r")), on).where(F.col("l") * F.col("r") > PAIRS)
+    parts = F.least(F.lit(PARTS), F.ceil(F.col("l") * F.col("r") / PAIRS))
+    hot = pairs.withColumn("_pr", F.least(parts, F.ceil(F.sqrt(parts * F.col("r") / F.col("l"))))).select(*on, F.ceil(parts / F.col("_pr")).alias("_pl"), "_pr")
+    hot = cut(hot)
+    if not hot.isEmpty():  # each pair of a hot bucket meets in one of its parts
+        grid = lambda df: df.join(hot, on, "left").withColumns({"_pl": F.coalesce("_pl", F.lit(1)), "_pr": F.coalesce("_pr", F.lit(1))})
+        left = grid(left).withColumns({"_x": F.pmod(F.xxhash64("record_ids"), F.col("_pl")), "_y": F.explode(F.sequence(F.lit(0), F.col("_pr") - 1))}).drop("_pl", "_pr")
+        right = grid(right).withColumns({"_y": F.pmod(F.xxhash64("id"), F.col("_pr")), "_x": F.explode(F.sequence(F.lit(0), F.col("_pl") - 1))}).drop("_pl", "_pr")
+        on = [*on, "_x", "_y"]
+    met = left.join(right.withColumnRenamed("returned", "_returned"), on).where(F.greatest("hi", "ms") - F.least("lo", "ms") < within)
+    return met.select(*keys, F.least("lo", "ms").alias("lo"), F.greatest("hi", "ms").alias("hi"), F.concat("record_ids", F.array("id")).alias("record_ids"), F.concat("returned", F.array("_returned")).alias("returned"))
 
 
 def alert_summary(alerts: DataFrame) -> DataFrame:

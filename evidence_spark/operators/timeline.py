@@ -160,17 +160,3 @@ def label_value(col: Column, rules: Sequence[Mapping[str, str]], auto: str | Non
         hit = col == r["equal"] if "equal" in r else col.startswith(r["startswith"])
         out = F.when(F.coalesce(hit, F.lit(False)), F.lit(r["label"])).otherwise(out)
     return out
-
-
-def load_views(*texts: str) -> list[dict]:
-    """Views of YAML text (U3): lists of name, condition, sheet and fields."""
-    import yaml
-
-    views = []
-    for t in texts:
-        got = yaml.safe_load(t) or []
-        for v in got if isinstance(got, list) else [got]:
-            if not {"name", "condition", "fields"} <= set(v):
-                raise ValueError("a view has name, condition and fields")
-            views.append(v)
-    return views

@@ -102,7 +102,7 @@ def _(s, d):
     return events(s, d).select("event_id", C.hex_to_ipv4(F.hex(F.col("event_id") * 7919)).alias("ip"))
 
 
-@query("c16_ipv6_mac", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'Unable to convert data' ELSE '00:11:22:33:44:' || lower(lpad(to_hex(event_id % 256), 2, '0')) END AS mac FROM events")
+@query("c16_ipv6_mac", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'Unable to convert data' ELSE '00:11:22:33:44:' || upper(lpad(to_hex(event_id % 256), 2, '0')) END AS mac FROM events")
 def _(s, d):
     start = F.when(F.col("event_id") % 3 == 0, F.lit("fd00")).when(F.col("event_id") % 3 == 1, F.lit("FE80")).otherwise(F.lit("2001"))
     tail = F.lower(F.lpad(F.hex(F.col("event_id") % 256), 2, "0"))

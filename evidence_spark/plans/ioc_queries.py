@@ -147,9 +147,9 @@ def _(s, d):
     return H.suid_files(p).select("p_partkey", "is_suid", "is_sgid")
 
 
-@query("h5_occurrences", "SELECT event_id, count(*) OVER (PARTITION BY user_id) AS occurrences FROM events")
+@query("h5_occurrences", "SELECT event_id, count(*) OVER (PARTITION BY nullif(user_id % 9, 4)) AS occurrences FROM events")
 def _(s, d):
-    return H.with_occurrences(table(s, d, "events"), "user_id").select("event_id", "occurrences")
+    return H.with_occurrences(table(s, d, "events").withColumn("user", F.nullif(F.col("user_id") % 9, F.lit(4))), "user").select("event_id", "occurrences")
 
 
 @query("h6_root_packages", "SELECT p_partkey FROM part WHERE p_name IN ('red widget', 'small ring')")

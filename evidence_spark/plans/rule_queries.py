@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from evidence_spark.functions.records import event_records, get_path, variant
@@ -129,6 +131,15 @@ def _(s, d):
     return D.correlate(event_records(s, d), PAIR, PRIVATE, 600_000, ["machine"]).select("machine", F.col("record_ids")[0].alias("s"), F.col("record_ids")[1].alias("e"))
 
 
+@query("d12_alert_content", "SELECT a.machine, a.record_id AS s, b.record_id AS e, c.record_id AS v, 'three in a row' AS description, 'ref:1' AS reference, '{\"props_k\":\"' || CAST(a.k AS VARCHAR) || '\"}' AS of_s, '{\"user_id\":\"' || CAST(b.user_id AS VARCHAR) || '\"}' AS of_e, strftime(least(a.ts, b.ts, c.ts), '%Y-%m-%d %H:%M:%S') AS first FROM {REC} a JOIN {REC} b ON a.machine = b.machine AND a.data_type = 'signup' AND b.data_type = 'error' JOIN {REC} c ON c.machine = a.machine AND c.data_type = 'view' WHERE epoch_ms(greatest(a.ts, b.ts, c.ts)) - epoch_ms(least(a.ts, b.ts, c.ts)) < 900000")
+def _(s, d):
+    triple = D.Rule("Triple", calls=["S", "E", "V"], within=900_000, description="three in a row", reference="ref:1")
+    private = {"S": replace(PRIVATE["S"], returns=["props.k"]), "E": replace(PRIVATE["E"], returns=["user_id"]), "V": D.Rule("V", False, channel="view", include={"event_type": "view"})}
+    out = D.correlate(event_records(s, d), triple, private, keys=["machine"])
+    ids = [F.col("record_ids")[i].alias(c) for i, c in enumerate("sev")]
+    return out.select("machine", *ids, "description", "reference", F.col("returned")["S"].alias("of_s"), F.col("returned")["E"].alias("of_e"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("first"))
+
+
 @query("d13_calls_private", "SELECT record_id FROM {REC} WHERE data_type = 'error' AND k = 4")
 def _(s, d):
     four = D.Rule("Four", False, include={"props.k": "4"})

@@ -259,7 +259,7 @@ def _(s, d):
 
 @query("n13_field_catalog", "SELECT * FROM (VALUES ('@timestamp', 'string', true), ('props.k', 'number', false), ('value', 'number', false), ('user_id', 'number', false), ('event_type', 'string', true)) v(path, kind, has_keyword), (SELECT count(*) AS n FROM events)")
 def _(s, d):
-    from evidence_spark.functions.jsonfix import field_catalog
+    from evidence_spark.functions.leaves import field_catalog
 
     return field_catalog(rec(s, d))
 

@@ -48,13 +48,13 @@ def _(s, d):
     head = body.select("path").distinct().select("path", F.lit(-1).cast("long").alias("pos"), F.lit("#Fields: date time cs(User-Agent) s-id").alias("line"))
     out = S.parse_w3c(body.unionByName(head))
     get = lambda k: F.try_element_at("fields", F.lit(k))
-    return out.select(get("s_id").cast("long").alias("event_id"), F.col("@timestamp").alias("when"), get("cs_user_agent").alias("who"), get("field1").alias("extra"))
+    return out.select(get("s_id").cast("long").alias("event_id"), F.col("@timestamp").alias("when"), get("cs_user_agent").alias("who"), get("field4").alias("extra"))
 
 
-@query("s6_exchange_log", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS \"when\", event_type || ', \"' || CAST(user_id AS VARCHAR) || '\"' AS note FROM events WHERE event_id % 10 <> 0")
+@query("s6_exchange_log", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS \"when\", event_type || ', \"' || CAST(user_id AS VARCHAR) || '\"' || CASE WHEN event_id % 50 = 1 THEN repeat('x, ', 1500) ELSE '' END AS note FROM events WHERE event_id % 10 <> 0")
 def _(s, d):
     stamp = F.when(F.col("event_id") % 10 != 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.lit(""))
-    line = F.concat(stamp, F.lit(","), text("event_id"), F.lit(',"'), "event_type", F.lit(', ""'), text("user_id"), F.lit('"""'))
+    line = F.concat(stamp, F.lit(","), text("event_id"), F.lit(',"'), "event_type", F.lit(', ""'), text("user_id"), F.lit('""'), F.when(F.col("event_id") % 50 == 1, F.repeat(F.lit("x, "), 1500)).otherwise(""), F.lit('"'))
     body = lines(s, d, line)
     head = body.select("path").distinct().select("path", F.lit(-1).cast("long").alias("pos"), F.lit(S.BOM + "#Fields: DateTime,id,note").alias("line"))
     out = S.parse_exchange(body.unionByName(head))

@@ -7,8 +7,10 @@ order of lines is known without holding a file in one task.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -20,6 +22,9 @@ from evidence_spark.functions.records import SENTINEL
 BOM = "﻿"
 #: Lines that are looked through at once where their place is a number.
 BLOCK_LINES = 100_000
+#: Quotes of a line beyond which a helper splits it.
+QUOTES = 256
+_RUNS = re.compile(r'"+|,|[^",]+')
 #: Routing rules that may be broadcast.
 BROADCAST_RULES = 10_000
 
@@ -90,11 +95,14 @@ def _with_header(lines: DataFrame) -> DataFrame:
 
 
 def _named(names: Column, values: Column) -> Column:
-    """Map of names and values; more values than names are ``field1``, ``field2``, …"""
+    """Map of names and values. Values beyond the names are ``field3``, … by their place from 0; of a name given twice the last value holds."""
     n, m = F.size(names), F.size(values)
-    more = F.when(m > n, F.transform(F.sequence(F.lit(1), m - n), lambda i: F.concat(F.lit("field"), i.cast("string")))).otherwise(F.array().cast("array<string>"))
-    keys = F.slice(F.concat(names, more), F.lit(1), F.least(m, n + F.size(more)))
-    return F.map_from_arrays(keys, F.slice(values, F.lit(1), F.size(keys)))
+    more = F.when(m > n, F.transform(F.sequence(n, m - 1), lambda i: F.concat(F.lit("field"), i.cast("string")))).otherwise(F.array().cast("array<string>"))
+    keys = F.slice(F.concat(names, more), F.lit(1), m)
+    own = F.slice(values, F.lit(1), F.size(keys))
+    once = F.array_distinct(keys)
+    last = F.transform(once, lambda k: F.element_at(F.reverse(own), F.array_position(F.reverse(keys), k).cast("int")))
+    return F.map_from_arrays(once, F.when(F.size(once) == F.size(keys), own).otherwise(last))
 
 
 def read_w3c_log(spark: SparkSession, path: str) -> DataFrame:
@@ -111,10 +119,56 @@ def parse_w3c(lines: DataFrame) -> DataFrame:
     return out.select("path", "pos", F.when(F.length(ts) > 0, ts).otherwise(SENTINEL).alias("@timestamp"), "fields")
 
 
+def _cells(line: str) -> list[str]:
+    """Cells of a line by one walk over its quotes; see :func:`split_csv`."""
+    cells, elem, inside, quoted = [], [], False, False
+    for run in _RUNS.findall(line):
+        if run[0] == '"':
+            for _ in run:
+                if quoted and any(elem):
+                    elem.append('"')
+                    quoted = False
+                else:
+                    inside, quoted = not inside, True
+            continue
+        quoted = False
+        if run == "," and not inside:
+            cells.append("".join(elem))
+            elem = []
+        else:
+            elem.append(run)
+    return [*cells, "".join(elem)]
+
+
 def split_csv(line: Column) -> Column:
-    """Cells of a CSV line with ``""`` inside quotes."""
-    cells = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
-    return F.transform(cells, lambda c: F.when(c.startswith('"'), F.replace(F.regexp_replace(c, r'^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
+    """Cells of a line, with quotes anywhere in a cell, as the logs' own reader splits it.
+
+    A quote opens or closes a quoted stretch, in which commas do not split; the second of
+    two quotes in a row is a quote itself where the cell has text already. Lines are taken
+    apart at their quotes, with no pattern that recurses, so cells may be of any length;
+    lines of more than QUOTES quotes go to a helper on Arrow batches.
+    """
+    parts = F.split(line, '"')
+    state = F.struct(F.array().cast("array<string>").alias("cells"), F.lit("").alias("elem"), F.lit(True).alias("inside"), F.lit(False).alias("quoted"))
+
+    def step(a: Column, part: Column) -> Column:
+        # the first part follows no quote: it starts inside out, and its "quote" opens the line
+        double = a["quoted"] & (F.length(a["elem"]) > 0)
+        elem = F.when(double, F.concat(a["elem"], F.lit('"'))).otherwise(a["elem"])
+        inside = F.when(double, a["inside"]).otherwise(~a["inside"])
+        quoted = ~double & (F.length(part) == 0)
+        pieces = F.split(part, ",")
+        n = F.when(inside, F.lit(1)).otherwise(F.size(pieces))
+        first = F.concat(elem, F.when(inside, part).otherwise(pieces[0]))
+        return F.struct(
+            F.when(n > 1, F.concat(a["cells"], F.array(first), F.slice(pieces, F.lit(2), F.greatest(n - 2, F.lit(0))))).otherwise(a["cells"]).alias("cells"),
+            F.when(n > 1, F.element_at(pieces, F.lit(-1))).otherwise(first).alias("elem"), inside.alias("inside"), quoted.alias("quoted"),
+        )
+
+    few = F.aggregate(parts, state, step, lambda a: F.concat(a["cells"], F.array(a["elem"])))
+    many = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit(""))) > QUOTES
+    helper = F.arrow_udf(lambda lines: pa.array([None if t is None else _cells(t) for t in lines.to_pylist()], pa.list_(pa.string())), "array<string>")
+    return F.when(many, helper(F.when(many, line))).when(F.contains(line, F.lit('"')), few).otherwise(F.split(line, ","))
 
 
 def read_exchange_log(spark: SparkSession, path: str) -> DataFrame:
@@ -126,7 +180,7 @@ def parse_exchange(lines: DataFrame) -> DataFrame:
     """Mail server log rows of lines with path and pos."""
     rows = _with_header(lines)
     names = F.transform(F.split("_names", ","), lambda x: F.trim(x))
-    out = rows.withColumn("fields", _named(names, split_csv(F.col("line"))))
+    out = rows.withColumn("_cells", split_csv(F.col("line"))).withColumn("fields", _named(names, F.col("_cells")))
     none = lambda k: F.nullif(F.try_element_at("fields", F.lit(k)), F.lit(""))
     out = out.withColumn("@timestamp", F.coalesce(none("TimeStamp"), none("DateTime"), none("date-time")))
     return out.where(F.col("@timestamp").isNotNull()).select("path", "pos", "@timestamp", "fields")
@@ -233,16 +287,24 @@ def parse_shutdown_log(lines: DataFrame, col: str = "line") -> DataFrame:
     return out.select("path", "pos", F.regexp_extract(col, client, 1).alias("pid"), F.regexp_extract(col, client, 2).alias("client"), F.timestamp_seconds("_t").alias("ts"))
 
 
-def parse_receivers(lines: DataFrame, activity: str, skip_packages: Sequence[str] = ("com.google.",), col: str = "line") -> DataFrame:
-    """Receivers listed under an activity (S16): lines of 8 spaces after its marker."""
-    head = F.when(F.col(col).rlike(r"^\s{0,7}\S"), F.trim(col))
-    out = nearest_value(lines, head, "_a", after=False)
-    row = r"^ {8}(\S+) (\S+)/(\S+)"
-    out = out.where(F.col("_a").startswith(activity) & F.col(col).rlike(row))
-    out = out.select("path", "pos", F.regexp_extract(col, row, 1).alias("id"), F.regexp_extract(col, row, 2).alias("package_name"), F.concat_ws("/", F.regexp_extract(col, row, 2), F.regexp_extract(col, row, 3)).alias("receiver"))
-    for p in skip_packages:
-        out = out.where(~F.col("package_name").startswith(p))
-    return out
+def parse_receivers(lines: DataFrame, activities: str | Sequence[str], skip_packages: Sequence[str] = ("com.google.android.gms",), col: str = "line") -> DataFrame:
+    """Receivers listed under activities (S16): path, pos, activity, id, package_name, receiver.
+
+    A line that starts with an activity's name, whatever its indent, opens a block; the
+    lines of 8 spaces that follow belong to it, and any other line, a blank one too, ends it.
+    """
+    names = [activities] if isinstance(activities, str) else list(activities)
+    text = F.trim(col)
+    head = F.lit(None).cast("string")
+    for name in reversed(names):
+        head = F.when(text.startswith(name), F.lit(name)).otherwise(head)
+    ends = F.when(~F.col(col).startswith(" " * 8), F.lit(""))
+    out = nearest_value(lines.withColumn("_head", head), F.coalesce("_head", ends), "_a", after=False)
+    words = F.split(text, " ")
+    out = out.where((F.col("_a") != "") & F.col("_head").isNull() & (F.size(words) > 1))
+    receiver = F.element_at(words, F.lit(2))
+    out = out.select("path", "pos", F.col("_a").alias("activity"), words[0].alias("id"), F.substring_index(receiver, "/", 1).alias("package_name"), receiver.alias("receiver"))
+    return out.where(~F.col("package_name").isin(*skip_packages)) if skip_packages else out
 
 
 def read_iis_config(spark: SparkSession, path: str) -> DataFrame:

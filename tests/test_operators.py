@@ -41,9 +41,9 @@ def test_walk_stops_at_cycles(spark):
 
 
 def test_missing_ids(spark):
-    df = spark.createDataFrame([("a", 1), ("a", 4), ("a", 4), ("b", 5), ("a", 3_000_000)], "m string, i long")
+    df = spark.createDataFrame([("a", 1), ("a", 4), ("a", 4), ("b", 5), ("a", 7)], "m string, i long")
     out = rows(H.missing_ids(df, ["m"], "i"), "m", "missing_id", "previous_id")
-    assert out == [("a", 2, 1), ("a", 2_999_999, 4), ("a", 3, 1), ("a", 5, 4)]
+    assert out == [("a", 2, 1), ("a", 3, 1), ("a", 5, 4), ("a", 6, 4)]
 
 
 def test_unused_processes_in_spite_of_null_keys(spark):
@@ -250,7 +250,7 @@ def test_conversions(spark):
     assert get(C.mac_to_ts(F.lit(1), from_2001=False)) == "1970-01-01 00:00:01"
     assert get(C.url_domain(F.lit("http://web.example.org/"))) == "web.example.org"
     assert get(C.registrable_domain(F.lit("http://a.b.example.co.uk"))) == "example.co.uk"
-    assert get(C.ipv6_to_mac(F.lit("0" * 31 + "1"))) == "::1 (loopback)"
+    assert get(C.ipv6_to_mac(F.lit("0" * 31 + "1"))) == "Local Host ::1"
     assert get(C.folder_to_url(F.lit("file__0"))) is None
     assert get(C.decode_flags(F.lit(0x80000101), C.USN_REASONS)) == "DATA_OVERWRITE FILE_CREATE CLOSE"
 
@@ -299,3 +299,27 @@ def test_tags_keep_free_messages(spark):
     old = spark.createDataFrame([("1", "legit", "1", ""), (None, "suspicious", "1", "m")], s)
     new = spark.createDataFrame([("1", "malicious", "2", ""), (None, "suspicious", "1", "m"), (None, "suspicious", "2", "n")], s)
     assert rows(S.add_tags(old, new), "record_id", "tag_type", "message") == [("1", "malicious", ""), (None, "suspicious", "m"), (None, "suspicious", "n")]
+
+
+def test_wide_gaps_are_given_whole(spark, monkeypatch):
+    df = spark.createDataFrame([(None, 5), (None, 8), ("a", 1), ("a", 1_500_003), ("a", 1_500_005), ("b", -3), ("b", 2), ("b", None)], "m string, i long")
+    got = H.missing_ids(df, ["m"], "i")
+    assert got.where("m = 'a'").count() == 1_500_002 and got.where("m = 'a'").agg(F.count_distinct("missing_id")).first()[0] == 1_500_002
+    assert rows(got.where("m <=> 'b' or m is null"), "m", "missing_id", "previous_id", "gap") == sorted([(None, 6, 5, 2), (None, 7, 5, 2), *[("b", i, -3, 4) for i in range(-2, 2)]], key=repr)
+    monkeypatch.setattr(H, "ID_BLOCK", 7)
+    monkeypatch.setattr(H, "ID_ARRAY", 3)
+    small = df.where("i < 1000000")
+    assert rows(H.missing_ids(small.union(spark.createDataFrame([("a", 40), ("a", 41)], "m string, i long")), ["m"], "i").where("m = 'a'"), "missing_id") == sorted([(i,) for i in range(2, 40)], key=repr)
+
+
+def test_rows_without_a_key_are_counted(spark):
+    df = spark.createDataFrame([("a", 1), (None, 2), (None, 3)], "k string, i int")
+    assert rows(H.with_occurrences(df, "k"), "i", "occurrences") == [(1, 1), (2, 2), (3, 2)]
+
+
+def test_views_of_one_name_are_refused():
+    view = "- {name: v, condition: {default: true}, fields: {A: x}}\n"
+    with pytest.raises(ValueError, match="twice"):
+        T.load_views(view, view)
+    with pytest.raises(ValueError, match="no query"):
+        T.load_views("- {name: v, condition: {}, fields: {A: x}}")

@@ -100,13 +100,54 @@ def test_globs_of_columns_equal_fnmatch(spark):
         assert r["hit"] == fnmatch.fnmatchcase(r["v"].lower(), p.lower()), (r["v"], r["p"])
 
 
-def test_bursts_are_dealt_to_parts(spark):
+def test_bursts_are_dealt_to_parts(spark, monkeypatch):
     """Many records of one moment: all pairs, and no part of the bucket holds them all."""
+    monkeypatch.setattr(D, "PAIRS", 100)
     private = {n: D.Rule(n, False, include={"t": n}) for n in "ab"}
     df = records(spark, *[{**at(5), "t": "ab"[i % 2]} for i in range(60)])
     got = D.correlate(df, D.Rule("R", calls=["a", "b"], within=1000), private)
     assert got.count() == 900
-    assert "_s" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_x" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_even_records_are_hardly_copied(spark, monkeypatch):
+    """Records far apart: a few near the border of a bucket are copied, and nothing is dealt."""
+    private = {n: D.Rule(n, False, include={"t": n}) for n in "ab"}
+    df = records(spark, *[{**at(i % 50), "@timestamp": f"2024-01-01T{i // 3600:02d}:{i // 60 % 60:02d}:{i % 60:02d}", "t": "ab"[i % 2]} for i in range(0, 4000)])
+    got = D.correlate(df, D.Rule("R", calls=["a", "b"], within=2000), private)
+    assert got.count() == 3999
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_x" not in plan and plan.count("explode") == 1
+
+
+def test_windows_of_any_width_and_order(spark, monkeypatch):
+    """Three rules, hot and even buckets: as plain loops find them, with what each rule returns."""
+    import itertools
+    import random
+
+    rng = random.Random(6)
+    times = [rng.choice([100, 100, rng.randint(0, 59_000)]) + rng.randint(0, 999) for _ in range(90)]
+    data = [{"@timestamp": f"2024-01-01T00:00:{ms // 1000:02d}.{ms % 1000:03d}", "t": "abc"[i % 3], "n": i} for i, ms in enumerate(times)]
+    private = {"a": D.Rule("a", False, include={"t": "a"}, returns=["n"]), "b": D.Rule("b", False, include={"t": "b"}), "c": D.Rule("c", False, include={"t": "c"}, returns=["t", "n"])}
+    rule = D.Rule("R", calls=["a", "b", "c"], description="why", reference="where")
+    for within, pairs in ((1, 4_000_000), (700, 4_000_000), (700, 20), (9000, 50)):
+        monkeypatch.setattr(D, "PAIRS", pairs)
+        got = D.correlate(records(spark, *data), rule, private, within)
+        groups = [[i for i in range(90) if i % 3 == k] for k in range(3)]
+        want = sorted([str(i) for i in x] for x in itertools.product(*groups) if max(times[i] for i in x) - min(times[i] for i in x) < within)
+        out = got.collect()
+        assert sorted(r["record_ids"] for r in out) == want
+        for r in out[:50]:
+            assert (r["description"], r["reference"]) == ("why", "where")
+            assert json.loads(r["returned"]["a"])["n"] == r["record_ids"][0] and json.loads(r["returned"]["b"]) == data[int(r["record_ids"][1])]
+
+
+def test_modifiers_in_any_shape():
+    assert D.parse_modifier("Search   $str  a  b") == ("search", "$str", "a b")
+    assert D.parse_modifier("a.b\t>=  7") == ("a.b", ">=", "7")
+    assert D.parse_modifier("a.b $rex x  y$") == ("a.b", "$rex", "x  y$")
+    with pytest.raises(ValueError, match="modifier"):
+        D.parse_modifier("a >")
 
 
 def test_channel(spark):

@@ -42,14 +42,14 @@ def test_csv(spark, tmp_path):
 def test_w3c(spark, tmp_path):
     text = "#Software: x\r\n#Fields: date time cs(User-Agent) s-ip\r\n2024-01-01 00:00:01 ua 1.1.1.1 more\r\n#Fields: time date\r\n00:00:02 2024-01-02\r\n"
     got = S.read_w3c_log(spark, put(tmp_path, "u.log", text)).orderBy("pos").collect()
-    assert got[0]["fields"] == {"date": "2024-01-01", "time": "00:00:01", "cs_user_agent": "ua", "s_ip": "1.1.1.1", "field1": "more"}
+    assert got[0]["fields"] == {"date": "2024-01-01", "time": "00:00:01", "cs_user_agent": "ua", "s_ip": "1.1.1.1", "field4": "more"}
     assert [r["@timestamp"] for r in got] == ["2024-01-01T00:00:01", "2024-01-02T00:00:02"]
 
 
 def test_exchange(spark, tmp_path):
     text = '\ufeff#Fields: DateTime,a,b\n2024-01-01T00:00:00Z,"x,y","q ""z"""\n,1,2\n2024-01-02T00:00:00Z,1,2,3\n'
     got = S.read_exchange_log(spark, put(tmp_path, "e.log", text)).orderBy("pos").collect()
-    assert [r["fields"] for r in got] == [{"DateTime": "2024-01-01T00:00:00Z", "a": "x,y", "b": 'q "z"'}, {"DateTime": "2024-01-02T00:00:00Z", "a": "1", "b": "2", "field1": "3"}]
+    assert [r["fields"] for r in got] == [{"DateTime": "2024-01-01T00:00:00Z", "a": "x,y", "b": 'q "z"'}, {"DateTime": "2024-01-02T00:00:00Z", "a": "1", "b": "2", "field3": "3"}]
 
 
 def test_trace(spark):
@@ -83,7 +83,7 @@ def test_blocks(spark):
     text = "remaining client pid: 12 (/a)\nremaining client pid: 13 (/b)\nSIGTERM: [100]\nremaining client pid: 14 (/c)"
     assert rows(S.parse_shutdown_log(lines(spark, text)), "pid", "client") == [("12", "/a"), ("13", "/b")]
     text = "    android.intent.X:\n        1a com.bad/.R\n        2b com.google.y/.S\n    other:\n        3c com.z/.T"
-    assert rows(S.parse_receivers(lines(spark, text), "android.intent.X"), "id", "receiver") == [("1a", "com.bad/.R")]
+    assert rows(S.parse_receivers(lines(spark, text), "android.intent.X"), "id", "receiver") == [("1a", "com.bad/.R"), ("2b", "com.google.y/.S")]
 
 
 def test_values_are_carried_over_blocks(spark, monkeypatch):
@@ -191,3 +191,45 @@ def test_stream_scan_and_correlation(spark, tmp_path):
     t = batch.select(F.unix_seconds(F.try_variant_get("v", "$['@timestamp']", "timestamp")).alias("t"), F.try_variant_get("v", "$.k", "int").alias("k"))
     want = t.where("k = 0").select(F.col("t").alias("x")).crossJoin(t.where("k = 1").select("t")).where("abs(x - t) < 2").count()
     assert spark.table("pairs").count() == want > 0
+
+
+def machine(line):
+    """Cells as the log's own reader makes them, a character at a time."""
+    out, elem, inside, quoted = [], "", False, False
+    for c in line:
+        if c == '"':
+            if quoted and elem:
+                elem, quoted = elem + '"', False
+            else:
+                inside, quoted = not inside, True
+            continue
+        quoted = False
+        if c == "," and not inside:
+            out.append(elem)
+            elem = ""
+        else:
+            elem += c
+    return [*out, elem]
+
+
+def test_quotes_anywhere_in_a_cell(spark, monkeypatch):
+    import itertools
+
+    texts = ["".join(x) for n in range(7) for x in itertools.product('",a', repeat=n)] + ['x="p,q",r', 'a,"' + "b, " * 400_000 + '",c', '"' + 'x""' * 700 + '",y', None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for quotes in (256, 1):
+        monkeypatch.setattr(S, "QUOTES", quotes)
+        for r in df.select("t", S.split_csv(F.col("t")).alias("cells")).collect():
+            assert r["cells"] == (None if r["t"] is None else machine(r["t"])), r["t"][:80]
+
+
+def test_names_beyond_the_header_and_names_given_twice(spark):
+    text = "#Fields: date time a a\n2024-01-01 00:00:00 1 2 3 4\n2024-01-01 00:00:01 1"
+    got = S.parse_w3c(lines(spark, text)).orderBy("pos").collect()
+    assert [r["fields"] for r in got] == [{"date": "2024-01-01", "time": "00:00:00", "a": "2", "field4": "3", "field5": "4"}, {"date": "2024-01-01", "time": "00:00:01", "a": "1"}]
+
+
+def test_receiver_blocks(spark):
+    text = "  android.A:\n        1 com.x/.R\n        2 com.google.android.gms/.G\n        3 com.google.android.apps.m/.M\n\n        4 com.y/.R\n        android.B:\n        5 com.z/.R z\n  other\n        6 com.w/.R"
+    got = rows(S.parse_receivers(lines(spark, text), ["android.A", "android.B"]), "activity", "id", "package_name", "receiver")
+    assert got == [("android.A", "1", "com.x", "com.x/.R"), ("android.A", "3", "com.google.android.apps.m", "com.google.android.apps.m/.M"), ("android.B", "5", "com.z", "com.z/.R")]
