@@ -187,15 +187,37 @@ def url_domain(col: Column | str) -> Column:
     return F.regexp_replace(url_host(col), r"^www\.", "")
 
 
-#: Two-label public suffixes that count as one.
+#: Public suffixes of two labels, where no table of rules is given. Any last label is a suffix.
 SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "com.br", "com.cn", "co.in", "com.sa", "com.tr", "co.za")
 
 
-def registrable_domain(col: Column | str) -> Column:
-    """The last two labels of the host, or three under a two-label suffix."""
-    d = url_domain(col)
-    two = F.substring_index(d, ".", -2)
-    return F.when(two.isin(*SUFFIXES), F.substring_index(d, ".", -3)).otherwise(two)
+def load_suffixes(text: str) -> list[str]:
+    """Rules of a public suffix list: the first word of each line that is no ``//`` comment."""
+    lines = (x.split() for x in text.splitlines() if not x.lstrip().startswith("//"))
+    return [x[0].lower() for x in lines if x]
+
+
+def registrable_domain(col: Column | str, rules: Sequence[str] = SUFFIXES) -> Column:
+    """The public suffix of the host and the label before it (C20).
+
+    ``rules`` are suffixes, ``*.suffix`` (any one label more is a suffix) and ``!name``
+    (the name is none, in spite of a ``*`` rule). The longest rule that fits holds, an
+    exception before all others. Hosts that are suffixes or addresses give null. Rules are
+    looked up as hashed sets, once for each label of the host.
+    """
+    plain = sorted({r for r in rules if r[0] not in "*!"})
+    wild = sorted({r[2:] for r in rules if r.startswith("*.")})
+    names = sorted({r[1:] for r in rules if r.startswith("!")})
+    host = F.regexp_replace(url_host(col), r"\.+$", "")
+    labels = F.split(host, r"\.")
+    n = F.size(labels)
+    tail = lambda k: F.array_join(F.slice(labels, n - k + 1, k), ".")
+    among = lambda k, known: tail(k).isin(known) if known else F.lit(False)
+    every = F.sequence(F.lit(1), n)
+    fits = F.filter(every, lambda k: among(k, plain) | ((k > 1) & among(k - 1, wild)))
+    kept = F.array_max(F.filter(every, lambda k: among(k, names))) - 1
+    size = F.coalesce(kept, F.array_max(fits), F.lit(1))
+    return F.when(~host.rlike(r"^[0-9.]+$") & ~host.contains(":") & (n > size), tail(size + 1))
 
 
 def is_shortened(col: Column | str, hosts: Sequence[str]) -> Column:

@@ -7,12 +7,13 @@ indicators is broadcast only after its size was checked; a longer one is joined
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_spark.functions.convert import registrable_domain, url_domain
+from evidence_spark.functions.convert import SUFFIXES, registrable_domain, url_domain
 from evidence_spark.operators.automaton import AUTOMATON_CHARS, contained
 
 #: Indicators that may be broadcast.
@@ -54,9 +55,12 @@ def _by_key(df: DataFrame, key: Column, iocs: DataFrame, kind: str) -> DataFrame
     return out.join(_kind(iocs, kind), F.col("_k") == F.col("ioc")).drop("_k")
 
 
-def match_domain(df: DataFrame, col: str, iocs: DataFrame) -> DataFrame:
-    """URL host equal to a domain, or its registrable domain equal to one (I1); once per indicator."""
-    keys = F.array_distinct(F.array_compact(F.array(url_domain(col), registrable_domain(col))))
+def match_domain(df: DataFrame, col: str, iocs: DataFrame, rules: Sequence[str] = SUFFIXES) -> DataFrame:
+    """URL host equal to a domain, or its registrable domain equal to one (I1); once per indicator.
+
+    ``rules`` are those of public suffixes.
+    """
+    keys = F.array_distinct(F.array_compact(F.array(url_domain(col), registrable_domain(col, rules))))
     return df.withColumn("_k", F.explode(keys)).join(_kind(iocs, "domain"), F.col("_k") == F.col("ioc")).drop("_k")
 
 

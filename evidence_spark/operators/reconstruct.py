@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import difflib
+import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -12,6 +16,10 @@ from evidence_spark.functions.convert import day_of_year_date
 from evidence_spark.functions.storage import cut, drop_cut
 
 
+_LINE_END = re.compile("\r\n|\r|\n")
+_LAST_END = re.compile(r"(\r\n|\r|\n)\Z")
+
+
 def _on(df: DataFrame, key: str, to: str) -> DataFrame:
     return df.withColumnRenamed(key, to) if key != to else df
 
@@ -175,44 +183,72 @@ def pair_requests(df: DataFrame, keys: Sequence[str], order: Sequence[str], is_r
     """Responses with the most recent open request of their key.
 
     As with brackets: a request opens a level, a response closes the latest open one.
-    With the running balance counted from its running minimum, a response belongs to the
-    last request of the level it closes. Responses with nothing open are dropped.
+    Responses with nothing open are dropped. Rows are sorted into blocks, so that a frequent
+    key is spread over tasks: in a block, a response belongs to the last request of the
+    level that it closes. What a block leaves open or unmatched is counted, a scan over the
+    blocks of a key gives the levels open before each, and what is left meets by level.
     """
     k = list(keys)
-    w = W.partitionBy(*k).orderBy(*order)
+    blocks = cut(df.repartitionByRange(*k, *order).withColumn("_blk", F.spark_partition_id()))
+    w = W.partitionBy(*k, "_blk").orderBy(*order)
     upto = w.rowsBetween(W.unboundedPreceding, 0)
     step = F.when(F.col(is_request), 1).otherwise(-1)
-    out = df.withColumn("_b", F.sum(step).over(upto)).withColumn("_m", F.least(F.min("_b").over(upto), F.lit(0)))
+    out = blocks.withColumn("_b", F.sum(step).over(upto)).withColumn("_m", F.least(F.min("_b").over(upto), F.lit(0)))
+    # with the balance counted from its minimum so far, a response closes one level more than it leaves
     out = out.withColumn("_open", F.col("_b") - F.col("_m") + F.when(F.col(is_request), 0).otherwise(1))
     # a response that finds nothing open lowers the minimum
-    prior = F.coalesce(F.lag("_m").over(w), F.lit(0))
-    out = out.withColumn("_lost", ~F.col(is_request) & (F.col("_m") < prior)).where("not _lost")
-    lw = W.partitionBy(*k, "_open").orderBy(*order)
-    taken = [c for c in (*order, *cols)]
-    out = out.withColumns({f"request_{c}": F.lag(c).over(lw) for c in taken})
-    return out.where(~F.col(is_request)).drop("_b", "_m", "_open", "_lost")
+    out = out.withColumn("_lost", ~F.col(is_request) & (F.col("_m") < F.coalesce(F.lag("_m").over(w), F.lit(0))))
+    taken = [*order, *cols]
+    lw = W.partitionBy(*k, "_blk", "_lost", "_open").orderBy(*order)
+    out = out.withColumns({f"request_{c}": F.lag(c).over(lw) for c in taken} | {"_left": F.col("_lost") | (F.col(is_request) & F.lead(is_request).over(lw).isNull())})
+    out = cut(out)
+    here = out.where(~F.col(is_request) & ~F.col("_lost"))
+
+    left = out.where("_left").drop(*[f"request_{c}" for c in taken])
+    sums = left.groupBy(*k, "_blk").agg(F.count_if("_lost").alias("_c"), F.count_if(is_request).alias("_o"))
+    bw = W.partitionBy(*k).orderBy("_blk")
+    before = bw.rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.withColumn("_p", F.coalesce(F.sum(F.col("_o") - F.col("_c")).over(before), F.lit(0)))
+    sums = sums.withColumn("_floor", F.least(F.lit(0), F.coalesce(F.min(F.col("_p") - F.col("_c")).over(before), F.lit(0)))).withColumn("_h", F.col("_p") - F.col("_floor"))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*k, "_blk"]]
+    met = left.alias("l").join(sums.alias("s"), reduce(Column.__and__, same)).select("l.*", "_c", "_h")
+    # the i-th response that a block leaves closes level h - i + 1; its requests open the levels above
+    level = F.when(F.col(is_request), F.greatest(F.col("_h") - F.col("_c"), F.lit(0)) + F.col("_open")).otherwise(F.col("_h") + F.col("_m") + 1)
+    met = met.withColumn("_level", level).where("_level > 0")
+    far = W.partitionBy(*k, "_level").orderBy("_blk", *order)
+    carried = met.withColumns({f"request_{c}": F.lag(c).over(far) for c in taken} | {"_was": F.lag(is_request).over(far)}).where(~F.col(is_request) & F.col("_was"))
+    names = [*df.columns, *[f"request_{c}" for c in taken]]
+    return here.select(*names).unionByName(carried.select(*names))
+
+
+def _line_changes(old: str | None, new: str | None) -> list[dict]:
+    """Lines removed and added from one text to the next, in their order."""
+    a, b = (_LINE_END.split(_LAST_END.sub("", x)) if x else [] for x in (old, new))
+    out = []
+    for tag, i, j, x, y in difflib.SequenceMatcher(None, a, b).get_opcodes():
+        if tag != "equal":
+            out += [{"line": t, "change": "removed"} for t in a[i:j]] + [{"line": t, "change": "added"} for t in b[x:y]]
+    return out
 
 
 def version_diff(df: DataFrame, keys: Sequence[str] = ("machine", "path"), order: str = "modified", text: str = "text") -> DataFrame:
-    """Lines added and removed between consecutive versions of a file.
+    """Lines added and removed between consecutive versions of a file (J19), moved ones too.
 
-    Columns: keys, order, ``line``, ``change`` (added or removed). Lines are rows: each
-    version counts its lines, and the counts of a version and of the one before meet by
-    line, so a large file is spread over many tasks. A line that only moved is no change;
-    one that occurs more often is added as often. A null text has no lines.
+    Columns: keys, order, ``at`` (place in the diff), ``line``, ``change`` (added or
+    removed). A version meets the one before it by a join on their order, and a task
+    compares two texts at a time with the matcher of the standard library, line ends aside.
+    A null text has no lines. A version is one row.
     """
     k = list(keys)
-    versions = df.select(*k, order).distinct()
-    number = W.partitionBy(*k).orderBy(order)
-    near = versions.withColumns({"_first": F.lag(order).over(number).isNull(), "_next": F.lead(order).over(number)})
-    lines = F.split(F.regexp_replace(text, "(\r\n|\r|\n)$", ""), "\r\n|\r|\n")
-    count = df.where(F.length(text) > 0).select(*k, order, F.explode(lines).alias("line")).groupBy(*k, order, "line").agg(F.count("*").alias("_c"))
-    seen = count.join(near, [*k, order])
-    new = seen.where("not _first").select(*k, order, "line", F.col("_c"))
-    old = seen.where("_next is not null").select(*k, F.col("_next").alias(order), "line", (-F.col("_c")).alias("_c"))
-    change = new.unionByName(old).groupBy(*k, order, "line").agg(F.sum("_c").cast("int").alias("_c")).where("_c <> 0")
-    change = change.withColumn("change", F.when(F.col("_c") > 0, "added").otherwise("removed"))
-    return change.withColumn("_c", F.explode(F.sequence(F.lit(1), F.abs("_c")))).select(*k, order, "line", "change")
+    versions = df.select(*k, order).distinct().withColumn("_before", F.lag(order).over(W.partitionBy(*k).orderBy(order))).where("_before is not null")
+    old = df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(k)], F.col(order).alias("_before"), F.col(text).alias("_old"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(k)]
+    near = [F.col(f"n.{c}").eqNullSafe(F.col(f"v.{c}")) for c in k]
+    both = df.select(*k, order, text).alias("n").join(versions.alias("v"), reduce(Column.__and__, near, F.col(f"n.{order}") == F.col(f"v.{order}"))).select("n.*", "_before")
+    both = both.join(old.withColumnRenamed("_before", "_b"), reduce(Column.__and__, same, F.col("_before") == F.col("_b")))
+    kind = pa.list_(pa.struct([("line", pa.string()), ("change", pa.string())]))
+    diff = F.arrow_udf(lambda x, y: pa.array([_line_changes(a, b) for a, b in zip(x.to_pylist(), y.to_pylist(), strict=True)], kind), "array<struct<line:string,change:string>>")
+    return both.select(*k, order, F.posexplode(diff("_old", text)).alias("at", "_d")).select(*k, order, "at", "_d.line", "_d.change")
 
 
 def icon_joins(mapping: DataFrame, bitmap: DataFrame, icon: DataFrame, keys: Sequence[str] = ("machine",)) -> DataFrame:

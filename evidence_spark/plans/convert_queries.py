@@ -133,6 +133,12 @@ def _(s, d):
     return table(s, d, "pages").select("page_id", C.registrable_domain("url").alias("domain"))
 
 
+@query("c20_suffix_rules", f"SELECT page_id, CASE WHEN {HOST} = 'example.net' THEN NULL WHEN {HOST} LIKE '%.example.net' THEN regexp_extract({HOST}, '([^.]+\\.example\\.net)$', 1) WHEN {HOST} = 'example.org' OR {HOST} LIKE '%.example.org' THEN 'example.org' WHEN {HOST} LIKE '%.org' THEN nullif(regexp_extract({HOST}, '([^.]+\\.[^.]+\\.org)$', 1), '') ELSE regexp_extract({HOST}, '([^.]+\\.[^.]+)$', 1) END AS domain FROM pages")
+def _(s, d):
+    rules = C.load_suffixes("// a table of rules\nexample.net\n*.org\n!example.org\n\n")
+    return table(s, d, "pages").select("page_id", C.registrable_domain("url", rules).alias("domain"))
+
+
 @query("c21_shortened", f"SELECT page_id, {HOST} IN ('therin.example.net', 'thther.example.org') AS short FROM pages")
 def _(s, d):
     return table(s, d, "pages").select("page_id", C.is_shortened("url", ["therin.example.net", "thther.example.org"]).alias("short"))

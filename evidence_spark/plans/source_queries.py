@@ -147,7 +147,16 @@ def _(s, d):
 @query("j19_version_diff", "SELECT user_id, event_id, line, change FROM (SELECT user_id, event_id, event_type AS n, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS o FROM events), LATERAL (VALUES (n, 'added'), (o, 'removed')) v(line, change) WHERE o <> n")
 def _(s, d):
     df = table(s, d, "events").select("user_id", "event_id", F.concat(F.lit("same\n"), "event_type", F.lit("\nend")).alias("text"))
-    return J.version_diff(df, ["user_id"], "event_id")
+    return J.version_diff(df, ["user_id"], "event_id").drop("at")
+
+
+@query("j19_moved_lines", """
+WITH e AS (SELECT user_id, event_id, event_type AS n, event_id % 2 AS pn, lag(event_type) OVER w AS o, lag(event_id % 2) OVER w AS po FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+c AS (SELECT user_id, event_id, CASE WHEN o <> n THEN n WHEN po = 0 THEN n ELSE 'same' END AS a, CASE WHEN o <> n THEN o WHEN po = 0 THEN n ELSE 'same' END AS r FROM e WHERE o <> n OR po <> pn)
+SELECT user_id, event_id, a AS line, 'added' AS change FROM c UNION ALL SELECT user_id, event_id, r, 'removed' FROM c""")
+def _(s, d):
+    text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("same\n"), "event_type")).otherwise(F.concat("event_type", F.lit("\nsame\n")))
+    return J.version_diff(table(s, d, "events").select("user_id", "event_id", text.alias("text")), ["user_id"], "event_id").drop("at")
 
 
 def event_stream(s, d) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -57,11 +58,68 @@ def test_version_diff(spark):
     assert rows(J.version_diff(df), "modified", "line", "change") == [(2, "c", "added"), (3, "a", "removed"), (3, "b", "removed")]
 
 
-def test_version_diff_counts_lines(spark):
-    data = [("f", 1, "a\nb\nb\r\nc"), ("f", 2, "b\nb\nb\na\n"), ("f", 3, None), ("f", 4, "x"), ("g", 1, "only")]
+def test_version_diff_has_moved_lines(spark):
+    data = [("f", 1, "a\nb\nb\r\nc"), ("f", 2, "b\nb\nb\na\n"), ("f", 3, None), ("f", 4, "x"), ("g", 1, "only"), (None, 1, "p\nq"), (None, 2, "q\np")]
     df = spark.createDataFrame(data, "path string, modified int, text string")
-    got = rows(J.version_diff(df, ["path"]), "modified", "line", "change")
-    assert got == [(2, "b", "added"), (2, "c", "removed"), (3, "a", "removed"), *[(3, "b", "removed")] * 3, (4, "x", "added")]
+    got = [tuple(r) for r in J.version_diff(df, ["path"]).orderBy("path", "modified", "at").select("path", "modified", "line", "change").collect()]
+    assert got == [
+        (None, 2, "q", "added"), (None, 2, "q", "removed"),
+        ("f", 2, "a", "removed"), ("f", 2, "c", "removed"), ("f", 2, "b", "added"), ("f", 2, "a", "added"),
+        ("f", 3, "b", "removed"), ("f", 3, "b", "removed"), ("f", 3, "b", "removed"), ("f", 3, "a", "removed"), ("f", 4, "x", "added"),
+    ]
+
+
+def test_version_diffs_turn_one_version_into_the_next(spark):
+    rng = random.Random(8)
+    texts = ["\n".join(rng.choice(["a", "b", "c", "", "--", "++x"]) for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "modified int, text string").withColumn("path", F.lit("f"))
+    by = {}
+    for r in J.version_diff(df, ["path"]).orderBy("modified", "at").collect():
+        by.setdefault(r["modified"], []).append((r["line"], r["change"]))
+    lines_of = lambda t: t[:-1].split("\n") if t.endswith("\n") else t.split("\n") if t else []
+    for i in range(1, len(texts)):
+        old, new = lines_of(texts[i - 1]), lines_of(texts[i])
+        gone, came = Counter(x for x, c in by.get(i, []) if c == "removed"), Counter(x for x, c in by.get(i, []) if c == "added")
+        assert Counter(old) - gone + came == Counter(new)
+        kept = list((Counter(old) - gone).elements())
+        assert not gone - Counter(old) and len(kept) + came.total() == len(new)
+
+
+def test_requests_of_a_hot_key_in_blocks(spark):
+    """One key with nearly all rows, in few and in many blocks: as a stack pairs them."""
+    rng = random.Random(9)
+    runs = [rng.random() < p for p in (0.5, 0.9, 0.1, 0.5, 1, 0, 0.3, 0.7) for _ in range(150)]
+    data = [(None if i % 50 == 0 else "cold" if i % 11 == 0 else "hot", i, q) for i, q in enumerate(runs)]
+    df = spark.createDataFrame(data, "k string, i int, is_request boolean").repartition(5)
+    want, open_ = [], {}
+    for k, i, q in data:
+        if q:
+            open_.setdefault(k, []).append(i)
+        elif open_.get(k):
+            want.append((k, i, open_[k].pop()))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "3", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            assert rows(J.pair_requests(df, ["k"], ["i"]), "k", "i", "request_i") == sorted(want, key=repr)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(want) > 300
+
+
+def test_public_suffix_rules(spark):
+    rules = C.load_suffixes("// comment\ncom\nck\n*.ck\n!www.ck\njp\n*.kobe.jp\n!city.kobe.jp\nco.uk\nuk // tail\n")
+    cases = {
+        "http://www.ck/": "www.ck", "http://a.www.ck/": "www.ck", "http://b.ck/": None, "http://a.b.ck/": "a.b.ck", "http://x.a.b.ck/": "a.b.ck", "http://com/": None, "http://X.COM.": "x.com",
+        "http://c.kobe.jp/": None, "http://b.c.kobe.jp/": "b.c.kobe.jp", "http://city.kobe.jp/": "city.kobe.jp", "http://a.city.kobe.jp/": "city.kobe.jp", "http://a.jp": "a.jp", "http://a.co.uk": "a.co.uk",
+        "http://co.uk/": None, "http://10.0.0.1/x": None, "http://a.b.unknown/": "b.unknown", "no url": None, None: None,
+    }
+    df = spark.createDataFrame([(u,) for u in cases], "u string")
+    assert {r["u"]: r["d"] for r in df.select("u", C.registrable_domain("u", rules).alias("d")).collect()} == cases
+    many = [f"s{i}.test" for i in range(9000)]
+    assert df.limit(1).select(C.registrable_domain(F.lit("http://a.b.s8999.test"), many)).first()[0] == "b.s8999.test"
 
 
 def test_deep_trees(spark):
