@@ -21,6 +21,7 @@ from evidence_spark.operators import timeline as T
 from evidence_spark.plans.registry import query, table
 from evidence_spark.plans.rule_queries import ALERTS, RULES
 from evidence_spark.sources import readers as S
+from evidence_spark.sources import store as B
 from evidence_spark.sources import writers as K
 from evidence_spark.streaming import ingest as W
 
@@ -143,6 +144,23 @@ def _(s, d):
     return s.read.parquet(path).groupBy("data_type").agg(F.count("*").alias("n")).withColumns({k: F.lit(seen[k]).cast("long") for k in ("pushed", "failed")})
 
 
+@query("q16_delete_in_store", "SELECT data_type, count(*) AS n, CAST(1 AS BIGINT) AS written FROM {REC} WHERE NOT (data_type = 'error' AND machine = 'M3') GROUP BY 1")
+def _(s, d):
+    path = place(s, "case")
+    K.write_records(event_records(s, d), path)
+    written = B.delete_in_store(s, path, (F.col("machine") == "M3") & (F.col("data_type") == "error"))
+    return B.read_store(s, path).groupBy("data_type").agg(F.count("*").alias("n")).withColumn("written", F.lit(written).cast("long"))
+
+
+@query("q17_update_in_store", "SELECT record_id, CASE WHEN event_id % 500 = 7 THEN 'moved' ELSE machine END AS machine FROM {REC}")
+def _(s, d):
+    path = place(s, "case")
+    K.write_records(event_records(s, d), path)
+    new = table(s, d, "events").where("event_id % 500 = 7").select(text("event_id").alias("record_id"), F.lit("moved").alias("value"))
+    B.update_in_store(s, path, new, "machine")
+    return B.read_store(s, path).select("record_id", "machine")
+
+
 @query("k2_write_jsonl", "SELECT record_id, machine, k FROM {REC}")
 def _(s, d):
     path = place(s, "jsonl")

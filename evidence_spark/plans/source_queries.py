@@ -176,6 +176,14 @@ def _(s, d):
     return W.drain(W.stream_correlate(a, b, 600_000)).select("machine", "id_a", "id_b")
 
 
+@query("w3_stream_rules", "SELECT a.machine, a.record_id AS s, b.record_id AS e, c.record_id AS v, '{\"props_k\":\"' || CAST(a.k AS VARCHAR) || '\"}' AS of_s, 'three in a row' AS description FROM {REC} a JOIN {REC} b ON a.machine = b.machine AND a.data_type = 'signup' AND b.data_type = 'error' JOIN {REC} c ON c.machine = a.machine AND c.data_type = 'view' WHERE epoch_ms(greatest(a.ts, b.ts, c.ts)) - epoch_ms(least(a.ts, b.ts, c.ts)) < 900000")
+def _(s, d):
+    rule = D.Rule("Triple", calls=["S", "E", "V"], within=900_000, description="three in a row")
+    private = {k: D.Rule(k, False, channel=t, include={"event_type": t}, returns=["props.k"]) for k, t in (("S", "signup"), ("E", "error"), ("V", "view"))}
+    out = W.drain(W.stream_correlate_rules(event_stream(s, d), rule, private))
+    return out.select("machine", *[F.col("record_ids")[i].alias(c) for i, c in enumerate("sev")], F.col("returned")["S"].alias("of_s"), "description")
+
+
 @query("u1_user_parser", "SELECT doc_id, length(text) AS n FROM documents")
 def _(s, d):
     U.register_parser("length", _length)

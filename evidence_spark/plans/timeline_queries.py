@@ -144,6 +144,17 @@ def _(s, d):
     return P.upsert_status(st.where("o_orderkey % 2 = 0"), st.where("o_orderkey % 2 = 1")).select(*P.KEY, "status")
 
 
+@query("f2_upsert_in_store", f"SELECT machine, file_path, parser_name, arg_max(status, start_time) AS status FROM {STATUS} GROUP BY 1, 2, 3")
+def _(s, d):
+    from evidence_spark.plans.io_queries import place
+    from evidence_spark.sources import store
+
+    st, path = status(s, d), place(s, "status")
+    store.create_status_store(P.upsert_status(st.where("o_orderkey % 2 = 0"), st.where("false")), path)
+    store.upsert_in_store(s, path, P.upsert_status(st.where("o_orderkey % 2 = 1"), st.where("false")))
+    return store.read_store(s, path, store.STATUS_KEYS).select(*P.KEY, "status")
+
+
 @query("f3_files_by_status", f"SELECT machine, file_path, parser_name, task_id FROM {STATUS} WHERE status = 'error'")
 def _(s, d):
     st = status(s, d).withColumn("file_size", F.lit(1).cast("long"))

@@ -8,6 +8,7 @@ from conftest import rows
 from evidence_spark.functions.records import variant
 from evidence_spark.operators import rules as D
 from evidence_spark.sources import readers as S
+from evidence_spark.sources import store as B
 from evidence_spark.sources import writers as K
 from evidence_spark.streaming import ingest as W
 
@@ -233,3 +234,87 @@ def test_receiver_blocks(spark):
     text = "  android.A:\n        1 com.x/.R\n        2 com.google.android.gms/.G\n        3 com.google.android.apps.m/.M\n\n        4 com.y/.R\n        android.B:\n        5 com.z/.R z\n  other\n        6 com.w/.R"
     got = rows(S.parse_receivers(lines(spark, text), ["android.A", "android.B"]), "activity", "id", "package_name", "receiver")
     assert got == [("android.A", "1", "com.x", "com.x/.R"), ("android.A", "3", "com.google.android.apps.m", "com.google.android.apps.m/.M"), ("android.B", "5", "com.z", "com.z/.R")]
+
+
+def files_of(path):
+    return {str(p.relative_to(path)): p.stat().st_mtime_ns for p in path.rglob("part-*.parquet")}
+
+
+def test_edits_write_touched_partitions_only(spark, tmp_path):
+    path = tmp_path / "case"
+    data = [(str(i), "c", f"M{i % 3}", ["01", "1", "a/b=c", None][i % 4], json.dumps({"n": i})) for i in range(24)]
+    df = spark.createDataFrame(data, "record_id string, case_id string, machine string, data_type string, data string")
+    K.write_records(df, str(path))
+    before = files_of(path)
+    assert B.delete_in_store(spark, str(path), (F.col("machine") == "M1") & (F.col("data_type") == "01")) == 1
+    left = B.read_store(spark, str(path))
+    assert rows(left, "record_id", "data_type") == sorted([(r[0], r[3]) for r in data if not (r[2] == "M1" and r[3] == "01")], key=repr)
+    after = files_of(path)
+    assert {k for k in before if "data_type=01" not in k} == {k for k in after if "data_type=01" not in k} and all(after[k] == before[k] for k in before if "data_type=01" not in k)
+    # the whole of a partition, the one without a type
+    assert B.delete_in_store(spark, str(path), F.col("data_type").isNull()) == 1
+    assert B.read_store(spark, str(path)).where("data_type is null").count() == 0
+    new = spark.createDataFrame([("2", "moved"), ("3", None), ("99", "none")], "record_id string, value string")
+    assert B.update_in_store(spark, str(path), new, "machine") == 1
+    got = {r["record_id"]: r["machine"] for r in B.read_store(spark, str(path)).collect()}
+    assert got["2"] == "moved" and got["6"] == "M0" and len(got) == 24 - 6 - 2
+    assert B.delete_in_store(spark, str(path), F.lit(False)) == 0 and not list(path.glob("_edits/*"))
+
+
+def test_an_edit_that_breaks_off_is_finished(spark, tmp_path, monkeypatch):
+    path = tmp_path / "case"
+    df = spark.createDataFrame([(str(i), "c", "M", "ab"[i % 2], "{}") for i in range(10)], "record_id string, case_id string, machine string, data_type string, data string")
+    K.write_records(df, str(path))
+    real = B._apply
+
+    def broken(*a):
+        raise OSError("lost")
+
+    monkeypatch.setattr(B, "_apply", broken)
+    try:
+        B.delete_in_store(spark, str(path), F.col("record_id") == "4")
+    except OSError:
+        pass
+    monkeypatch.setattr(B, "_apply", real)
+    import shutil
+
+    shutil.rmtree(path / "case_id=c" / "data_type=a")  # the worst moment: the old partition is gone, the new one not there
+    assert B.recover_store(spark, str(path)) == 1
+    assert rows(B.read_store(spark, str(path)), "record_id") == [(str(i),) for i in range(10) if i != 4]
+    assert B.recover_store(spark, str(path)) == 0
+
+
+def test_status_store(spark, tmp_path):
+    cols = "machine string, file_path string, parser_name string, status string, start_time int, message string, task_id string, disabled boolean"
+    old = spark.createDataFrame([(m, f, "p", "queued", 1, None, "t", False) for m in ("m1", "m2") for f in ("a", "b")], cols)
+    path = tmp_path / "status"
+    B.create_status_store(old, str(path))
+    before = files_of(path)
+    new = spark.createDataFrame([("m1", "a", "p", "done", 2, None, "t", False), ("m3", "x", "p", "queued", 1, None, "t", False)], cols)
+    assert B.upsert_in_store(spark, str(path), new) == 2
+    assert rows(B.read_store(spark, str(path), B.STATUS_KEYS), "machine", "file_path", "status") == [("m1", "a", "done"), ("m1", "b", "queued"), ("m2", "a", "queued"), ("m2", "b", "queued"), ("m3", "x", "queued")]
+    assert B.disable_in_store(spark, str(path), "m1", "b", "p", True) == 1
+    assert rows(B.read_store(spark, str(path), B.STATUS_KEYS).where("disabled"), "machine", "file_path") == [("m1", "b")]
+    assert all(t == before[k] for k, t in files_of(path).items() if "machine=m2" in k)
+
+
+def test_stream_of_three_rules_equals_batch(spark, tmp_path):
+    """Records in several files, in order of time: the stream finds the batch's sets and lets state go."""
+    src = tmp_path / "src"
+    src.mkdir()
+    record = lambda i, ms, t: json.dumps({"Data": json.dumps({"@timestamp": f"2024-01-01T{ms // 3600000:02d}:{ms // 60000 % 60:02d}:{ms // 1000 % 60:02d}.{ms % 1000:03d}", "t": t, "n": i}), "data_source": "s", "data_type": "x", "data_path": f"/{i}", "machine": "M"})
+    times = [i * 700 + (i * 37 % 11) * 50 for i in range(60)] + [3_600_000 * 2 + i * 700 for i in range(30)]
+    for n in range(3):
+        put(src, f"{n}.kjson", "\n".join(record(i, ms, "abc"[i % 3]) for i, ms in enumerate(times) if i // 30 == n))
+    private = {t: D.Rule(t, False, include={"t": t}, returns=["n"]) for t in "abc"}
+    rule = D.Rule("R", calls=["a", "b", "c"], within=1500, description="why", reference="where")
+    stream = W.read_stream(spark, str(src), "case", max_files=1)
+    q = W.stream_correlate_rules(stream, rule, private, late="1 minute").writeStream.format("memory").queryName("triples").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = rows(spark.table("triples"), "record_ids", "description", "reference", "returned")
+    records = spark.read.text(str(src)).select(F.from_json("value", W.KJSON).alias("r")).select("r.*")
+    records = records.select(F.sha2(F.concat_ws("\u0001", "machine", "data_type", "data_path", "Data"), 256).alias("record_id"), "machine", "data_type", F.col("Data").alias("data"))
+    want = rows(D.correlate(records, rule, private, keys=["machine"]), "record_ids", "description", "reference", "returned")
+    assert got == want and len(want) > 20
+    held = [sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in q.recentProgress]
+    assert held[-1] < max(held)
