@@ -85,21 +85,31 @@ def _bucket(value: str | int, n: int) -> int:
     return value % n if isinstance(value, int) else zlib.crc32(value.encode("utf-8", "surrogatepass")) % n
 
 
-def found_rules(df: DataFrame, rules: Sequence, ruleset: Mapping, result: Callable[[int], Column], channel: str = "data_type") -> DataFrame:
-    """``df``, which has ``v``, with ``_found``: arrays of the results of rules that may fire.
+def text(value: str) -> str:
+    """A string as a literal of SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    ``result(i)`` is the Column of rule ``i`` (null where it does not fire). A rule may
-    stand in several arrays, of which a record meets the one of its own value only.
+
+def found_rules(df: DataFrame, rules: Sequence, ruleset: Mapping, condition: Callable[[int], str | Column], channel: str = "data_type") -> DataFrame:
+    """``df``, which has ``v``, with ``_found``: the sorted numbers of the rules that match.
+
+    ``condition(i)`` is the condition of rule ``i``, as SQL text or, where it has none, as a
+    Column that is tried on each record. Text is put together into one expression for each
+    field, so that hundreds of rules are planned quickly.
     """
     by: dict[tuple[str, str], list[tuple[int, frozenset]]] = defaultdict(list)
     always: list[int] = []
+    tests = [condition(i) for i in range(len(rules))]
     for i, rule in enumerate(rules):
-        need = anchor(rule, ruleset)
+        need = anchor(rule, ruleset) if isinstance(tests[i], str) else None
         if need is None:
             always.append(i)
         else:
             by[need[:2]].append((i, need[2]))
 
+    def numbers(own: Sequence[int]) -> str:
+        return f"array({', '.join(f'CASE WHEN {tests[i]} THEN {i} END' for i in own)})"
+
     groups: list[Column] = []
     columns: dict[str, Column] = {}
     parts: list[tuple[str, int, frozenset]] = []
@@ -118,12 +128,10 @@ def found_rules(df: DataFrame, rules: Sequence, ruleset: Mapping, result: Callab
         for i, found in own:
             for b in sorted({_bucket(x, n) for x in found}):
                 buckets[b].append(i)
-        place = F.pmod(F.col(name), F.lit(n)) if kind == "number" else F.pmod(F.crc32(F.encode(name, "UTF-8")), F.lit(n))
-        pick = None
-        for b, numbers in sorted(buckets.items()):
-            arr = F.array(*[result(i) for i in numbers])
-            pick = F.when(place == b, arr) if pick is None else pick.when(place == b, arr)
-        groups.append(F.when(F.col(name).isin(literals), pick))
+        place = f"pmod({name}, {n}L)" if kind == "number" else f"pmod(crc32(encode({name}, 'UTF-8')), {n}L)"
+        known = ", ".join(f"{x}L" if kind == "number" else text(x) for x in literals)
+        pick = " ".join(f"WHEN {b}L THEN {numbers(some)}" for b, some in sorted(buckets.items()))
+        groups.append(F.expr(f"CASE WHEN {name} IN ({known}) THEN CASE {place} {pick} END END"))
 
     out = df.withColumns(columns)
     if parts:
@@ -132,23 +140,22 @@ def found_rules(df: DataFrame, rules: Sequence, ruleset: Mapping, result: Callab
         literals = set().union(*(found for _, _, found in parts))
         if len(literals) <= FEW or sum(map(len, literals)) > AUTOMATON_CHARS:
             for path, i, found in parts:
-                test = F.lit(False)
-                for x in sorted(found):
-                    test = test | F.contains(paths[path], F.lit(x))
-                groups.append(F.when(test, F.array(result(i))))
+                test = " OR ".join(f"contains({paths[path]}, {text(x)})" for x in sorted(found))
+                groups.append(F.expr(f"CASE WHEN {test} THEN {numbers([i])} END"))
         else:
             n = min(len(parts), 2 * BUCKETS)
             buckets, pairs = defaultdict(list), set()
             for k, (_, i, found) in enumerate(parts):
                 buckets[k % n].append(i)
                 pairs |= {(x, k % n) for x in found}
-            text = F.concat_ws("\n", *paths.values())
-            out = out.withColumn("_b", contained(df.sparkSession, text, sorted(pairs), "int"))
+            out = out.withColumn("_b", contained(df.sparkSession, F.concat_ws("\n", *paths.values()), sorted(pairs), "int"))
             # a record that contains none of the literals is through after one test
-            some = F.array_compact(F.array(*[F.when(F.array_contains("_b", b), F.array(*[result(i) for i in own])) for b, own in sorted(buckets.items())]))
-            groups.append(F.when(F.size("_b") > 0, F.flatten(some)))
+            some = ", ".join(f"CASE WHEN array_contains(_b, {b}) THEN {numbers(own)} END" for b, own in sorted(buckets.items()))
+            groups.append(F.expr(f"CASE WHEN size(_b) > 0 THEN flatten(array_compact(array({some}))) END"))
         columns |= dict.fromkeys([*paths.values(), "_b"])
-    if always:
-        groups.append(F.array(*[result(i) for i in always]))
-    out = out.withColumn("_found", F.array_compact(F.array(*groups)))
-    return out.drop(*columns)
+    plain = [i for i in always if isinstance(tests[i], str)]
+    if plain:
+        groups.append(F.expr(numbers(plain)))
+    groups += [F.array(F.when(tests[i], F.lit(i))) for i in always if not isinstance(tests[i], str)]
+    found = F.array_sort(F.array_compact(F.flatten(F.array_compact(F.array(*groups))))) if groups else F.array().cast("array<int>")
+    return out.withColumn("_found", found).drop(*columns)

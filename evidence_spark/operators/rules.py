@@ -14,9 +14,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidence_spark.functions.records import get_path, variant
+from evidence_spark.functions.records import get_path, json_path, variant
 from evidence_spark.functions.storage import cut
-from evidence_spark.operators.rule_index import found_rules
+from evidence_spark.operators.rule_index import found_rules, text
 
 _META = re.compile(r"[*?\[]")
 #: Channels of rules up to which a record's channel is tested before its text is parsed.
@@ -260,16 +260,6 @@ def _named(rules: Sequence[Rule]) -> dict[str, Rule]:
     return {r.name: r for r in rules}
 
 
-_DETAIL = ("rule_name", "score", "description", "reference", "matched", "returned")
-
-
-def _detail(number: int, rule: Rule, variables: Mapping) -> Column:
-    return F.struct(
-        F.lit(number).alias("number"), F.lit(rule.name).alias("rule_name"), F.lit(rule.score).alias("score"), F.lit(rule.description).alias("description"), F.lit(rule.reference).alias("reference"),
-        matched_strings(rule, variables).alias("matched"), with_returns(rule).alias("returned"),
-    )
-
-
 def _parsed(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """``df`` with ``v``; where no rule's channel fits a record, it is not parsed."""
     if "v" in df.columns:
@@ -280,31 +270,140 @@ def _parsed(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return df.withColumn("v", F.when(_any([channel_clause(Rule("", channel=c)) for c in sorted(channels)]), variant("data")))
 
 
+def _glob_sql(x: str, pattern: str) -> str:
+    """The test of :func:`glob_match` as SQL text; null counts as no match."""
+    p = pattern.lower()
+    inner = p.strip("*")
+    if not p:
+        return "false"
+    if not _META.search(p):
+        return f"lower({x}) = {text(p)}"
+    if inner and not _META.search(inner):
+        for form, call in ((f"*{inner}*", "contains"), (f"{inner}*", "startswith"), (f"*{inner}", "endswith")):
+            if p == form:
+                return f"{call}(lower({x}), {text(inner)})"
+    return f"(length({x}) > 0 AND {x} RLIKE {text(glob_regex(pattern))})"
+
+
+def _value_sql(x: str, pattern, variables: Mapping) -> str | None:
+    if isinstance(pattern, bool) or pattern is None:
+        return f"lower({x}) = {text(str(pattern).lower())}"
+    if isinstance(pattern, int):
+        return f"try_cast({x} AS BIGINT) = {pattern}L"
+    if pattern.startswith("$") and len(pattern) > 1:
+        known = variables.get(pattern[1:])
+        if isinstance(known, str):
+            return _glob_sql(x, f"*{known}*")
+        # another field of the record is compared by Columns
+        return None if known is None else f"lower({x}) IN ({', '.join(text(v.lower()) for v in known)})" if known else "false"
+    return _glob_sql(x, pattern)
+
+
+def condition_sql(rule: Rule, ruleset: Mapping[str, Rule] = {}, variables: Mapping = {}, lookup: str = "path") -> str | None:
+    """:func:`rule_condition` as SQL text over ``v``, ``data`` and ``data_type``; None where it needs Columns.
+
+    True where the rule matches, and else false or null.
+    """
+    field = lambda p: f"try_variant_get(v, {text(json_path(p))}, 'string')"
+    if not (rule.include or rule.calls or rule.modifiers):
+        return "false"
+    parts = [] if rule.channel == "*" else [_glob_sql("data_type", rule.channel)]
+    for kind, clauses in (("include", rule.include), ("exclude", rule.exclude)):
+        for path, want in clauses.items():
+            tests = [_value_sql(field(path), w, variables) for w in (want if isinstance(want, list) else [want])]
+            if None in tests:
+                return None
+            some = " OR ".join(tests) or "false"
+            if kind == "include":
+                parts.append(f"({some})")
+            else:
+                parts.append(f"NOT coalesce({some}, false)" + (f" AND {field(path)} IS NOT NULL" if isinstance(want, list) else ""))
+    for modifier in rule.modifiers:
+        left, op, right = parse_modifier(modifier)
+        if left == "search":
+            if op != "$rex" and right.startswith("$") and len(right) > 1:
+                return None
+            parts.append(f"data RLIKE {text(right)}" if op == "$rex" else _glob_sql("data", right))
+            continue
+        x = field(left) if lookup == "path" else f"try_variant_get(v, {text(f"$['{left}']")}, 'string')"
+        size = {"<": "<", ">": ">", "<=": "<=", ">=": ">=", "==": "="}
+        parts.append(f"(length({x}) > 0 AND {x} RLIKE {text(f'^{right}$')})" if op == "$rex" else f"length({x}) {size[op]} {int(right)}")
+    for name in rule.calls:
+        called = condition_sql(ruleset[name], ruleset, variables)
+        if called is None:
+            return None
+        parts.append(f"({called})")
+    return " AND ".join(parts) or "true"
+
+
+def _found(df: DataFrame, chosen: Sequence[Rule], by_name: Mapping[str, Rule], variables: Mapping, lookup: str) -> DataFrame:
+    """``df`` with ``v`` and ``_found``, the numbers of the matching rules in file order."""
+
+    def condition(i: int) -> str | Column:
+        own = condition_sql(chosen[i], by_name, variables, lookup)
+        return rule_condition(chosen[i], by_name, variables, lookup) if own is None else own
+
+    return found_rules(_parsed(df, chosen), chosen, by_name, condition)
+
+
+def _detail_sql(chosen: Sequence[Rule], n: str) -> str:
+    """The struct of details of rule number ``n`` as SQL text.
+
+    As all include keys of a rule that matches have matched, the matched strings are their values.
+    """
+    field = lambda p: f"try_variant_get(v, {text(json_path(p))}, 'string')"
+    of = lambda values: f"element_at(array({', '.join(values)}), {n} + 1)"
+
+    def cases(of_rule, value, otherwise: str) -> str:
+        groups: dict[tuple, list[int]] = {}
+        for i, r in enumerate(chosen):
+            groups.setdefault(tuple(of_rule(r)), []).append(i)
+        whens = " ".join(f"WHEN {n} IN ({', '.join(map(str, own))}) THEN {value(key)}" for key, own in groups.items() if key)
+        return f"CASE {whens} ELSE {otherwise} END" if whens else otherwise
+
+    matched = cases(lambda r: r.include, lambda key: f"array_compact(array({', '.join(map(field, key))}))", "cast(array() AS array<string>)")
+    returned = cases(lambda r: r.returns, lambda key: "to_json(named_struct(" + ", ".join(f"{text(p.replace('.', '_'))}, {field(p)}" for p in key) + "))", "data")
+    return (
+        f"named_struct('rule_name', {of([text(r.name) for r in chosen])}, 'score', {of([str(int(r.score)) for r in chosen])}, 'description', {of([text(r.description) for r in chosen])}, "
+        f"'reference', {of([text(r.reference) for r in chosen])}, 'matched', {matched}, 'returned', {returned})"
+    )
+
+
+_NO_DETAIL = "struct<rule_name:string,score:int,description:string,reference:string,matched:array<string>,returned:string>"
+
+
+def _chosen(rules: Sequence[Rule], public_only: bool) -> list[Rule]:
+    return [r for r in rules if r.within is None and (r.public or not public_only)]
+
+
 def matches(df: DataFrame, rules: Sequence[Rule], variables: Mapping = {}, lookup: str = "path", public_only: bool = True) -> DataFrame:
     """``df`` with ``matches``: an array of details of its matching rules, in file order.
 
     An index over the rules finds those that may fire; only these are evaluated.
     """
-    by_name = _named(rules)
-    chosen = [r for r in rules if r.within is None and (r.public or not public_only)]
+    chosen = _chosen(rules, public_only)
     if not chosen:
-        return _parsed(df, rules).withColumn("matches", F.array().cast("array<struct<rule_name:string,score:int,description:string,reference:string,matched:array<string>,returned:string>>"))
-    found = found_rules(_parsed(df, chosen), chosen, by_name, lambda i: F.when(rule_condition(chosen[i], by_name, variables, lookup), _detail(i, chosen[i], variables)))
-    every = F.array_compact(F.flatten("_found"))
-    ordered = F.transform(F.array_sort(every), lambda m: F.struct(*[m[n].alias(n) for n in _DETAIL]))
-    return found.withColumn("matches", ordered).drop("_found")
+        return _parsed(df, rules).withColumn("matches", F.array().cast(f"array<{_NO_DETAIL}>"))
+    return _found(df, chosen, _named(rules), variables, lookup).withColumn("matches", F.expr(f"transform(_found, n -> {_detail_sql(chosen, 'n')})")).drop("_found")
 
 
 def scan(df: DataFrame, rules: Sequence[Rule], variables: Mapping = {}, lookup: str = "path") -> DataFrame:
     """A row per record and matching public rule."""
-    out = matches(df, rules, variables, lookup)
-    return out.select("record_id", "case_id", "machine", get_path("v", "@timestamp").alias("ts"), F.explode("matches").alias("m")).select("record_id", "case_id", "machine", "ts", "m.*")
+    chosen = _chosen(rules, True)
+    first = ["record_id", "case_id", "machine", get_path("v", "@timestamp").alias("ts")]
+    if not chosen:
+        return matches(df, rules).select(*first, F.explode("matches").alias("m")).select("record_id", "case_id", "machine", "ts", "m.*")
+    hits = _found(df, chosen, _named(rules), variables, lookup).withColumn("_n", F.explode("_found"))
+    return hits.select(*first, F.expr(_detail_sql(chosen, "_n")).alias("m")).select("record_id", "case_id", "machine", "ts", "m.*")
 
 
 def annotate(df: DataFrame, rules: Sequence[Rule], variables: Mapping = {}, lookup: str = "path") -> DataFrame:
     """One row per record with the details of its last matching rule, private ones included."""
-    out = matches(df, rules, variables, lookup, public_only=False)
-    return out.withColumn("rule_match", F.try_element_at("matches", F.lit(-1))).drop("matches", "v")
+    chosen = _chosen(rules, False)
+    if not chosen:
+        return _parsed(df, rules).withColumn("rule_match", F.lit(None).cast(_NO_DETAIL)).drop("v")
+    out = _found(df, chosen, _named(rules), variables, lookup).withColumn("_n", F.try_element_at("_found", F.lit(-1)))
+    return out.withColumn("rule_match", F.expr(f"CASE WHEN _n IS NOT NULL THEN {_detail_sql(chosen, '_n')} END")).drop("_found", "_n", "v")
 
 
 def correlate(df: DataFrame, rule: Rule, ruleset: Mapping[str, Rule], within_ms: int | None = None, keys: Sequence[str] = (), variables: Mapping = {}) -> DataFrame:
