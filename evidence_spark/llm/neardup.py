@@ -1,7 +1,7 @@
 """Near-duplicate vectors by sorted projection passes.
 
-Each pass draws random hyperplanes, writes the signs of a vector's projections one after
-the other, and orders all vectors by that word. Vectors of a small angle often share long
+Each pass draws random hyperplanes through the mean of all vectors, writes the signs of a
+vector's projections one after the other, and orders all vectors by that word. Vectors of a small angle often share long
 prefixes and so stand close together: each is compared, by exact cosine, with the
 neighbours in a bounded window. Passes with other hyperplanes find what one pass misses,
 and the verified pairs of all passes are united.
@@ -14,7 +14,7 @@ fill a window nor a block.
 
 A window shows only a part of a large group of near copies. Vectors for which the passes
 find many links are therefore compared with every vector of their component, block against
-block, which counts their links in it exactly.
+block, which counts their links in it exactly; the other end of such a link counts it, too.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ THRESHOLD = 0.9
 PASSES = 12
 #: Share of the pairs just at the threshold that the passes should meet.
 RECALL = 0.997
+#: Passes at most: a mean cosine just below the threshold would ask for more.
+MOST_PASSES = 192
 PASSES_AT_ONCE = 4
 BITS = 62
 WINDOW = 256
@@ -46,16 +48,41 @@ LIST_VALUES = 2_000_000
 GROUP_ROWS = 4096
 
 
-def passes_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW) -> int:
+def passes_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW, mean: float = 0.0) -> int:
     """Passes that meet :data:`RECALL` of the pairs at the threshold among ``n`` vectors.
 
     A pass shows a pair if the sign words agree to the depth at which about a window of
-    vectors shares a prefix; each sign agrees with probability 1 - angle / pi.
+    vectors shares a prefix; each sign agrees with probability 1 - angle / pi. ``mean`` is
+    the squared length of the mean of the unit vectors, which is their mean cosine: seen
+    from the mean, a pair of vectors of a narrow cone is further apart. Where the mean cosine
+    itself suffices, most vectors have many links and are compared exactly.
     """
+    if mean >= threshold:
+        return PASSES
     depth = math.log2(max(1.0, n / window))
-    agree = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    seen = (threshold - mean) / (1 - mean)
+    agree = 1 - math.acos(max(-1.0, min(1.0, seen))) / math.pi
     meet = max(1e-6, agree**depth)
-    return PASSES if meet >= 1 else max(PASSES, math.ceil(math.log(1 - RECALL) / math.log(1 - meet)))
+    return PASSES if meet >= 1 else min(MOST_PASSES, max(PASSES, math.ceil(math.log(1 - RECALL) / math.log(1 - meet))))
+
+
+def mean_vectors(classes: DataFrame) -> dict[int, np.ndarray]:
+    """The mean unit vector of each vector length."""
+
+    def sums(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for _, x in unit_groups(b.column(0)):
+                own = np.append(x.sum(axis=0), len(x))
+                total[x.shape[1]] = total.get(x.shape[1], 0) + own
+        for d, own in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(d + 1, d)), pa.array(np.arange(d + 1)), pa.array(own)], ["d", "i", "x"])
+
+    got = classes.select("embedding").mapInArrow(sums, "d long, i long, x double").groupBy("d", "i").agg(F.sum("x").alias("x")).collect()
+    out: dict[int, np.ndarray] = {}
+    for r in got:  # a number for each dimension and length
+        out.setdefault(r["d"], np.zeros(r["d"] + 1))[r["i"]] = r["x"]
+    return {d: x[:-1] / x[-1] for d, x in out.items()}
 
 
 def tie_order(x: np.ndarray, p: int) -> np.ndarray:
@@ -144,14 +171,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
         .agg(F.min_by("embedding", "vec_id").alias("embedding"), F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     )
     total = classes.count()
-    passes = passes or passes_for(total, threshold, window)
+    means = mean_vectors(classes)
+    passes = passes or max((passes_for(total, threshold, window, float(m @ m)) for m in means.values()), default=PASSES)
     blocks = max(1, -(-total // block_rows))
     share = min(1.0, SAMPLE_KEYS / max(total, 1))
 
     def keys(batches):
         for b in batches:
             for _, x in unit_groups(b.column(0)):
-                k = sign_keys(x, range(passes))
+                k = sign_keys(x - means[x.shape[1]], range(passes))
                 yield pa.RecordBatch.from_arrays([pa.array(list(k.T), pa.list_(pa.int64()))], ["k"])
 
     sample = classes.where(F.pmod(F.xxhash64("rep", F.lit(6)), F.lit(1_000_000)) < int(share * 1_000_000)).select("embedding")
@@ -163,7 +191,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
             for b in batches:
                 for at, x in unit_groups(b.column(1)):
                     rows = b.take(pa.array(at))
-                    for p, k in zip(part, sign_keys(x, part), strict=True):
+                    for p, k in zip(part, sign_keys(x - means[x.shape[1]], part), strict=True):
                         block = p * blocks + deal_runs(k, rows.column(0).to_numpy(), cuts[p], p)
                         yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(block), pa.array(k)], ["rep", "embedding", "n", "block", "key"])
 
@@ -179,7 +207,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
             part = t.take(pa.array(np.flatnonzero(block == one)))
             rep, n, key = (part.column(c).to_numpy() for c in ("rep", "n", "key"))
             for at, x in unit_groups(part.column("embedding")):
-                order = np.lexsort((tie_order(x, int(one) // blocks), key[at]))
+                order = np.lexsort((tie_order(x - means[x.shape[1]], int(one) // blocks), key[at]))
                 at, x = at[order], x[order]
                 i, j = window_links(x, window, threshold)
                 if not len(i):
@@ -214,14 +242,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
                 near_classes.append(len(first))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(links, pa.int64()), pa.array(near_classes, pa.int64())], ["rep", "links", "near"])
 
-    small_batches(spark, max(1, LIST_VALUES // (2 * window * passes)))
-    links = cut(found.groupBy("rep").agg(*lists).mapInArrow(union, "rep long, links long, near long"))
-    small_batches(spark, 4000)
+    def linked(found: DataFrame) -> DataFrame:
+        small_batches(spark, max(1, LIST_VALUES // (2 * window * passes)))
+        out = cut(found.groupBy("rep").agg(*lists).mapInArrow(union, "rep long, links long, near long"))
+        small_batches(spark, 4000)
+        return out
+
+    links = linked(found.select("rep", "near", "times"))
     comp = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
-    exact = _whole_groups(classes, links, comp, threshold, window)
+    whole = _whole_groups(classes, links, comp, threshold, window)
     links = links.drop("near")
-    if exact is not None:
-        links = links.join(exact, "rep", "left").select("rep", F.coalesce("exact", "links").alias("links"))
+    if whole is not None:
+        exact, back = whole
+        # a vector that is not crowded has the links of its windows and those that crowded ones have to it
+        one_end = back.select("rep").distinct()
+        more = linked(found.select("rep", "near", "times").join(one_end, "rep", "left_semi").unionByName(back)).drop("near")
+        links = links.join(more.withColumnRenamed("links", "more"), "rep", "left").join(exact, "rep", "left").select("rep", F.coalesce("exact", "more", "links").alias("links"))
     per = classes.select("h1", "h2", "rep", "n").join(links, "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     per = per.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     out = ided.drop("embedding").join(per, ["h1", "h2"], "left")
@@ -229,8 +265,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _whole_groups(classes: DataFrame, links: DataFrame, comp: DataFrame, threshold: float, window: int) -> DataFrame | None:
-    """``rep, exact``: links within their component of the vectors whose windows are crowded.
+def _whole_groups(classes: DataFrame, links: DataFrame, comp: DataFrame, threshold: float, window: int) -> tuple[DataFrame, DataFrame] | None:
+    """``rep, exact``: links within their component of the vectors whose windows are crowded;
+    and ``rep, near, times``: the crowded vectors that each other one links to.
 
     Each of them is compared with every vector of the component, a block of one against a
     block of the other in a group of rows, so no task holds more than two blocks at once.
@@ -242,25 +279,35 @@ def _whole_groups(classes: DataFrame, links: DataFrame, comp: DataFrame, thresho
     tasks = size.agg(F.sum(F.col("ms").cast("long") * F.col("qs"))).first()[0]
     if not tasks:
         return None
-    row = row.join(size, "component").join(classes.select("rep", "embedding", "n"), "rep").withColumn("h", F.xxhash64("rep"))
+    row = row.join(size, "component").join(classes.select("rep", "embedding", "n"), "rep").withColumns({"h": F.xxhash64("rep"), "crowded": F.coalesce("crowded", F.lit(False))})
     ms, qs = F.sequence(F.lit(0), F.col("ms") - 1), F.sequence(F.lit(0), F.col("qs") - 1)
     one = row.where("crowded").withColumns({"side": F.lit(0), "u": F.pmod("h", "qs").cast("int")}).withColumn("v", F.explode(ms))
-    other = row.withColumns({"side": F.lit(1), "v": F.pmod("h", "ms").cast("int")}).withColumn("u", F.explode(qs))
+    other = row.withColumns({"side": F.when(F.col("crowded"), 1).otherwise(2), "v": F.pmod("h", "ms").cast("int")}).withColumn("u", F.explode(qs))
     both = one.unionByName(other).select("component", "u", "v", "side", "rep", "embedding", "n").repartition(min(int(tasks), 20_000), "component", "u", "v")
 
     def across(t: pa.Table) -> pa.Table:
         side, rep, n = (t.column(c).to_numpy() for c in ("side", "rep", "n"))
-        ids, count = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        ids, count, ends, near, times = ([np.empty(0, np.int64)] for _ in range(5))
         for at, x in unit_groups(t.column("embedding")):
-            a, b = side[at] == 0, side[at] == 1
-            own, near, times = rep[at][a], rep[at][b], n[at][b]
+            a, b = side[at] == 0, side[at] > 0
+            own, to, weight, plain = rep[at][a], rep[at][b], n[at][b], side[at][b] == 2
             y, xa = x[b].T, x[a]
             for s in range(0, len(xa), CHUNK):
                 hit = xa[s : s + CHUNK] @ y >= threshold
-                hit &= own[s : s + CHUNK, None] != near[None, :]
+                hit &= own[s : s + CHUNK, None] != to[None, :]
                 ids.append(own[s : s + CHUNK])
-                count.append(hit @ times)
-        return pa.table({"rep": np.concatenate(ids), "exact": np.concatenate(count)})
-
-    got = both.groupBy("component", "u", "v").applyInArrow(across, "rep long, exact long")
-    return cut(got.groupBy("rep").agg(F.sum("exact").alias("exact")))
+                count.append(hit @ weight)
+                i, j = np.nonzero(hit[:, plain])
+                ends.append(to[plain][j])
+                near.append(own[s : s + CHUNK][i])
+                times.append(n[at][a][s : s + CHUNK][i])
+        ids, count, ends, near, times = map(np.concatenate, (ids, count, ends, near, times))
+        by = np.argsort(ends, kind="stable")
+        back, first = np.unique(ends[by], return_index=True)
+        offsets = pa.array(np.append(np.zeros(len(ids) + 1), np.append(first[1:], len(ends)) if len(back) else []).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(v[by])) for v in (near, times)]
+        return pa.table({"rep": np.append(ids, back), "exact": pa.array([*count.tolist(), *[None] * len(back)], pa.int64()), "near": lists[0], "times": lists[1]})
+
+    got = cut(both.groupBy("component", "u", "v").applyInArrow(across, "rep long, exact long, near array<long>, times array<long>"))
+    exact = cut(got.where("exact is not null").groupBy("rep").agg(F.sum("exact").alias("exact")))
+    return exact, got.where("exact is null").select("rep", "near", "times")

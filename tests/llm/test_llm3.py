@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import DATA, rows
-from evidence_spark.llm import lexical, phrases, tiers
+from evidence_spark.llm import lexical, neardup, phrases, tiers
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 LONG = " ".join(f"w{i * i % 977}" for i in range(6000))
@@ -246,3 +246,52 @@ def test_search_stops_early():
 def test_document_lengths_beyond_64_bits():
     n = np.array([10**9, 5])
     assert lexical.document_lengths(n, 10**12, 10**15).tolist() == [25 + 75 * 10**21 // 10**15, 25]
+
+
+# -- near duplicates of vectors in a cone ------------------------------------------------
+
+
+def cone(n, mean, pairs, rng, d=64):
+    """Unit vectors of a mean cosine, with pairs planted at cosine 0.905."""
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    r = unit(rng.standard_normal((n, d - 1)))
+    i, j = rng.choice(n // 2, pairs, replace=False), n // 2 + np.arange(pairs)
+    seen = (0.905 - mean) / (1 - mean)
+    other = rng.standard_normal((pairs, d - 1))
+    other = unit(other - (other * r[i]).sum(1, keepdims=True) * r[i])
+    r[j] = seen * r[i] + math.sqrt(1 - seen * seen) * other
+    return np.concatenate((np.full((n, 1), math.sqrt(mean)), math.sqrt(1 - mean) * r), axis=1), i, j
+
+
+@pytest.mark.parametrize("mean", [0, 0.5, 0.7, 0.8])
+def test_recall_in_cones(mean):
+    n = 50_000
+    x, i, j = cone(n, mean, 1500, np.random.default_rng(1))
+    m = x.mean(0)
+    met = np.zeros(len(i), bool)
+    blocks = -(-n // neardup.BLOCK_ROWS)
+    for p in range(neardup.passes_for(n, mean=float(m @ m))):
+        k = neardup.sign_keys(x - m, range(p, p + 1))[0]
+        place = np.empty(n, np.int64)
+        place[np.argsort(k, kind="stable")] = np.arange(n)
+        block = np.searchsorted(np.quantile(k, np.arange(1, blocks) / blocks, method="nearest"), k, side="right")
+        met |= (np.abs(place[i] - place[j]) <= neardup.WINDOW) & (block[i] == block[j])
+    assert met.mean() > 0.99
+
+
+@pytest.mark.parametrize("mean", [0.5, 0.8])
+def test_links_of_a_cone_have_two_ends(spark, mean):
+    """Pairs, loose chains and a crowded group in a cone: nearly all links, and each counted twice."""
+    rng = np.random.default_rng(3)
+    n = 6000
+    x, _, _ = cone(n, mean, 400, rng)
+    centre = x[0]
+    group = centre + rng.standard_normal((500, 64)) * np.linspace(0.01, 0.06, 500)[:, None]
+    x = np.concatenate((x, group / np.linalg.norm(group, axis=1, keepdims=True)))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in neardup.near_duplicates(df).collect()}
+    hit = x @ x.T >= 0.9
+    np.fill_diagonal(hit, False)
+    want = hit.sum(1)
+    assert sum(got.values()) % 2 == 0
+    assert all(got[k] <= want[k] for k in got) and sum(got.values()) >= 0.99 * want.sum()
