@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,22 +41,34 @@ def route_files(files: DataFrame, parsers: DataFrame) -> DataFrame:
 
     ``files`` has path and content (its first bytes); ``parsers`` has parser_name,
     categorization_type (extension, regex, file_name, startswith, magic_number) and
-    categorization_values (separated by commas). Rules are broadcast after they were
-    counted; so many that they are not are compared without that hint.
+    categorization_values (separated by commas). Names, extensions, starts and magic numbers
+    are joined by equality: a file has a key for each length that such rules have. Only
+    regular expressions are tried one by one.
     """
     base = F.substring_index(F.regexp_replace("path", r"\\", "/"), "/", -1)
-    rules = parsers.select("parser_name", "categorization_type", F.explode(F.split("categorization_values", ",")).alias("_v")).withColumn("_v", F.trim("_v")).where("_v <> ''")
-    kind, v = F.col("categorization_type"), F.col("_v")
-    hit = (
-        F.when(kind == "extension", F.endswith(base, v))
-        .when(kind == "regex", F.regexp(base, F.concat(F.lit("^"), v, F.lit("$"))))
-        .when(kind == "file_name", base == v)
-        .when(kind == "startswith", F.startswith(base, v))
-        .when(kind == "magic_number", F.startswith(F.lower(F.hex(F.substring("content", 1, 64))), F.lower(F.replace(v, F.lit(" "), F.lit("")))))
-        .otherwise(F.lit(False))
-    )
-    few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
-    return files.join(F.broadcast(rules) if few else rules, hit).select("path", "parser_name").distinct()
+    rules = parsers.select("parser_name", F.col("categorization_type").alias("_kind"), F.explode(F.transform(F.split("categorization_values", ","), lambda x: F.trim(x))).alias("_v")).where("_v <> ''")
+    magic = F.lower(F.replace("_v", F.lit(" "), F.lit("")))
+    keyed = rules.where("_kind in ('extension', 'file_name', 'startswith', 'magic_number')").withColumn("_v", F.when(F.col("_kind") == "magic_number", magic).otherwise(F.col("_v")))
+    lengths = {r[0]: sorted(r[1]) for r in keyed.groupBy("_kind").agg(F.collect_set(F.length("_v"))).collect()}  # as many as the longest value has characters
+    hexed = F.lower(F.hex(F.substring("content", 1, (max(lengths.get("magic_number", [0])) + 1) // 2)))
+
+    def keys(kind: str) -> Column:
+        text = hexed if kind == "magic_number" else base
+        part = (lambda n: F.substring(text, F.length(text) - n + 1, n)) if kind == "extension" else (lambda n: F.substring(text, F.lit(1), n))
+        each = F.array(base) if kind == "file_name" else F.transform(F.filter(F.array(*[F.lit(n) for n in lengths[kind]]), lambda n: n <= F.length(text)), part)
+        return F.transform(each, lambda k: F.struct(F.lit(kind).alias("_kind"), k.alias("_v")))
+
+    few = lambda df: F.broadcast(df) if df.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else df
+    out = []
+    if lengths:
+        every = F.concat(*[F.coalesce(keys(k), F.array().cast("array<struct<_kind:string,_v:string>>")) for k in sorted(lengths)])
+        out.append(files.select("path", F.explode(every).alias("_k")).select("path", "_k.*").join(few(keyed), ["_kind", "_v"]))
+    regex = rules.where("_kind = 'regex'")
+    if not regex.isEmpty():
+        out.append(files.select("path").join(few(regex), F.regexp(base, F.concat(F.lit("^"), F.col("_v"), F.lit("$")))))
+    if not out:
+        return files.select("path", F.lit("").alias("parser_name")).where("false")
+    return reduce(DataFrame.unionByName, [x.select("path", "parser_name") for x in out]).distinct()
 
 
 def read_kjson(spark: SparkSession, path: str) -> DataFrame:

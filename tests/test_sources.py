@@ -28,6 +28,28 @@ def test_route(spark):
     assert rows(S.route_files(files, parsers)) == [("/a/$MFT", "name"), ("/a/x.evtx", "ext"), ("/z/log_1.txt", "rex"), ("/z/log_1.txt", "start"), ("C:\\b\\ntuser.dat", "magic")]
 
 
+def test_routes_by_many_rules(spark, monkeypatch):
+    """Rules of each kind, of many lengths: the pairs of plain comparisons, with and without broadcasts."""
+    import re as R
+
+    names = [f"{a}{i}.{e}" for i, (a, e) in enumerate((a, e) for a in ("log_", "Log", "x") for e in ("evtx", "txt", "tar.gz", ""))]
+    files = [(f"/d/{n}" if i % 2 else f"C:\\d\\{n}", bytes([i, 17 * i % 256, 3])) for i, n in enumerate(names)] + [("/d/none", None), ("", b"")]
+    rules = [("e", "extension", ".evtx,gz,4.txt, x"), ("n", "file_name", f"{names[0]},{names[5]}"), ("s", "startswith", "log,Log1,x"), ("m", "magic_number", "00,01 11 03,0222,030303030303"), ("r", "regex", r"[a-z]+_\d\..*,x.*"), ("bad", "other", "x"), ("none", "extension", " , ")]
+
+    def fits(path, content, kind, v):
+        base = path.replace("\\", "/").rsplit("/", 1)[-1]
+        v = v.strip()
+        tests = {"extension": base.endswith(v), "file_name": base == v, "startswith": base.startswith(v), "regex": kind == "regex" and R.fullmatch(v, base), "magic_number": content is not None and content.hex().startswith(v.replace(" ", "").lower())}
+        return bool(v) and bool(tests.get(kind))
+
+    want = sorted({(p, name) for p, c in files for name, kind, values in rules for v in values.split(",") if fits(p, c, kind, v)})
+    df, parsers = spark.createDataFrame(files, "path string, content binary"), spark.createDataFrame(rules, "parser_name string, categorization_type string, categorization_values string")
+    for most in (10_000, 0):
+        monkeypatch.setattr(S, "BROADCAST_RULES", most)
+        assert sorted(tuple(r) for r in S.route_files(df, parsers).collect()) == want
+    assert len(want) > 12 and S.route_files(df, parsers.limit(0)).count() == 0
+
+
 def test_kjson_and_jsonl(spark, tmp_path):
     p = put(tmp_path, "a.kjson", '{"Data":{"@timestamp":"t","n":1},"data_source":"s","data_type":"d","data_path":"/p","machine":"M"}\nnot json\n\n[1]\n')
     out = S.read_kjson(spark, p)
