@@ -242,18 +242,22 @@ def read_line_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def normalize_mft(lines: DataFrame, columns: Sequence[str], col: str = "line") -> DataFrame:
-    """Rows of a file-table CSV (S13): the last column keeps its commas, short rows go."""
+    """Rows of a file-table CSV (S13): the last column keeps its commas, short rows go.
+
+    The six dates of the table get ``T`` for a space, and the unknown time where they are
+    empty or stand for no record; no other column is changed, but for slashes in FullPath.
+    """
     n = len(columns)
     cells = F.split(F.col(col), ",", n)
     names = [c.replace("StandardInfo", "SI").replace("FileName", "FN") for c in columns]
     out = lines.where(F.size(cells) == n)
-    dates = [c for c in names if c.startswith(("SI", "FN")) and c not in ("SI", "FN")]
+    dates = [f"{a}{b}" for a in ("SI", "FN") for b in ("LastModified", "LastAccess", "Created")]
     made = {}
     for i, c in enumerate(names):
         v = cells[i]
         if c in dates:
             v = F.when(v.isin("", "NoFNRecord"), SENTINEL).otherwise(F.replace(v, F.lit(" "), F.lit("T")))
-        made[c] = F.replace(v, F.lit("/"), F.lit("\\")) if i == n - 1 else v
+        made[c] = F.replace(v, F.lit("/"), F.lit("\\")) if c == "FullPath" else v
     out = out.select(*[c for c in lines.columns if c != col], *[v.alias(k) for k, v in made.items()])
     return out.withColumn("@timestamp", F.col("FNCreated") if "FNCreated" in names else F.lit(SENTINEL))
 

@@ -97,6 +97,11 @@ def test_mft(spark):
     assert out.count() == 1 and (r["SICreated"], r["FNCreated"], r["FullPath"], r["@timestamp"]) == ("2024-01-01T00:00:00", "1700-01-01T00:00:00", "\\a\\b,c", "1700-01-01T00:00:00")
 
 
+def test_mft_changes_its_own_columns_only(spark):
+    out = S.normalize_mft(lines(spark, "a b/c,,2024-01-01 00:00:00,x y,/p/q,r"), ["SIFlags", "StandardInfoLastAccess", "FileNameCreated", "FNName", "FullPath"]).first()
+    assert (out["SIFlags"], out["SILastAccess"], out["FNCreated"], out["FNName"], out["FullPath"]) == ("a b/c", "1700-01-01T00:00:00", "2024-01-01T00:00:00", "x y", "\\p\\q,r")
+
+
 def test_flows(spark):
     df = spark.createDataFrame([(1, 2, 1500, 2500), (1, 2, None, None)], "first_seen long, last_seen long, first_seen_ms long, last_seen_ms long")
     assert rows(S.normalize_flows(df), "@timestamp") == [("1970-01-01T00:00:01.000",), ("1970-01-01T00:00:01.500",)]
