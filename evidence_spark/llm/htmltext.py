@@ -4,7 +4,9 @@ Tags open and close elements on a stack, with the end tags that HTML implies; wh
 invisible (head matter, scripts, templates, hidden elements) is passed over. Text is laid
 out as it would be read: blocks start lines, paragraphs and headings are set apart by an
 empty line, list items carry marks and indents, preformatted text keeps its spaces, and
-the cells of a table stand in aligned columns.
+the cells of a table stand in aligned columns, also where they span columns or rows or have
+several lines. A page's own style rules of single tags, classes and ids can hide elements;
+invisible elements may hold visible ones.
 """
 
 from __future__ import annotations
@@ -22,9 +24,9 @@ from evidence_spark.llm.common import small_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"))
-HIDDEN = frozenset("head script style template noscript iframe object svg math audio video canvas datalist noembed noframes select textarea title".split())
+HIDDEN = frozenset("head script style template noscript iframe object svg math audio video canvas datalist noembed noframes title".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr".split())
-BLOCK = APART | frozenset("html body div article section nav header footer main aside address form fieldset li dt dd tr caption figcaption details summary center".split())
+BLOCK = APART | frozenset("html body div article section nav header footer main aside address form fieldset li dt dd tr caption figcaption details summary center dialog".split())
 #: A start tag closes these open elements, up to the boundary elements.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol"}),
@@ -49,7 +51,15 @@ MAX_INDENT, MAX_ALIGN = 40, 200
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)", re.S)
 _STOP = re.compile(r"[\"'>]")
 _ATTR = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
-_GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_GONE = re.compile(r"display\s*:\s*none", re.I)
+_SEEN = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_BRACE = re.compile(r"[{};]")
+_RULE = re.compile(r"([^{}]+)\{([^{}]*)(\}?)")
+_SELECTOR = re.compile(r"[.#]?[A-Za-z_][\w-]*")
+#: Columns and rows that a cell may span, and cells that reach into the rows below at once.
+#: Text beyond is aligned as if it spanned less; all of it stays.
+MAX_SPAN, MAX_TAKEN = 1000, 2000
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _NUMBER = re.compile(r"-?[0-9]{1,9}")
 
@@ -153,39 +163,101 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)}
 
 
-def _is_hidden(tag: str, raw: str) -> bool:
-    if tag in HIDDEN:
-        return True
-    if "hid" not in (low := raw.lower()) and "none" not in low and "collapse" not in low:
-        return False
-    a = _attributes(raw)
-    return "hidden" in a or bool(_GONE.search(a.get("style", ""))) or a.get("aria-hidden", "").lower() == "true"
+def _without_at_rules(css: str) -> str:
+    """A style sheet without the blocks of its at-rules, which hold in some cases only."""
+    out, begin = [], 0
+    while (at := css.find("@", begin)) >= 0:
+        out.append(css[begin:at])
+        depth, begin = 0, len(css)
+        for m in _BRACE.finditer(css, at):
+            depth += {"{": 1, "}": -1}.get(m[0], 0)
+            if depth <= 0 and m[0] != "{":
+                begin = m.end()
+                break
+    return "".join([*out, css[begin:]])
+
+
+def style_rules(css: str) -> dict[str, list[str]]:
+    """Declarations by selector, for selectors that are one tag, class or id; others and at-rules are passed over."""
+    out: dict[str, list[str]] = defaultdict(list)
+    css = _COMMENT.sub(" ", css)
+    for m in _RULE.finditer(_without_at_rules(css)):
+        head = m[1]
+        low = m[2].lower()
+        if "display" in low or "visibility" in low:
+            for part in head.split(","):
+                if _SELECTOR.fullmatch(name := part.strip()):
+                    out[name.lower() if name[0] not in ".#" else name].append(m[2])
+    return out
+
+
+class _Cell:
+    def __init__(self, raw: str) -> None:
+        a = _attributes(raw) if "span" in raw.lower() else {}
+        self.cols, self.rows = (self._span(a.get(k, "")) for k in ("colspan", "rowspan"))
+        self.lines: list[str] = []
+
+    @staticmethod
+    def _span(value: str) -> int:
+        n = int(value) if _NUMBER.fullmatch(value) else 1
+        return min(max(n, 1), MAX_SPAN) if value != "0" else MAX_SPAN
 
 
 class _Table:
+    """Rows of cells; a cell that spans rows keeps its columns free in the rows below."""
+
     def __init__(self, indent: str) -> None:
-        self.rows: list[list[str]] = []
+        self.rows: list[list[_Cell]] = []
         self.indent = indent
 
     def lines(self) -> list[str]:
-        width: list[int] = []
-        for row in self.rows:
-            for k, cell in enumerate(row):
-                if k == len(width):
-                    width.append(0)
-                width[k] = max(width[k], min(len(cell), MAX_ALIGN))
-        return [self.indent + "  ".join(c.ljust(w) for c, w in zip(r, width, strict=False)).rstrip() for r in self.rows if any(r)]
+        taken: list[tuple[int, int, int]] = []  # columns from, to, and the first row in which they are free again
+        placed: list[list[tuple[int, _Cell]]] = []
+        width: dict[int, int] = {}
+        for r, row in enumerate(self.rows):
+            at = k = 0
+            own, new = [], []
+            taken = [x for x in taken if x[2] > r] if row else taken
+            for cell in row:
+                while k < len(taken) and taken[k][0] <= at:
+                    at = max(at, taken[k][1])
+                    k += 1
+                own.append((at, cell))
+                if cell.cols == 1:
+                    width[at] = max(width.get(at, 0), min(max(map(len, cell.lines), default=0), MAX_ALIGN))
+                if cell.rows > 1 and len(taken) + len(new) < MAX_TAKEN:
+                    new.append((at, at + cell.cols, r + cell.rows))
+                at += cell.cols
+            taken = sorted(taken + new) if new else taken
+            placed.append(own)
+        start, sums = {}, 0
+        for k in sorted({k for own in placed for k, _ in own} | width.keys()):
+            start[k] = sums
+            sums += width[k] + 2 if k in width else 0
+        out = []
+        for own in placed:
+            for i in range(max((len(c.lines) for _, c in own), default=0)):
+                line = ""
+                for k, cell in own:
+                    if i < len(cell.lines) and cell.lines[i]:
+                        line = line.ljust(start[k]) if len(line) <= start[k] or not line else line + "  "
+                        line += cell.lines[i]
+                if line.strip():
+                    out.append(self.indent + line.rstrip())
+        return out
 
 
 class _Renderer:
     def __init__(self) -> None:
-        self.stack: list[tuple[str, bool]] = []  # element, whether it hides
+        self.stack: list[tuple[str, int, bool]] = []  # element, whether it hides (-1: shows again), whether text was visible outside
         self.open: dict[str, list[int]] = defaultdict(list)  # element -> places on the stack
         self.blocks: list[int] = []  # places of block elements and walls
         self.hidden = 0
+        self.visible = True
+        self.rules: dict[str, list[str]] = defaultdict(list)
         self.flows = [_Flow()]
         self.tables: list[_Table] = []
-        self.lists: list[list] = []  # kind, next number
+        self.lists: list[list] = []  # kind, next number, step
         self.quotes = self.pre = 0
         self.title: list[str] = []
 
@@ -198,7 +270,7 @@ class _Renderer:
         return max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
 
     def text(self, s: str) -> None:
-        if self.hidden or not s:
+        if self.hidden or not self.visible or not s:
             return
         s = html.unescape(s) if "&" in s else s
         if self.pre:
@@ -222,6 +294,10 @@ class _Renderer:
             if tag == "br":
                 if flow.part:
                     flow.end()
+                else:
+                    flow.gap = True
+            elif not self.visible:
+                return
             elif tag == "hr":
                 flow.end(True)
                 flow.line("-" * 20)
@@ -229,24 +305,29 @@ class _Renderer:
             elif tag == "img" and (alt := _attributes(raw).get("alt")):
                 self.text(alt)
             return
-        hides = _is_hidden(tag, raw)
+        hides, visible = self._state(tag, raw)
         self.open[tag].append(len(self.stack))
         if tag in BLOCK or tag in WALL:
             self.blocks.append(len(self.stack))
-        self.stack.append((tag, hides))
+        self.stack.append((tag, hides, self.visible))
         self.hidden += hides
+        self.visible = visible
         if self.hidden:
             return
         flow = self.flows[-1]
         if tag in BLOCK:
             flow.end(tag in APART and not (tag in ("ul", "ol") and self.lists))
         if tag in ("ul", "ol"):
-            begin = _attributes(raw).get("start", "") if tag == "ol" else ""
-            self.lists.append([tag, int(begin) if _NUMBER.fullmatch(begin) else 1])
+            a = _attributes(raw) if tag == "ol" else {}
+            begin = a.get("start", "")
+            self.lists.append([tag, int(begin) if _NUMBER.fullmatch(begin) else 1, -1 if "reversed" in a and begin else 1])
         elif tag == "li":
             if self.lists and self.lists[-1][0] == "ol":
+                own = _attributes(raw).get("value", "") if "value" in raw.lower() else ""
+                if _NUMBER.fullmatch(own):
+                    self.lists[-1][1] = int(own)
                 flow.lead = f"{self.lists[-1][1]}. "
-                self.lists[-1][1] += 1
+                self.lists[-1][1] += self.lists[-1][2]
             else:
                 flow.lead = "- "
         elif tag == "dd":
@@ -262,7 +343,28 @@ class _Renderer:
         elif tag in ("td", "th") and self.tables:
             if not self.tables[-1].rows:
                 self.tables[-1].rows.append([])
+            self.tables[-1].rows[-1].append(_Cell(raw))
             self.flows.append(_Flow())
+        elif tag == "option":
+            flow.words(" ", self.indent)
+
+    def _state(self, tag: str, raw: str) -> tuple[int, bool]:
+        """Whether an element hides what is in it (-1: shows it again), and whether its text is visible."""
+        if tag in HIDDEN:
+            return 1, self.visible
+        if tag == "summary" and self.stack and self.stack[-1][0] == "details" and self.stack[-1][1]:
+            return -1, self.visible
+        low = raw.lower()
+        some = "hid" in low or "none" in low or "collapse" in low or "visib" in low
+        if not some and not self.rules and tag not in ("details", "dialog"):
+            return 0, self.visible
+        a = _attributes(raw)
+        styles = [x for k in (tag, *(f".{c}" for c in a.get("class", "").split()), f"#{a.get('id', '')}") for x in self.rules.get(k, ())] if self.rules else []
+        styles.append(a.get("style", ""))
+        shut = tag in ("details", "dialog") and "open" not in a
+        hides = shut or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or any(map(_GONE.search, styles))
+        seen = [m[1].lower() == "visible" for x in styles for m in _SEEN.finditer(x)]
+        return int(hides), seen[-1] if seen else self.visible
 
     def end(self, tag: str) -> None:
         if tag == "br":
@@ -273,18 +375,19 @@ class _Renderer:
 
     def _pop_to(self, k: int) -> None:
         while len(self.stack) > k:
-            tag, hides = self.stack.pop()
+            tag, hides, self.visible = self.stack.pop()
             self.open[tag].pop()
             if self.blocks and self.blocks[-1] == len(self.stack):
                 self.blocks.pop()
             if self.hidden:
                 self.hidden -= hides
                 continue
+            self.hidden -= hides  # a summary ends within closed details
             flow = self.flows[-1]
             if tag in ("td", "th") and self.tables and len(self.flows) > 1:
                 flow.end()
                 self.flows.pop()
-                self.tables[-1].rows[-1].append(" ".join(x.strip() for x in flow.lines if x))
+                self.tables[-1].rows[-1][-1].lines = [x for x in flow.lines if x]
             elif tag == "table" and self.tables:
                 table = self.tables.pop()
                 for line in table.lines():
@@ -331,6 +434,9 @@ def render(page: str) -> tuple[str, str]:
             body, after = (page[at : close.start()], close.end()) if close else (page[at:], len(page))
             if tag == "title" and not title:
                 title = _SPACE.sub(" ", html.unescape(body)).strip()
+            if tag == "style":
+                for name, own in style_rules(body).items():
+                    r.rules[name] += own
             if r.stack and r.stack[-1][0] == tag:
                 if tag not in HIDDEN:
                     r.text(body)
@@ -346,7 +452,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, title, text, n_chars, n_lines`` for every page.
 
     A null page has null title and text; an empty one has empty ones. Rows repeat as
-    given. Columns other than page_id, url and html are not read.
+    given. Pages of any length are read whole; an empty table gives no rows. Columns other than page_id, url and html are not read.
     """
     small_batches(pages.sparkSession, 500)
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import DATA, rows
-from evidence_spark.llm import lexical, neardup, phrases, tiers
+from evidence_spark.llm import htmltext, lexical, neardup, phrases, tiers
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 LONG = " ".join(f"w{i * i % 977}" for i in range(6000))
@@ -295,3 +295,63 @@ def test_links_of_a_cone_have_two_ends(spark, mean):
     want = hit.sum(1)
     assert sum(got.values()) % 2 == 0
     assert all(got[k] <= want[k] for k in got) and sum(got.values()) >= 0.99 * want.sum()
+
+
+# -- layout of pages ---------------------------------------------------------------------
+
+
+def shown(page):
+    return htmltext.render(page)[1]
+
+
+def test_cells_with_spans_and_lines():
+    assert shown("<table><tr><td rowspan=2>R<td>x<tr><td>y<tr><td>long cell<td>z</table>") == "R          x\n           y\nlong cell  z"
+    assert shown("<table><tr><td colspan=2>wide heading<td>c<tr><td>a<td>b<td>d</table>") == "wide heading  c\na  b  d"
+    assert shown("<table><tr><td><pre>a\n  b</pre><td>q<p>r</table>") == "a    q\n  b  r"
+    assert shown("<table><tr><td>o<td><table><tr><td>1<td>2<tr><td>33<td>4</table><td>e</table>") == "o  1   2  e\n   33  4"
+    assert len(shown("<table>" + "<tr>" + "<td colspan=1000 rowspan=0>w" * 3000 + "<tr><td>x" * 3000)) > 6000
+
+
+def test_visibility():
+    assert shown("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>z") == "yes\nz"
+    assert shown("<style>.x, p.y {display:none} #k{display: none} @media print { .z{display:none} } @import 'a'; em{visibility:hidden}</style><p class='a x'>1<p class=z>2<p id=k>3<p>4<em>5</em>6") == "2\n\n46"
+    assert shown("<details>a<summary>S</summary>b</details><details open>c<summary>T</summary>d</details><dialog>e</dialog><dialog open>f</dialog>g") == "S\nc\nT\nd\nf\ng"
+    assert shown("<div hidden><details><summary>a</summary>b</details></div>c") == "c"
+    assert shown("<p hidden>a<b style='visibility:visible'>b</b><p>c") == "c"
+
+
+def test_list_numbers_breaks_and_form_text():
+    assert shown("<ol><li value=5>a<li>b</ol><ol reversed start=3><li>x<li>y</ol>") == "5. a\n6. b\n\n3. x\n2. y"
+    assert shown("a<br>b<br><br>c<textarea> t &amp; u </textarea><select><option>A<option>B</select>") == "a\nb\n\nc t & u A B"
+
+
+def test_columns_of_random_tables():
+    """Each cell starts where its column does: the widths of the columns before it and two spaces each."""
+    rng = np.random.default_rng(11)
+    for _ in range(200):
+        rows_, n = [], 0
+        for _ in range(rng.integers(1, 6)):
+            row = []
+            for _ in range(rng.integers(1, 5)):
+                row.append((f"c{n}" + "x" * int(rng.integers(0, 5)), int(rng.choice([1, 1, 1, 2, 3])), int(rng.choice([1, 1, 1, 2, 3]))))
+                n += 1
+            rows_.append(row)
+        grid, width, place = {}, Counter(), {}
+        for r, row in enumerate(rows_):
+            at = 0
+            for word, cols, spans in row:
+                while (r, at) in grid:
+                    at += 1
+                place[word] = (r, at)
+                grid.update({(r + i, at + j): word for i in range(spans) for j in range(cols)})
+                width[at] = max(width[at], len(word) if cols == 1 else 0)
+                at += cols
+        plain = {at for row in rows_ for word, cols, _ in row if cols == 1 for at in [place[word][1]]}
+        got = shown("<table>" + "".join("<tr>" + "".join(f"<td colspan={c} rowspan={s}>{w}" for w, c, s in row) for row in rows_)).split("\n")
+        for line, row in zip(got, rows_, strict=True):
+            end = 0
+            for word, _, _ in row:
+                want = sum(width[k] + 2 for k in plain if k < place[word][1])
+                at = line.index(word)
+                assert at == want or (at == end + 2 and end > want), (got, word)
+                end = at + len(word)
