@@ -151,7 +151,8 @@ def sid_name(col: Column | str, exact: Mapping[str, str], domain: Mapping[str, s
 
 
 def hex_to_ipv4(col: Column | str) -> Column:
-    h = F.lpad(_col(col), 8, "0")
+    """Address of the low 32 bits of a hex number."""
+    h = F.lpad(F.right(_col(col), F.lit(8)), 8, "0")
     return F.concat_ws(".", *[F.conv(F.substring(h, k, 2), 16, 10) for k in (1, 3, 5, 7)])
 
 

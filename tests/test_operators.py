@@ -381,3 +381,22 @@ def test_views_of_one_name_are_refused():
         T.load_views(view, view)
     with pytest.raises(ValueError, match="no query"):
         T.load_views("- {name: v, condition: {}, fields: {A: x}}")
+
+
+def _by_sql(spark, tmp_path, name, table, df):
+    """Rows of a query and of its SQL over a table made here."""
+    import duckdb
+
+    import __spark_entry__
+
+    df.coalesce(1).write.parquet(str(tmp_path / f"{table}.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    out = __spark_entry__.queries()[name](spark, str(tmp_path))
+    cur = db.execute(__spark_entry__.oracle_sql()[name])
+    return rows(out, *[x[0] for x in cur.description]), sorted(cur.fetchall(), key=repr)
+
+
+def test_address_of_a_number_of_more_than_32_bits(spark, tmp_path):
+    got, want = _by_sql(spark, tmp_path, "c15_ipv4", "events", spark.range(542_370, 542_390).withColumnRenamed("id", "event_id"))
+    assert got == want and (542_378, "0.1.228.182") in got
