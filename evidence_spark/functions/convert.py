@@ -221,8 +221,10 @@ def registrable_domain(col: Column | str, rules: Sequence[str] = SUFFIXES) -> Co
     return F.when(~host.rlike(r"^[0-9.]+$") & ~host.contains(":") & (n > size), tail(size + 1))
 
 
-def is_shortened(col: Column | str, hosts: Sequence[str]) -> Column:
-    return F.coalesce(url_domain(col).isin(*hosts), F.lit(False))
+def is_shortened(col: Column | str, hosts: Sequence[str], whole_host: bool = False) -> Column:
+    """Whether the host is among ``hosts``, without its leading ``www.`` unless ``whole_host``; null for null."""
+    host = url_host(col) if whole_host else url_domain(col)
+    return F.when(_col(col).isNotNull(), F.coalesce(host.isin(*hosts), F.lit(False)))
 
 
 def clean_links(col: Column | str, skip_hosts: Sequence[str]) -> Column:

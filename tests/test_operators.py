@@ -400,3 +400,10 @@ def _by_sql(spark, tmp_path, name, table, df):
 def test_address_of_a_number_of_more_than_32_bits(spark, tmp_path):
     got, want = _by_sql(spark, tmp_path, "c15_ipv4", "events", spark.range(542_370, 542_390).withColumnRenamed("id", "event_id"))
     assert got == want and (542_378, "0.1.228.182") in got
+
+
+def test_short_hosts_are_compared_whole(spark, tmp_path):
+    urls = ["https://www.therin.example.net/a", "https://therin.example.net/a", "http://thther.example.org", "http://x.example.org", "none", None]
+    got, want = _by_sql(spark, tmp_path, "c21_shortened", "pages", spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
+    assert got == want == [(0, False), (1, True), (2, True), (3, False), (4, False), (5, None)]
+    assert spark.createDataFrame([("http://www.bit.ly/x",)], "u string").select(C.is_shortened("u", ["bit.ly"])).first()[0] is True
