@@ -345,3 +345,20 @@ def test_stream_of_three_rules_equals_batch(spark, tmp_path):
     assert got == want and len(want) > 20
     held = [sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in q.recentProgress]
     assert held[-1] < max(held)
+
+
+def _crowd(spark, tmp_path, n):
+    """Streams of ``n`` records of each of three kinds on one machine, 100 ms apart."""
+    (tmp_path / "src").mkdir()
+    record = lambda i, t: json.dumps({"Data": json.dumps({"@timestamp": f"2024-01-01T00:{i // 600:02d}:{i // 10 % 60:02d}.{i % 10}00", "t": t}), "data_source": "s", "data_type": "x", "data_path": f"/{i}", "machine": "M"})
+    put(tmp_path / "src", "a.kjson", "\n".join(record(i, t) for i in range(n) for t in "abc"))
+    return W.read_stream(spark, str(tmp_path / "src"), "case")
+
+
+def test_stream_pairs_meet_in_time_buckets(spark, tmp_path):
+    stream = _crowd(spark, tmp_path, 300)
+    a, b = (W.rule_stream(stream, D.Rule(t, include={"t": t})) for t in "ab")
+    pairs = W.stream_correlate(a, b, 500)
+    assert "_bucket" in pairs._jdf.queryExecution().analyzed().toString()
+    want = sum(abs(i - j) < 5 for i in range(300) for j in range(300))
+    assert W.drain(pairs).count() == want
