@@ -362,3 +362,15 @@ def test_stream_pairs_meet_in_time_buckets(spark, tmp_path):
     assert "_bucket" in pairs._jdf.queryExecution().analyzed().toString()
     want = sum(abs(i - j) < 5 for i in range(300) for j in range(300))
     assert W.drain(pairs).count() == want
+
+
+def test_state_of_a_stream_of_rules_holds_events_only(spark, tmp_path):
+    """Far more sets than records: the state does not grow with them."""
+    private = {t: D.Rule(t, False, include={"t": t}) for t in "abc"}
+    rule = D.Rule("R", calls=["a", "b", "c"], within=2_000)
+    stream = _crowd(spark, tmp_path, 300)
+    q = W.stream_correlate_rules(stream, rule, private).writeStream.format("memory").queryName("crowd").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    want = sum(max(i, j, k) - min(i, j, k) < 20 for i in range(300) for j in range(max(0, i - 20), min(300, i + 20)) for k in range(max(0, i - 20), min(300, i + 20)))
+    assert spark.table("crowd").count() == want > 100_000
+    assert max(sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in q.recentProgress) < 1_000
