@@ -193,7 +193,9 @@ def parse_exchange(lines: DataFrame) -> DataFrame:
     """Mail server log rows of lines with path and pos."""
     rows = _with_header(lines)
     names = F.transform(F.split("_names", ","), lambda x: F.trim(x))
-    out = rows.withColumn("_cells", split_csv(F.col("line"))).withColumn("fields", _named(names, F.col("_cells")))
+    # an explode of one is a step that the filter is not copied through: a line is split once
+    out = rows.select("path", "pos", F.explode(F.array(F.struct(names.alias("names"), split_csv(F.col("line")).alias("cells")))).alias("_x"))
+    out = out.select("path", "pos", F.explode(F.array(_named(F.col("_x.names"), F.col("_x.cells")))).alias("fields"))
     none = lambda k: F.nullif(F.try_element_at("fields", F.lit(k)), F.lit(""))
     out = out.withColumn("@timestamp", F.coalesce(none("TimeStamp"), none("DateTime"), none("date-time")))
     return out.where(F.col("@timestamp").isNotNull()).select("path", "pos", "@timestamp", "fields")

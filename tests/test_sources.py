@@ -374,3 +374,10 @@ def test_state_of_a_stream_of_rules_holds_events_only(spark, tmp_path):
     want = sum(max(i, j, k) - min(i, j, k) < 20 for i in range(300) for j in range(max(0, i - 20), min(300, i + 20)) for k in range(max(0, i - 20), min(300, i + 20)))
     assert spark.table("crowd").count() == want > 100_000
     assert max(sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in q.recentProgress) < 1_000
+
+
+def test_exchange_line_is_split_once(spark):
+    df = lines(spark, '#Fields: DateTime,id,note\n2024-01-01T00:00:00,1,"a, ""b"" c"\n,2,x\n2024-01-01T00:00:01,3')
+    out = S.parse_exchange(df)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("aggregate(split(") == 1
+    assert [(r["@timestamp"][-1], dict(r["fields"])["id"], dict(r["fields"]).get("note")) for r in out.orderBy("pos").collect()] == [("0", "1", 'a, "b" c'), ("1", "3", None)]
