@@ -12,7 +12,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,8 @@ END = END_ID.to_bytes(4, "little")
 #: Pieces that one shard should hold; a shard wastes about one sequence.
 SHARD_PIECES = 20_000
 
-#: Distinct words of which a process remembers the ids, for its next tasks too (about 230 bytes each).
-KNOWN_WORDS = 1_000_000
+#: Distinct words of which a process remembers the ids, for its next tasks too (some 120 to 230 bytes each).
+KNOWN_WORDS = 2_000_000
 #: Characters of the texts of which the words are looked up together.
 LOOKUP_CHARS = 2_000_000
 #: Characters of which the words are found here as the tokenizer finds them (tests compare
@@ -76,7 +76,7 @@ class Encoder:
         """Ids of words that follow a space."""
         row = [f" {w}" for w in words]
         got = self.tok.encode("".join(row), add_special_tokens=False)
-        ends = np.cumsum([len(self.pieces(w)) for w in row])
+        ends = np.cumsum([1 if w.isalpha() else len(self.pieces(x)) for w, x in zip(words, row, strict=True)])
         edge = (4 * np.searchsorted(np.array(got.word_ids, np.int64), np.concatenate(([0], ends)))).tolist()
         ids = np.array(got.ids, "<u4").tobytes()
         self.known.update((w, ids[s:e]) for w, s, e in zip(words, edge, edge[1:], strict=False))
@@ -95,7 +95,7 @@ class Encoder:
                 split.append(text.split(" ") if plain else None)
             if len(self.known) > known_words:
                 self.known.clear()
-            new = set(chain.from_iterable(w[1:] for w in split if w)).difference(self.known)
+            new = set(filterfalse(self.known.__contains__, chain.from_iterable(w[1:] for w in split if w)))
             if new:
                 self._learn(list(new))
             for text, words in zip(texts[at:end], split, strict=True):

@@ -850,3 +850,17 @@ def test_passage_spans(spark, odd):
         assert r["doc_id"] == 1 and r["src_doc"] == 0 and r["src_start"] == r["start"] + 18
     assert substring.remove_repeats(odd).count() == odd.count()
     assert substring.remove_repeats(odd.where("false")).count() == 0
+
+
+def test_words_of_letters_are_not_searched_for_pieces():
+    import public_tokenizers
+
+    from evidence_spark.llm.packing import Encoder
+
+    e = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    asked, pieces = [], e.pieces
+    e.pieces = lambda x: asked.append(x) or pieces(x)
+    text = "a alpha Ölähre éauxß ªº ʰa gamma, x1 it's d.\nEf 日本 жук"
+    got = next(iter(e.ids([text])))
+    assert np.frombuffer(got, "<u4").tolist() == [*e.tok.encode(text, add_special_tokens=False).ids, 0]
+    assert sorted(asked) == [" d.\nEf", " gamma,", " it's", " x1"]
