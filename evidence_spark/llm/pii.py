@@ -6,11 +6,12 @@ with any separators, phone numbers without a prefix, IPv6. Boosted trees score e
 proposal from its format and context, and a threshold for each kind selects.
 
 There are no labels for what the patterns miss, so the fit makes its own: each base span of
-a bounded sample of documents is disguised (``@`` spelled out, dots bracketed, other
-separators, no prefix) inside its own context, and proposals that find it there again are
-the positive cases of its kind. Proposals of the texts as they are that touch no base span
-are the negative ones. The thresholds are calibrated on documents that the trees have not
-seen; the trees run as a plain SQL expression, without a shuffle.
+all documents is disguised (``@`` spelled out, dots bracketed, other separators, no prefix)
+inside its own context, and proposals that find it there again are the positive cases of its
+kind. Proposals of the texts as they are that touch no base span are the negative ones. Every
+document takes part: one half of them fits the trees, the thresholds are calibrated on the
+other, which the trees have not seen. Cases are counted by their features, so what is fitted
+stays small; the trees run as a plain SQL expression, without a shuffle.
 
 The patterns are written so that Java's matcher needs neither recursion nor repeated
 scans on very long texts: separators that may stand inside a span are first replaced by
@@ -19,6 +20,7 @@ one placeholder of the same length, which turns repeated groups into character r
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 
@@ -29,8 +31,6 @@ from evidence_spark.llm.common import cut, drop_cut
 
 KINDS = ("email", "ip", "card", "phone")
 MARK, JOINT, OTHER = "\u0001", "\u0004", "\u0003"
-#: Documents that the trees are fitted on, at most.
-SAMPLE_DOCS = 20_000
 #: Precision that a kind's threshold must keep on the calibration half, where every proposal
 #: of the undisguised texts counts as wrong, and the disguised spans it must find there.
 PRECISION, LEAST_HITS = 0.95, 5
@@ -149,6 +149,11 @@ def _proposals(t: Column) -> Column:
     return F.concat(*found)
 
 
+def _candidates(t: Column) -> Column:
+    """The proposals of a text, null where a look at it shows that there are none."""
+    return F.when(t.rlike(r"[0-9]{2}|[(\[{](?:at|@)[)\]}]|:|[0-9][\x20]?[(\[{]"), _proposals(t))
+
+
 @dataclass
 class PiiModel:
     """Boosted trees as an SQL expression over a candidate ``c``; none: base spans only.
@@ -198,43 +203,49 @@ def _disguised(x: Column, kind: Column, how: Column) -> Column:
     )
 
 
-def training_rows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """``half, label, c``: candidates for the fit, of at most about ``sample_docs`` documents."""
-    n = docs.count()
-    share = int(1_000_000 * min(1.0, sample_docs / max(n, 1)))
-    part = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share)
-    part = part.select(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).alias("half"), _clean(F.col("text")).alias("t"))
+def training_rows(docs: DataFrame) -> DataFrame:
+    """``half, label, c``: candidates for the fit, of all documents, in one pass over the texts."""
     tag = lambda c, k: F.struct(c["s"].alias("s"), c["e"].alias("e"), F.lit(k).alias("kind"))
+    part = docs.select(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).alias("half"), _clean(F.col("text")).alias("t"))
     part = part.withColumn("base", F.concat(*[F.transform(a, _one(tag, k)) for k, a in base_spans(F.col("t")).items()]))
 
-    plain = part.select("half", "base", F.explode(_proposals(F.col("t"))).alias("c")).where("not exists(base, b -> b.s < c.e and b.e > c.s)")
-    one = part.select("half", "t", F.explode("base").alias("b"))
-    x = F.substring(F.col("t"), F.col("b.s") + 1, F.col("b.e") - F.col("b.s"))
-    how = F.pmod(F.xxhash64(x, F.lit(13)), F.lit(3))
-    left = F.substring(F.col("t"), F.greatest(F.col("b.s") + 1 - AROUND, F.lit(1)), F.least(F.col("b.s"), F.lit(AROUND)))
-    made = one.select("half", "b.kind", left.alias("left"), _disguised(x, F.col("b.kind"), how).alias("x"), F.substring(F.col("t"), F.col("b.e") + 1, F.lit(AROUND)).alias("right"))
-    again = made.select("half", "kind", F.length("left").alias("s"), F.length(F.concat("left", "x")).alias("e"), F.explode(_proposals(F.concat("left", "x", "right"))).alias("c"))
-    again = again.where("c.s < e and c.e > s and c.kind = kind")
-    return plain.select("half", F.lit(0.0).alias("label"), "c").unionByName(again.select("half", F.lit(1.0).alias("label"), "c"))
+    def again(b: Column) -> Column:
+        x = F.substring(F.col("t"), b["s"] + 1, b["e"] - b["s"])
+        left = F.substring(F.col("t"), F.greatest(b["s"] + 1 - AROUND, F.lit(1)), F.least(b["s"], F.lit(AROUND)))
+        new = _disguised(x, b["kind"], F.pmod(F.xxhash64(x, F.lit(13)), F.lit(3)))
+        place = F.struct(F.length(left).alias("s"), F.length(F.concat(left, new)).alias("e"), b["kind"].alias("kind"))
+        return F.struct(F.lit(1.0).alias("label"), F.concat(left, new, F.substring(F.col("t"), b["e"] + 1, F.lit(AROUND))).alias("t"), F.array(place).alias("spans"))
+
+    plain = F.struct(F.lit(0.0).alias("label"), F.col("t"), F.col("base").alias("spans"))
+    # outer: for an inner explode Spark adds filters that compute the array anew
+    cases = part.select("half", F.explode_outer(F.concat(F.array(plain), F.transform("base", again))).alias("x")).select("half", "x.*")
+    found = cases.select("half", "label", "spans", F.explode_outer(_candidates(F.col("t"))).alias("c")).where("c IS NOT NULL")
+    met = "exists(spans, b -> b.s < c.e AND b.e > c.s AND (label = 0 OR b.kind = c.kind))"
+    return found.where(f"{met} = (label = 1)").select("half", "label", "c")
+
+
+def _bins(rows: int) -> int:
+    """Bins with which the trees look at every value of every row; fewer than the root of the rows make them sample."""
+    return max(1024, math.isqrt(rows) + 1)
 
 
-def fit_pii(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> PiiModel:
-    """Fit trees and thresholds on candidates of at most about ``sample_docs`` documents.
+def fit_pii(docs: DataFrame) -> PiiModel:
+    """Fit trees and thresholds on the candidates of all documents.
 
-    Rows of one doc_id are sampled together; null texts have no candidates. Without cases
+    Rows of one doc_id are in the same half; null texts have no candidates. Without cases
     of both labels there is no model, and base spans are all that is found. A kind of which
     no threshold keeps the precision is not selected.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = training_rows(docs, sample_docs).select("half", "label", "c.*")
+    rows = training_rows(docs).select("half", "label", "c.*")
     flat = cut(rows.groupBy("half", "label", "kind", *FEATURES).agg(F.count("*").cast("double").alias("weight")))
-    count = {r["label"]: r["n"] for r in flat.where("half = 0").groupBy("label").agg(F.sum("weight").alias("n")).collect()}
+    count = {r["label"]: r["n"] for r in flat.where("half = 0").groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(count) < 2:
         return PiiModel()
     train = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(flat.where("half = 0")).select("x", "label", "weight")
-    gbt = GBTClassifier(featuresCol="x", labelCol="label", weightCol="weight", maxIter=8, maxDepth=3, stepSize=0.3, seed=11).fit(train)
+    gbt = GBTClassifier(featuresCol="x", labelCol="label", weightCol="weight", maxIter=8, maxDepth=3, maxBins=_bins(sum(count.values())), stepSize=0.3, seed=11).fit(train)
     trees = [f"{w} * {_tree_sql(t.toDebugString)}" for w, t in zip(gbt.treeWeights, gbt.trees, strict=True)]
     model = PiiModel(" + ".join(trees), {}, trees)
     names = ", ".join(f"'{x}', {x}" for x in FEATURES)
@@ -268,7 +279,7 @@ def find_pii(docs: DataFrame, model: PiiModel) -> DataFrame:
     out = out.withColumn("base", F.array_sort(F.concat(*tagged)))
     if not model.thresholds:
         return out.withColumn("spans", F.col("base"))
-    out = out.withColumn("c", F.when(F.col("t").rlike(r"[0-9]{2}|[(\[{](?:at|@)[)\]}]|:"), _proposals(F.col("t"))))
+    out = out.withColumn("c", _candidates(F.col("t")))
     least = "CASE c.kind " + " ".join(f"WHEN '{k}' THEN {x}" for k, x in model.thresholds.items()) + " ELSE 2.0 END"
     keep = f"filter(coalesce(c, array()), c -> NOT exists(base, b -> b.s < c.e AND b.e > c.s) AND {_score(model)} >= {least})"
     out = out.withColumn("more", F.expr(f"array_sort(transform({keep}, c -> named_struct('s', c.s, 'k', c.which, 'e', c.e)))"))

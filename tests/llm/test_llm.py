@@ -320,6 +320,26 @@ def test_trees_add_disguised_spans(spark):
     assert "[EMAIL]" in out["text"] and "joe" not in out["text"] and out["n_chars"] == len(out["text"])
 
 
+def test_pii_fits_on_all_documents(spark):
+    """No document is left out of the fit, however many there are, nor any value out of the trees' splits."""
+    from pyspark.sql import functions as F
+
+    n = 30_000
+    made = spark.range(n).selectExpr("id as doc_id", "concat('to joe', id, '@mail.site.net or 12 345 of them or 2024.11.12') as text")
+    got = pii.training_rows(made).groupBy("half", "label").agg(F.count("*").alias("n")).collect()
+    assert {label: sum(r["n"] for r in got if r["label"] == label) for label in (0.0, 1.0)} == {0.0: n, 1.0: n}
+    assert all(r["n"] > 0.4 * n for r in got)
+    assert all(max(pii._bins(x) ** 2, 10_000) >= x for x in (0, 5, 20_000, 5_000_000, 10**9 + 7))
+
+
+def test_pii_cases_of_a_text(spark):
+    """Disguised base spans are positive cases, other proposals negative ones, single digits included."""
+    got = pii.training_rows(docs_of(spark, ["at 1.2.3.4 now", "say 11 222 3333 to", None, ""]))
+    assert rows(got, "label", "c.kind") == [(0.0, "phone"), (0.0, "phone"), (1.0, "ip")]
+    model = pii.PiiModel("2.0D", {"ip": 0.5})
+    assert pii.pii_report(docs_of(spark, ["at 1[.]2[.]3[.]4 now"]), model).first()["spans"] == "ip:3:16"
+
+
 def test_pii_of_odd_rows(spark, docs, odd):
     clash = odd.selectExpr("*", "1 as row", "2 as t", "3 as base", "4 as spans", "5 as c", "6 as more", "7 as _t", "8 as new")
     model = pii.fit_pii(docs)
