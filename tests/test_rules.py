@@ -142,6 +142,29 @@ def test_windows_of_any_width_and_order(spark, monkeypatch):
             assert json.loads(r["returned"]["a"])["n"] == r["record_ids"][0] and json.loads(r["returned"]["b"]) == data[int(r["record_ids"][1])]
 
 
+def test_only_records_are_written(spark, monkeypatch):
+    """All sets of a moment, of a bucket as it is and dealt, from tables that hold records, not pairs; each record is parsed once."""
+    real, sizes, plans = D.cut, [], []
+
+    def counted(df):
+        out = real(df)
+        sizes.append(out.count())
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(D, "cut", counted)
+    private = {n: D.Rule(n, False, include={"t": n}) for n in "abc"}
+    df = records(spark, *[{**at(5), "t": "abc"[i % 3]} for i in range(60)]).drop("v")
+    for pairs in (4_000_000, 2):
+        monkeypatch.setattr(D, "PAIRS", pairs)
+        sizes.clear(), plans.clear()
+        got = D.correlate(df, D.Rule("R", calls=["a", "b", "c"], within=1000), private)
+        assert got.select("record_ids").distinct().count() == got.count() == 20**3
+        assert sizes[0] == 60 and sum(sizes) <= 61
+        assert plans[0].count("parseJson") == 1
+        assert ("_x" in got._jdf.queryExecution().optimizedPlan().toString()) == (pairs == 2)
+
+
 def test_modifiers_in_any_shape():
     assert D.parse_modifier("Search   $str  a  b") == ("search", "$str", "a b")
     assert D.parse_modifier("a.b\t>=  7") == ("a.b", ">=", "7")
