@@ -165,6 +165,20 @@ def test_only_records_are_written(spark, monkeypatch):
         assert ("_x" in got._jdf.queryExecution().optimizedPlan().toString()) == (pairs == 2)
 
 
+def test_time_texts_are_made_for_records(spark):
+    """The text of the earliest time, whichever rule has it; no date is formatted after a join."""
+    from conftest import DATA
+    from evidence_spark.plans.catalog import QUERIES
+
+    private = {n: D.Rule(n, False, include={"t": n}) for n in "abc"}
+    df = records(spark, *[{**at(ms), "t": t} for ms, t in ((1999, "a"), (2000, "b"), (2001, "c"), (1500, "b"), (999, "c"), (1999, "c"))])
+    got = D.correlate(df, D.Rule("R", calls=["a", "b", "c"], within=1500), private, time_format="yyyy-MM-dd HH:mm:ss")
+    out = got.select("ts_text", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).collect()
+    assert len(out) == 6 and len({r[0] for r in out}) == 2 and all(r[0] == r[1] for r in out)
+    plan = QUERIES["d12_alert_content"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "date_format" in plan and "date_format" not in plan[: plan.rindex("Join Inner")]
+
+
 def test_modifiers_in_any_shape():
     assert D.parse_modifier("Search   $str  a  b") == ("search", "$str", "a b")
     assert D.parse_modifier("a.b\t>=  7") == ("a.b", ">=", "7")
