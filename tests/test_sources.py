@@ -376,6 +376,27 @@ def test_state_of_a_stream_of_rules_holds_events_only(spark, tmp_path):
     assert max(sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in q.recentProgress) < 1_000
 
 
+def test_blocks_are_expanded_by_event(spark):
+    """All sets of a block, for two to four rules; its first events are loops of their own, and no map is made where one value is read."""
+    import itertools
+    import random
+    import re
+
+    rng = random.Random(4)
+    event = "array<struct<ms:bigint,id:string,ret:string>>"
+    for n in (2, 3, 4):
+        sides = [sorted(rng.randint(0, 3000) for _ in range(12)) for _ in range(n)]
+        row = ("M", *[[(ms, f"{k}.{i}", f"r{k}.{i}") for i, ms in enumerate(side)] for k, side in enumerate(sides)])
+        blocks = spark.createDataFrame([row], ", ".join(["machine string", *[f"e{k} {event}" for k in range(n)]]))
+        rule = D.Rule("R", calls=list("abcd")[:n], within=900)
+        out = W.block_alerts(blocks, rule).select("record_ids", F.unix_millis("ts"), F.col("returned")["b"])
+        want = [([f"{k}.{i}" for k, i in enumerate(x)], min(sides[k][i] for k, i in enumerate(x)), f"r1.{x[1]}") for x in itertools.product(range(12), repeat=n) if max(sides[k][i] for k, i in enumerate(x)) - min(sides[k][i] for k, i in enumerate(x)) < 900]
+        assert rows(out) == sorted(want, key=repr) and want
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"map_from_arrays|map\(", plan)
+        assert len(set(re.findall(r"(\*\(\d+\) )Generate explode", plan))) == max(1, n - 1)
+
+
 def test_exchange_line_is_split_once(spark):
     df = lines(spark, '#Fields: DateTime,id,note\n2024-01-01T00:00:00,1,"a, ""b"" c"\n,2,x\n2024-01-01T00:00:01,3')
     out = S.parse_exchange(df)
